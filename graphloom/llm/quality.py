@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.durable import stash
+
 _WS = r"[\\x20\\x09-\\x0D]"
 
 #: Rules in order of their bits: name and SQL condition of failure on the measurements.
@@ -87,9 +89,14 @@ def measure(documents: DataFrame) -> DataFrame:
 
 
 def ledger(documents: DataFrame) -> DataFrame:
-    """The measurements with ``failed_bits``: bit i is set when rule i of ``RULES`` fails."""
+    """The measurements with ``failed_bits``: bit i is set when rule i of ``RULES`` fails.
+
+    The ledger is written to the shared folder, so policies read numbers. It
+    also keeps the optimizer from copying the measuring expressions into a
+    filter or lambda above, where they would run many times over.
+    """
     bits = " | ".join(f"CASE WHEN {condition} THEN {BIT[name]}L ELSE 0L END" for name, condition in RULES)
-    return measure(documents).withColumn("failed_bits", F.expr(bits))
+    return stash(measure(documents).withColumn("failed_bits", F.expr(bits)))
 
 
 def apply_policy(book: DataFrame, policy: str) -> DataFrame:
