@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, neardup, packing, quality, substrings
+from graphloom.llm import langid, neardup, neighbours, packing, pieces, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(langid.training_part(docs)))
@@ -29,6 +33,10 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "failed_bits")
 
 
+def op8_chunk_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_gear_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -46,9 +54,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_block_matrix_neighbours,
         op2_language_spans,
         op4_sum_of_squares_packing,
         op7_quality_ledger,
+        op8_chunk_table_pieces,
         op9_gear_substrings,
         op10_minhash_neardup,
         pipeline,
@@ -93,4 +103,13 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.y, d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id
 """
 
-ORACLES = {"op7_quality_ledger": _OP7, "op10_minhash_neardup": _OP10}
+_OP1 = """
+WITH v AS (SELECT vec_id, list_transform(min(embedding), lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda x: x[1] * x[2])) AS score
+      FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES = {"op1_block_matrix_neighbours": _OP1, "op7_quality_ledger": _OP7, "op10_minhash_neardup": _OP10}
