@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, neardup, neighbours, packing, pieces, quality, substrings
+from graphloom.llm import chat, langid, licences, neardup, neighbours, packing, pieces, quality, substrings, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,26 @@ def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op3_sentence_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"), "licence")
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = {"reply": {"turn": ("integer", True), "prompt": ("string", True)}}
+    found = chat.link_calls(chat.from_turns(_table(spark, sf_dir, "conversations")), schema)
+    return found.select("conv_id", "call_id", "name", "call_turn", "result_turn", "level", "status", "error", F.sha2("json", 256).alias("json_sha256"))
+
+
+def op6_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, urlfilter.QUERY_RULES))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")), "strict-1")
     failed = F.col("failed_bits").bitwiseAND(F.lit(quality.BASE)) != 0
@@ -56,7 +72,10 @@ QUERIES = {
     for f in (
         op1_block_matrix_neighbours,
         op2_language_spans,
+        op3_sentence_licences,
         op4_sum_of_squares_packing,
+        op5_tool_call_links,
+        op6_link_graph_urls,
         op7_quality_ledger,
         op8_chunk_table_pieces,
         op9_gear_substrings,
@@ -112,4 +131,58 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES = {"op1_block_matrix_neighbours": _OP1, "op7_quality_ledger": _OP7, "op10_minhash_neardup": _OP10}
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _op3() -> str:
+    known = "MAP {" + ", ".join(f"{_quote(sentence)}: {_quote(name)}" for name, sentence in licences.SENTENCES.items()) + "}"
+    ids = lambda breaks: rf"list_filter(list_transform(regexp_split_to_array(t, '{breaks}'), lambda s: {known}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
+    hit = lambda wanted: " OR ".join(f"regexp_matches(',' || array_to_string({c}, ',,') || ',', '{'.*'.join(f',{x},' for x in wanted)}')" for c in ("a", "b"))
+    hits = ", ".join(f"CASE WHEN {hit(wanted)} THEN {_quote(licence)} END" for licence, wanted in licences.RULES)
+    names = list(dict.fromkeys(licence for licence, _ in licences.RULES))
+    once = "list_filter([" + ", ".join(_quote(x) for x in names) + f"], lambda x: list_contains([{hits}], x))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+i AS (SELECT doc_id, {ids(r"[.!?:;](?:\s|$)|[\n\r]+")} AS a, {ids(r"[.!?:;](?:\s|$)")} AS b FROM d),
+h AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS best, {once} AS l FROM i)
+SELECT doc_id, CAST(len(best) AS BIGINT) AS n_sentences, array_to_string(best, ',') AS sentences, array_to_string(l, ',') AS licences, l[1] AS licence FROM h
+"""
+
+
+def _op6(rounds: int = 12, damping: float = 0.85) -> str:
+    rules = ", ".join(f"({_quote(h)}, {_quote(p)}, {_quote(v)}, {_quote(h + p)})" for h, p, v in urlfilter.QUERY_RULES)
+    host = lambda u: f"translate(regexp_extract({u}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ranks = ",\n".join(
+        f"r{i + 1} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, host, {1 - damping} * seed AS rank FROM start UNION ALL"
+        f" SELECT r.kind, e.dst, r.rank * e.share * {damping} FROM r{i} r JOIN e ON e.kind = r.kind AND e.src = r.host) GROUP BY kind, host)"
+        for i in range(rounds)
+    )
+    return rf"""
+WITH p AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, html, {host("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules(h, s, verdict, rule) AS (VALUES {rules}),
+fit AS (SELECT u.page_id, u.host, u.path, u.html, (SELECT {{'rule': rule, 'verdict': verdict}} FROM rules WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, s) ORDER BY length(rule) DESC, rule LIMIT 1) AS hit FROM u),
+c AS (SELECT host, count(*) AS n, count(*) FILTER (hit.verdict = 'allow') AS good, count(*) FILTER (hit.verdict = 'block') AS bad FROM fit WHERE host <> '' GROUP BY host),
+seeds AS (SELECT 'trust' AS kind, host FROM c WHERE 2 * good > n UNION ALL SELECT 'distrust', host FROM c WHERE 2 * bad > n),
+start AS (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS seed FROM seeds),
+l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"''<>]*)', 1)) AS t FROM fit),
+g AS (SELECT src, {host("substr(t, instr(t, '//') + 2)")} AS dst, count(*)::DOUBLE AS w FROM l GROUP BY ALL HAVING src <> '' AND dst <> '' AND src <> dst),
+k AS (SELECT 'trust' AS kind, src, dst, w FROM g UNION ALL SELECT 'distrust', dst, src, w FROM g),
+e AS (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS share FROM k),
+r0 AS (SELECT kind, host, seed AS rank FROM start),
+{ranks},
+v AS (SELECT host, sum(rank) FILTER (kind = 'distrust') AS bad, sum(rank) FILTER (kind = 'trust') AS good FROM r{rounds} GROUP BY host)
+SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN coalesce(bad, 0) > coalesce(good, 0) THEN 'block' ELSE 'allow' END) AS verdict FROM fit LEFT JOIN v USING (host)
+"""
+
+
+ORACLES = {
+    "op1_block_matrix_neighbours": _OP1,
+    "op3_sentence_licences": _op3(),
+    "op6_link_graph_urls": _op6(),
+    "op7_quality_ledger": _OP7,
+    "op10_minhash_neardup": _OP10,
+}
