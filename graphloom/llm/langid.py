@@ -63,7 +63,7 @@ def _features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rolled = np.zeros(len(padded), np.uint64)
     for n in range(ORDERS):  # the n-gram that starts at each byte; one past the word's end falls on its neighbour's first byte, a blank
         rolled = rolled * np.uint64(257)
-        rolled[: len(padded) - n] += padded[n:]
+        rolled[: max(0, len(padded) - n)] += padded[n:]
         out[n] = (w.mix(rolled, n) % np.uint64(BUCKETS)).astype(np.int64)
     inside = np.arange(len(padded)) - np.repeat(starts[:-1], sizes)
     for n in range(1, ORDERS):

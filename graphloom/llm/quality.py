@@ -58,7 +58,7 @@ def measure(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     out = _steps(
         docs,
-        {"_body": r"btrim(text, ' \t\n\u000B\f\r')"},
+        {"_body": "btrim(text, ' \t\n\x0b\x0c\r')"},
         {"_words": f"CASE WHEN _body = '' THEN array() ELSE split(_body, '{_WS}+') END", "_lines": rf"filter(split(text, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')"},
         {
             "n_words": "CAST(size(_words) AS LONG)",
