@@ -16,23 +16,28 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often and wherever it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def histogram(values: Column, lo: float, hi: float, bins: int, density: bool = False) -> Column:
     """Counts in ``bins`` equal bins of width (hi - lo) / bins, counted from 0; values at or past the ends go to the first or last bin, negative ones nowhere."""
     width = (hi - lo) / bins
     slot = F.transform(F.filter(values, lambda v: v >= 0), lambda v: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(v / width).cast("int"))))
     count = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(slot, lambda s: s == b)).cast("double"))
-    return F.transform(count, lambda c: c / (width * _sum(count))) if density else count
+    return _let(count, lambda n: _let(_sum(n), lambda t: F.transform(n, lambda c: c / (width * t)))) if density else count
 
 
 def scaled_to_sum(values: Column) -> Column:
     """Values divided by their sum; as they are where that is 0."""
-    return F.when(_sum(values) == 0, values).otherwise(F.transform(values, lambda v: v / _sum(values)))
+    return _let(values, lambda v: _let(_sum(v), lambda t: F.transform(v, lambda x: F.when(t == 0, x).otherwise(x / t))))
 
 
 def scaled_to_norm(values: Column) -> Column:
     """Values divided by their Euclidean norm; as they are where that is 0."""
-    norm = F.sqrt(_sum(F.transform(values, lambda v: v * v)))
-    return F.when(norm == 0, values).otherwise(F.transform(values, lambda v: v / norm))
+    norm = lambda v: F.sqrt(_sum(F.transform(v, lambda x: x * x)))
+    return _let(values, lambda v: _let(norm(v), lambda t: F.transform(v, lambda x: F.when(t == 0, x).otherwise(x / t))))
 
 
 def gaussian_density(spectrum: Column, at: Column, gamma: float) -> Column:
@@ -67,7 +72,7 @@ def kl_divergence(p: Column, q: Column) -> Column:
 def js_distance(p: Column, q: Column) -> Column:
     """Square root of the Jensen-Shannon divergence, natural logarithm; at most sqrt(ln 2)."""
     middle = F.zip_with(p, q, lambda x, y: (x + y) / 2)
-    return F.sqrt(0.5 * kl_divergence(p, middle) + 0.5 * kl_divergence(q, middle))
+    return _let(middle, lambda m: F.sqrt(0.5 * kl_divergence(p, m) + 0.5 * kl_divergence(q, m)))
 
 
 def structural_distance(p: Column, q: Column) -> Column:

@@ -111,25 +111,38 @@ def times(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     return matrix.join(vector.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
 
 
-def _unit(vector: DataFrame) -> DataFrame:
-    norm = vector.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))  # one row
-    return vector.join(F.broadcast(norm)).select("i", F.coalesce(F.try_divide("x", "norm"), F.lit(0.0)).alias("x"))
+def _norm(vector: DataFrame) -> float:
+    return vector.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0
+
+
+def _scaled(vector: DataFrame, by: float) -> DataFrame:
+    return vector.select("i", (F.col("x") / by if by else F.lit(0.0)).alias("x"))
+
+
+def _with_all_rows(matrix: DataFrame) -> DataFrame:
+    """With a zero on the diagonal of every row and column, so that no product loses a row."""
+    names = matrix.select("i").union(matrix.select("j")).distinct()
+    return matrix.select("i", "j", "v").union(names.select("i", F.col("i").alias("j"), F.lit(0.0).alias("v")))
 
 
 def principal_eigenvector(matrix: DataFrame, rounds: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
-    """``(i, x)`` of unit length, by power iteration from all ones until a step is shorter than ``tolerance``."""
-    matrix = cut(matrix)
-    x = _unit(matrix.select("i").union(matrix.select("j")).distinct().select("i", F.lit(1.0).alias("x")))
-    for done in range(rounds):
-        y = _unit(x.select("i").join(times(matrix, x), "i", "left").na.fill(0.0, ["x"]))
-        if done % every == every - 1:
-            y, x = cut(y), cut(x)
-            step = y.join(x.withColumnRenamed("x", "was"), "i").agg(F.sqrt(F.sum((F.col("x") - F.col("was")) ** 2))).first()[0]
-            x = y
-            if step is None or step < tolerance:
-                break
-        else:
-            x = y
+    """``(i, x)`` of unit length, by power iteration from all ones until ``every`` steps together are shorter than ``tolerance``.
+
+    Lineage is cut every so many products, and the vector scaled then; each product uses the one before once.
+    """
+    matrix = cut(_with_all_rows(matrix))
+    x = matrix.select("i").distinct().withColumn("x", F.lit(1.0))
+    x = _scaled(x, _norm(x))
+    for _ in range(-(-rounds // every)):
+        y = x
+        for _ in range(every):
+            y = times(matrix, y)
+        y = cut(y)
+        y = _scaled(y, _norm(y))
+        step = y.join(x.withColumnRenamed("x", "was"), "i").agg(F.sqrt(F.sum((F.col("x") - F.col("was")) ** 2))).first()[0]
+        x = y
+        if step is None or step < tolerance:
+            break
     return x
 
 
@@ -198,35 +211,34 @@ def network_spectrum(network: Network, top: int = 8, rounds: int = 60, use_seque
     edges = stash(part.edges)
     part = Network(cut(part.vertices), edges)
     volumes = both_ways(edges, "weight").groupBy(F.col("src").alias("name")).agg(F.sum("weight").alias("volume"))
-    matrix, values, vectors = cut(laplacian(part)), [], []
+    matrix, values, found = cut(laplacian(part)), [], None
     for rank in range(top):
-        x = _unit(part.vertices.select(F.col("name").alias("i"), (F.xxhash64("name", F.lit(rank)) % 1000 / 1000.0 + 1e-3).alias("x")))
-        for done in range(rounds):
-            x = _without(x, vectors)
-            x = _unit(times(matrix, x))
-            if done % 5 == 4:
-                x = cut(x)
-        x = cut(_unit(_without(x, vectors)))
+        x = part.vertices.select(F.col("name").alias("i"), (F.xxhash64("name", F.lit(rank)) % 1000 / 1000.0 + 1e-3).alias("x"))
+        for _ in range(-(-rounds // 5)):
+            for _ in range(5):
+                x = times(matrix, x)
+            x = _apart(cut(x), found)
+            x = cut(_scaled(x, _norm(x)))
         if x.isEmpty():
             break
         value = times(matrix, x).join(x.withColumnRenamed("x", "y"), "i").agg(F.sum(F.col("x") * F.col("y"))).first()[0]
-        values.append((rank, value)), vectors.append(x)
-    spark = edges.sparkSession
-    eigenvalues = spark.createDataFrame(values, "rank int, eigenvalue double")
-    out = None
-    for rank, x in enumerate(vectors):
-        rows = x.select(F.lit(rank).alias("rank"), F.col("i").alias("name"), "x")
-        out = rows if out is None else out.union(rows)
-    return eigenvalues, out, volumes
-
-
-def _without(x: DataFrame, others: list[DataFrame]) -> DataFrame:
-    """x less its parts along the given unit vectors."""
-    for y in others:
-        both = x.join(y.withColumnRenamed("x", "y"), "i")
-        along = both.agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-        x = both.join(F.broadcast(along)).select("i", (F.col("x") - F.col("p") * F.col("y")).alias("x"))
-    return x
+        values.append((rank, float(value)))
+        own = x.select(F.lit(rank).alias("rank"), F.col("i").alias("name"), "x")
+        found = own if found is None else cut(found.union(own))
+    return edges.sparkSession.createDataFrame(values, "rank int, eigenvalue double"), found, volumes
+
+
+def _apart(x: DataFrame, others: DataFrame | None) -> DataFrame:
+    """x less its parts along unit vectors ``(rank, name, x)``."""
+    if others is None:
+        return x
+    rows = others.select("rank", F.col("name").alias("i"), F.col("x").alias("y"))
+    along = {r["rank"]: r["p"] for r in rows.join(x, "i").groupBy("rank").agg(F.sum(F.col("x") * F.col("y")).alias("p")).collect()}  # a number for each vector
+    share = F.lit(0.0)
+    for rank, p in along.items():
+        share = F.when(F.col("rank") == rank, F.lit(-p)).otherwise(share)
+    moved = rows.select("i", (share * F.col("y")).alias("x"))
+    return cut(x.union(moved).groupBy("i").agg(F.sum("x").alias("x")))
 
 
 def grown(signature: DataFrame) -> DataFrame:

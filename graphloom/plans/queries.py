@@ -234,7 +234,7 @@ def commute_distance(spark, sf):
 
 
 @query(
-    prelude("di") + ", q AS (SELECT name, list_transform(p, lambda x: least(2.0, 32 * x)) AS s FROM di), w AS (SELECT name, s, i, i / 100.0::DOUBLE AS w FROM q, (SELECT unnest(range(0, 200)) AS i) WHERE TRUE),"
+    prelude("di") + ", q AS (SELECT name, list_transform(p, lambda x: least(2.0, 32 * x)) AS s FROM di), w AS (SELECT name, s, i, i / 100.0::DOUBLE AS w FROM q, (SELECT unnest(range(0, 201)) AS i)),"
     " v AS (SELECT name, i, 1e-30 + list_sum(list_transform(s, lambda x: exp(-power(w - x, 2) / (2 * 0.04)) / (0.2 * sqrt(2 * pi())))) AS gauss, list_sum(list_transform(s, lambda x: 0.2 / (power(w - x, 2) + 0.04))) AS lorentz FROM w WHERE i % 2 = 0)"
     " SELECT name, list(round(gauss / t, 9) ORDER BY i) AS gaussian, list(round(lorentz / u, 9) ORDER BY i) AS lorentzian FROM (SELECT *, sum(gauss) OVER (PARTITION BY name) AS t, sum(lorentz) OVER (PARTITION BY name) AS u FROM v) GROUP BY name"
 )
@@ -501,7 +501,7 @@ def alignment_statistics(spark, sf):
     return metrics.alignment_statistics(metrics.keyed(left.vertices.select(F.col("name").alias("left"), F.col("name").alias("right")), "fragments"), left.edges, right)
 
 
-@query(prelude("tr", "pt") + "SELECT (SELECT count(*) FROM tr) AS n_one, (SELECT count(*) FROM pt) AS n_other, count(*) AS n_shared, 100.0 * count(*) / least(n_one, n_other) AS percent FROM tr JOIN pt USING (l, r)")
+@query(prelude("tr", "pt") + "SELECT (SELECT count(*) FROM tr) AS n_one, (SELECT count(*) FROM pt) AS n_other, count(*) AS n_shared, 100.0 * count(*) / least((SELECT count(*) FROM tr), (SELECT count(*) FROM pt)) AS percent FROM tr JOIN pt USING (l, r)")
 def alignment_overlap(spark, sf):
     return metrics.overlap(fx.truth(spark, sf), fx.perturbed(spark, sf))
 
