@@ -23,6 +23,8 @@ from graphloom.llm import words as w
 
 #: A chunk ends after one word in so many, on average, and after MOST words in any case.
 MEAN, MOST = 6, 64
+#: Words of the shortest chunk that is an anchor; shorter ones recur by chance.
+LEAST = 3
 _WINDOW = 16
 _GEAR = (w.mix(np.arange(256, dtype=np.uint64), 5) & np.uint64(0xFFFF)).astype(np.uint16)
 
@@ -109,13 +111,13 @@ def _extend(min_words: int):
     return run
 
 
-def repeated_passages(documents: DataFrame, min_words: int = 50, seed_words: int = 5) -> DataFrame:
+def repeated_passages(documents: DataFrame, min_words: int = 50, seed_words: int = 7) -> DataFrame:
     """Passages of ``documents (doc_id, text)`` that a document of smaller doc_id also has.
 
     A row for each passage: ``doc_id``, ``word`` (its first word), ``n_words``,
     ``start`` and ``stop`` (characters), ``source_doc_id``, ``source_word``.
-    ``seed_words`` is what two documents must share in whole chunks before
-    their words are compared. Passages of one document may overlap.
+    ``seed_words`` is what two documents must share in whole chunks, at one
+    shift of their words, before their words are compared. Passages of one document may overlap.
 
     Null and wordless texts, and rows with a null doc_id, have no passages.
     Repeated rows of one doc_id count as one document. Ties go to the smallest
@@ -123,12 +125,14 @@ def repeated_passages(documents: DataFrame, min_words: int = 50, seed_words: int
     table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = docs.mapInArrow(_chunk_rows, "doc_id long, word int, n int, digest long")
+    rows = docs.mapInArrow(_chunk_rows, "doc_id long, word int, n int, digest long").where(F.col("n") >= LEAST)
     first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("first"), F.max("doc_id").alias("last"))
     shared = first.where("first.doc_id < last").select("digest", F.col("first.doc_id").alias("src"), F.col("first.word").alias("src_word"))
     hits = rows.join(shared, "digest").where("doc_id > src")
-    anchors = hits.groupBy("doc_id", "src").agg(F.sum("n").alias("n"), F.collect_list(F.struct("word", "src_word")).alias("anchors"))  # no more than a document's chunks
-    anchors = stash(anchors.where(F.col("n") >= seed_words).drop("n"))
+    shift = F.col("word") - F.col("src_word")
+    lined = hits.groupBy("doc_id", "src", shift.alias("shift")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("word", "src_word")).alias("anchors"))  # no more than a document's chunks
+    anchors = lined.where(F.col("n") >= seed_words).groupBy("doc_id", "src").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    anchors = stash(anchors)
     ids = anchors.select("doc_id").union(anchors.select("src")).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = anchors.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("source")), "src")
