@@ -6,6 +6,7 @@ The folder is the session's ``spark.checkpoint.dir``; only where that is unset
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def stash(df: DataFrame) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of steps whose results are checkpointed, now and not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*stashed: DataFrame) -> None:
     """Delete tables that ``stash`` gave, once nothing that is still to run reads them."""
     for df in stashed:

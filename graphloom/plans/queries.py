@@ -176,7 +176,7 @@ def joint_spectra(spark, sf):
 
 @query()
 def network_spectrum(spark, sf):
-    values, vectors, _ = spectral.network_spectrum(fx.fragments(spark, sf), top=3, rounds=40)
+    values, vectors, _ = spectral.network_spectrum(fx.fragments(spark, sf), top=2, rounds=15)
     return vectors.join(F.broadcast(values), "rank")
 
 
@@ -529,7 +529,7 @@ def search_moves(spark, sf):
 @query()
 def search_iterations(spark, sf):
     alignment = cut(fx.perturbed(spark, sf).withColumn("score", F.lit(0.0)))
-    return search.improve(fx.left_network(spark, sf), fx.right_network(spark, sf), alignment, iterations=2)
+    return search.improve(fx.left_network(spark, sf), fx.right_network(spark, sf), alignment, iterations=2, rounds=4)
 
 
 # ---- terms ---------------------------------------------------------------
