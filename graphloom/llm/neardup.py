@@ -5,15 +5,15 @@
    and each bin keeps its least hash; an empty bin borrows from a full one
    picked by a fixed random order of its own (optimal densification).
 2. Documents with equal sets are one class; only classes go on.
-3. Signature bands make buckets. In each bucket every class is paired with the
-   least class only (a star), so a bucket of m classes costs m - 1 pairs.
-4. Pairs are confirmed on full sets; confirmed pairs make components.
-5. What a star can miss is a link between two classes of a bucket that are in
-   different components. Only buckets that still hold several components are
-   looked at again, and only pairs across components: the members outside a
-   bucket's most common component against the bucket. These are confirmed and
-   joined to the links. So every pair that shares a bucket is either confirmed
-   or already connected, and no cap drops any.
+3. Signature bands make buckets. In each bucket every class is paired with one
+   centre only (a star), so a bucket of m classes costs m - 1 pairs. Pairs are
+   confirmed on full sets; confirmed pairs make components.
+4. Buckets that still hold several components get further stars with other
+   centres, to members of other components than the centre's.
+5. What stars can miss is a link between two classes of a bucket that are still
+   in different components. These are the members outside a bucket's commonest
+   component against the bucket, less the pairs that counts of shingles of
+   their own rule out; the rest is confirmed too. So no cap drops a pair.
 
 With 32 bands of 5 bins, a pair of similarity 0.85 shares no band with
 probability (1 - 0.85^5)^32, about 7e-9.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import cut, stash
+from graphloom.durable import cut, discard, stash, tidy
 from graphloom.llm import words as w
 from graphloom.operators.components import connected_components
 
@@ -119,18 +119,15 @@ def _sets(width: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those ``pairs`` (a, b) of class documents whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stash(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those ``pairs (a, b)`` whose full sets ``(doc_id, shingles)`` are similar enough."""
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     held = pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("n"), (F.size("set_a") + F.size("set_b")).alias("both"))
     return held.where(F.lit(100 + percent) * F.col("n") >= F.lit(percent) * F.col("both")).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, turns: int = 2) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``documents (doc_id, text)``.
 
     Two documents are linked when ``100 * |A and B| >= percent * |A or B|`` on
@@ -147,19 +144,28 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, ban
     prints = stash(docs.mapInArrow(_fingerprints(width, bands, rows), schema))
     key = ["set_a", "set_b", "n_shingles"]
     classes = prints.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    members = _buckets(prints, classes)
-    stars = members.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).where("m > 1")
-    slack = 100.0 / percent
-    near = lambda x, y: (F.col(x) <= F.col(y) * slack) & (F.col(y) <= F.col(x) * slack)  # noqa: E731  sizes that can be similar enough
-    grouped = stash(members.join(stars.select("bucket", "a"), "bucket"))  # members of buckets with company
-    sized = grouped.where("a = doc_id").select("bucket", F.col("size").alias("size_a"))
-    pairs = cut(grouped.where("a <> doc_id").join(sized, "bucket").where(near("size", "size_a")).select("a", F.col("doc_id").alias("b")).distinct())
-    links = cut(confirm(pairs, docs, width, percent))
-    parts = cut(connected_components(links, "a", "b"))
-    rest = cut(_across(grouped, parts, near).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.union(confirm(rest, docs, width, percent))
+    reps = prints.join(classes, key).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", F.col("n_shingles").alias("size"), "bands")
+    members = reps.select("doc_id", "size", F.explode("bands").alias("bucket"))
+    company = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    grouped = stash(members.join(company, "bucket"))
+    ids = cut(grouped.select("doc_id").distinct())
+    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = stash(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
+    del texts, members, company
+    tidy(docs.sparkSession)
+    tested = links = grouped.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+    parts = ids.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
+    for turn in range(turns):
+        pairs = cut(_stars(_mixed(grouped, parts), percent, turn).join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        tested, links = tested.union(pairs), cut(links.union(confirm(pairs, sets, percent)))
         parts = cut(connected_components(links, "a", "b"))
+        tidy(docs.sparkSession)
+    rest = _across(_mixed(grouped, parts), reps.select("doc_id", "bands"), sets, percent)
+    discard(grouped, sets)
+    if not rest.isEmpty():
+        parts = cut(connected_components(links.union(rest), "a", "b"))
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     lone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     out = prints.drop("bands").join(named, key, "left")
@@ -167,22 +173,54 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, ban
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _buckets(prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(doc_id, size, bucket)``: each class's representative in each of its buckets."""
-    reps = prints.join(classes, ["set_a", "set_b", "n_shingles"]).where("doc_id = rep").dropDuplicates(["doc_id"])
-    return reps.select("doc_id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
+def _near(x: str, y: str, percent: int):
+    """Sizes of sets that can be similar enough."""
+    return (F.col(x) * percent <= F.col(y) * 100) & (F.col(y) * percent <= F.col(x) * 100)
 
 
-def _across(grouped: DataFrame, parts: DataFrame, near) -> DataFrame:
-    """Pairs of one bucket and different components, between members outside its commonest component and all."""
-    known = grouped.select("bucket", "doc_id", "size").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    known = cut(known.withColumn("component", F.coalesce("component", "doc_id")))
+def _mixed(grouped: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(bucket, doc_id, size, component)`` of the buckets that hold several components."""
+    known = grouped.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    known = cut(known.select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("component")))
     mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    held = known.join(mixed, "bucket")
-    counts = held.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    return known.join(mixed, "bucket")
+
+
+def _stars(mixed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of each bucket's centre with the members of other components; the centre is the least by doc_id at first, by a hash in later turns."""
+    order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+    centre = mixed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("x"), F.col("size").alias("size_x"), F.col("component").alias("of_x"))).alias("c")).select("bucket", "c.*")
+    held = mixed.join(centre, "bucket").where("component <> of_x").where(_near("size", "size_x", percent))
+    return held.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+
+
+def _across(mixed: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components: of members outside a bucket's commonest component with the whole bucket, found in the first bucket that a pair shares.
+
+    The test on full sets is part of the join's condition, so pairs that fail
+    it are never rows.
+
+    Shingles that no other member has bound what a pair can reach: with u of
+    them, x shares at most n_x - u_x shingles, and the union has at least
+    n_x + u_y. Pairs that cannot be similar enough are left out; none else is.
+    """
+    mixed = cut(mixed)
+    ids = mixed.select("doc_id").distinct()
+    alone = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    alone = alone.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+    counts = mixed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    minor = held.join(main, "bucket").where("component <> main").select("bucket", F.col("doc_id").alias("x"), F.col("size").alias("size_x"), F.col("component").alias("of_x"))
-    return minor.join(held, "bucket").where("component <> of_x").where(near("size", "size_x")).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    facts = ids.join(alone, "doc_id", "left").join(bands, "doc_id").join(sets, "doc_id").select("doc_id", F.coalesce("own", F.lit(0)).alias("own"), "bands", "shingles")
+    held = stash(mixed.join(facts, "doc_id").where(F.lit(100) * (F.col("size") - F.col("own")) >= F.lit(percent) * F.col("size")))
+    minor = held.join(main, "bucket").where("component <> main").select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "size", "component", "own", "bands", "shingles")])
+    fits = lambda n, u, v: F.lit(100) * (F.col(n) - F.col(u)) >= F.lit(percent) * (F.col(n) + F.col(v))
+    first = F.get(F.array_intersect("bands", "bands_x"), F.lit(0)) == F.col("bucket")
+    alike = F.lit(100 + percent) * F.size(F.array_intersect("shingles", "shingles_x")) >= F.lit(percent) * (F.col("size") + F.col("size_x"))
+    close = (F.col("component") != F.col("component_x")) & fits("size", "own", "own_x") & fits("size_x", "own_x", "own") & first & alike
+    found = minor.join(held.withColumnRenamed("bucket", "shared"), (F.col("bucket") == F.col("shared")) & close)
+    found = cut(found.select(F.least("doc_id_x", "doc_id").alias("a"), F.greatest("doc_id_x", "doc_id").alias("b")).distinct())
+    discard(held)
+    return found
 
 
 def neardup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
