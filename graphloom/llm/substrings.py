@@ -1,12 +1,15 @@
 """Passages that repeat across documents, by content-defined chunks.
 
-A gear rolling hash over the last 16 bytes decides after which words a chunk
-ends, so chunks depend on nearby text only: text inserted before a passage
-moves its chunks without changing them. Chunks are deduplicated by digest; the
-first document with a digest is its source. A shared chunk is an anchor, from
-which the words of both texts are compared outwards, so that what is reported
-is the exact common run, and only runs of ``min_words`` words or more count.
-White space does not matter to digests or comparisons.
+A gear rolling hash over 16 words gives every place a value; of each window of
+``min_words`` words the place of the least value is its anchor, and the windows
+of one anchor are a chunk. Both depend on the window's own words only, so equal
+windows have equal anchors whatever stands around them, and text without any
+particular word has anchors too. Chunks equal as a whole point to the first
+document with them; where chunks of one anchor differ, their windows are
+compared by digest, so a passage finds the first document that holds a whole
+window of it. From there the words of both texts are compared outwards, so that
+what is reported is the exact common run. White space does not matter to
+digests or comparisons.
 """
 
 from __future__ import annotations
@@ -18,46 +21,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import stash
+from graphloom.durable import discard, stash
 from graphloom.llm import words as w
 
-#: A chunk ends after one word in so many, on average, and after MOST words in any case.
-MEAN, MOST = 6, 64
-#: Words of the shortest chunk that is an anchor; shorter ones recur by chance.
-LEAST = 3
-_WINDOW = 16
-_GEAR = (w.mix(np.arange(256, dtype=np.uint64), 5) & np.uint64(0xFFFF)).astype(np.uint16)
+#: Words under the gear hash, a power of two.
+GRAM = 16
 
 
-def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every chunk: text, first word in it, words, digest."""
+def chunks(texts: pa.Array, min_words: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every chunk: text, first word in it, words, digest of its anchor, digest of all its words. Chunks overlap; every window of ``min_words`` words is in one."""
     data, offsets = w.raw(texts)
     starts, ends, at = w.spans(data, offsets)
-    if not len(starts):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    rolled = _GEAR[data]
-    for step in (1, 2, 4, 8):  # each doubles the window
-        rolled[step:] = rolled[step:] + (rolled[:-step] << step)
+    words = w.word_hashes(data, starts, ends)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    last = (rolled[ends - 1] < 65536 // MEAN) & (ends - offsets[doc] >= _WINDOW)  # a nearer window would reach into another text
-    first = np.zeros(len(starts), bool)
-    first[1:] = last[:-1]
-    first[at[:-1][np.diff(at) > 0]] = True
-    begin = np.flatnonzero(first)
-    long = np.diff(np.append(begin, len(first)))
-    for i in np.flatnonzero(long > MOST):
-        first[begin[i] : begin[i] + long[i] : MOST] = True
-    begin = np.flatnonzero(first)
-    end = np.append(begin[1:], len(first))
-    digest = w.range_hashes(w.word_hashes(data, starts, ends), begin, end)
-    return doc[begin], begin - at[doc[begin]], end - begin, digest
-
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in w.slices(batch):
-            doc, word, n, digest = chunks(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(word.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest.view(np.int64))], ["doc_id", "word", "n", "digest"])
+    window = np.flatnonzero(np.arange(len(words)) + min_words <= at[1:][doc])
+    if not len(window):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    gear, step = words, 1
+    while 2 * step <= min(GRAM, min_words):  # each doubles the words
+        gear = np.concatenate([gear[:-step] + (gear[step:] << np.uint64(step)), gear[len(gear) - step :]])
+        step *= 2
+    value = w.mix(gear)
+    least, at_least, wide, grams = value, np.arange(len(value)), 1, min_words - step + 1
+    while wide < grams:  # the first least of so many places from each on
+        by = min(wide, grams - wide)
+        less = least[by:] < least[:-by]
+        least, at_least = np.where(less, least[by:], least[:-by]), np.where(less, at_least[by:], at_least[:-by])
+        wide += by
+    anchor = at_least[window]
+    new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    begin, end = window[new], window[np.append(new[1:], len(window)) - 1] + min_words
+    return doc[begin], begin - at[doc[begin]], end - begin, value[anchor[new]], w.range_hashes(words, begin, end)
+
+
+def _chunk_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in w.slices(batch):
+                doc, word, n, digest, whole = chunks(part.column("text"), min_words)
+                ids = part.column("doc_id").take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(word.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(whole.view(np.int64))], ["doc_id", "word", "n", "digest", "whole"])
+
+    return run
+
+
+def _window_rows(min_words: int):
+    """Digests of all windows in the listed chunks of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in w.slices(batch):
+                data, offsets = w.raw(part.column("text"))
+                starts, ends, at = w.spans(data, offsets)
+                words, listed = w.word_hashes(data, starts, ends), part.column("chunks")
+                fields = listed.flatten()
+                doc = np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy())
+                first, n = (fields.field(k).to_numpy().astype(np.int64) for k in ("word", "n"))
+                first = first + at[doc]
+                has = first + n <= at[doc + 1]
+                doc, first, many = doc[has], first[has], n[has] - min_words + 1
+                begin = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+                doc = np.repeat(doc, many)
+                digest = w.range_hashes(words, begin, begin + min_words)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array((begin - at[doc]).astype(np.int32)), pa.array(digest.view(np.int64))], ["doc_id", "word", "digest"])
+
+    return run
 
 
 def common_runs(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -111,28 +139,34 @@ def _extend(min_words: int):
     return run
 
 
-def repeated_passages(documents: DataFrame, min_words: int = 50, seed_words: int = 7) -> DataFrame:
+def repeated_passages(documents: DataFrame, min_words: int = 50) -> DataFrame:
     """Passages of ``documents (doc_id, text)`` that a document of smaller doc_id also has.
 
     A row for each passage: ``doc_id``, ``word`` (its first word), ``n_words``,
     ``start`` and ``stop`` (characters), ``source_doc_id``, ``source_word``.
-    ``seed_words`` is what two documents must share in whole chunks, at one
-    shift of their words, before their words are compared. Passages of one document may overlap.
+    Every word in a run of ``min_words`` words that a smaller doc_id has is in
+    a passage. Passages of one document may overlap.
 
     Null and wordless texts, and rows with a null doc_id, have no passages.
-    Repeated rows of one doc_id count as one document. Ties go to the smallest
-    doc_id, then the first place in it. Other columns are ignored; an empty
-    table gives no rows.
+    Repeated rows of one doc_id count as one document. The source is the
+    smallest doc_id with the same chunk, or else with the same window, at the
+    first place in it. Other columns are ignored; an empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = docs.mapInArrow(_chunk_rows, "doc_id long, word int, n int, digest long").where(F.col("n") >= LEAST)
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("first"), F.max("doc_id").alias("last"))
-    shared = first.where("first.doc_id < last").select("digest", F.col("first.doc_id").alias("src"), F.col("first.word").alias("src_word"))
-    hits = rows.join(shared, "digest").where("doc_id > src")
-    shift = F.col("word") - F.col("src_word")
-    lined = hits.groupBy("doc_id", "src", shift.alias("shift")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("word", "src_word")).alias("anchors"))  # no more than a document's chunks
-    anchors = lined.where(F.col("n") >= seed_words).groupBy("doc_id", "src").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    anchors = stash(anchors)
+    rows = stash(docs.mapInArrow(_chunk_rows(min_words), "doc_id long, word int, n int, digest long, whole long"))
+    place = F.min(F.struct("doc_id", "word")).alias("first")
+    wholes = rows.groupBy("digest", "whole").agg(place, F.max("doc_id").alias("last"))
+    unlike = wholes.groupBy("digest").agg(F.count("*").alias("k"), F.min("first.doc_id").alias("low"), F.max("last").alias("high")).where("k > 1 AND low < high").select("digest", F.lit(True).alias("unlike"))
+    marked = wholes.join(unlike, "digest", "left").where("unlike OR first.doc_id < last").select("digest", "whole", "unlike", F.col("first.doc_id").alias("src"), F.col("first.word").alias("src_word"))
+    found = stash(rows.join(marked, ["digest", "whole"]).where("doc_id > src OR unlike").select("doc_id", "word", "n", "src", "src_word"))
+    same = found.where("doc_id > src").select("doc_id", "src", "word", "src_word")
+    # a chunk no smaller doc_id has as a whole may still have windows in common
+    open_ = found.where("doc_id = src").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("word", "n"))).alias("chunks"))  # no more than a document's chunks
+    windows = stash(docs.join(open_, "doc_id").mapInArrow(_window_rows(min_words), "doc_id long, word int, digest long"))
+    first = windows.groupBy("digest").agg(place, F.max("doc_id").alias("last")).where("first.doc_id < last")
+    part = windows.join(first.select("digest", F.col("first.doc_id").alias("src"), F.col("first.word").alias("src_word")), "digest").where("doc_id > src").select("doc_id", "src", "word", "src_word")
+    anchors = stash(same.union(part).groupBy("doc_id", "src").agg(F.collect_list(F.struct("word", "src_word")).alias("anchors")))
+    discard(rows, found, windows)
     ids = anchors.select("doc_id").union(anchors.select("src")).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = anchors.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("source")), "src")

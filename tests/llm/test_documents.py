@@ -124,6 +124,25 @@ def test_repeated_passages(spark):
         assert i in got or left[i] == text
 
 
+def covered(spark, rows):
+    got = {}
+    for r in substrings.repeated_passages(frame(spark, rows)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["word"], r["word"] + r["n_words"]))
+    return got
+
+
+def test_passages_whose_parts_come_from_elsewhere(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 400, 10):  # halves in different earlier documents, then the whole twice
+        a, b = (sentence(rng, 30) for _ in range(2))
+        rows += [(i + k, " ".join([sentence(rng, 20), text, sentence(rng, 20)])) for k, text in enumerate([a, b, f"{a} {b}", f"{a} {b}"])]
+        line = sentence(rng, 20)  # an earlier place of the line in the source itself
+        rows += [(i + k, " ".join([line, sentence(rng, 9), sentence(random.Random(i), 20), line, sentence(random.Random(i + 1), 20), sentence(rng, 5)])) for k in (5, 6)]
+    want = brute_passages(rows, 50)
+    assert len(want) == 80 and covered(spark, rows) == want
+
+
 def test_chunks_resist_insertions():
     import pyarrow as pa
 
