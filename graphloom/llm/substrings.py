@@ -88,11 +88,15 @@ def _window_rows(min_words: int):
     return run
 
 
-def common_runs(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Maximal equal runs through the anchors: (start in mine, start in theirs, length)."""
-    done, out = {}, []
-    for i, j in sorted(anchors):
-        if i < done.get(i - j, 0):
+def common_runs(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Maximal equal runs through the anchors, equal stretches (start in mine, start in theirs, length); the runs too are such triples.
+
+    A stretch inside a run that is found already gives no other one, or a word
+    repeated n times would give n runs.
+    """
+    done, out, reach = {}, [], 0
+    for i, j, long in sorted(anchors):
+        if i < done.get(i - j, 0) or i + long <= reach:  # every run begins at an earlier anchor or before it
             continue
         n = min(len(mine) - i, len(theirs) - j)
         apart = np.flatnonzero(mine[i : i + n] != theirs[j : j + n])
@@ -101,6 +105,7 @@ def common_runs(mine: np.ndarray, theirs: np.ndarray, anchors: list[tuple[int, i
         apart = np.flatnonzero(mine[i - m : i][::-1] != theirs[j - m : j][::-1])
         before = int(apart[0]) if len(apart) else m
         done[i - j] = i + max(after, 1)
+        reach = max(reach, i + after)
         out.append((i - before, j - before, before + after))
     return out
 
@@ -130,7 +135,7 @@ def _extend(min_words: int):
                     if known[0] != src:  # rows come sorted by source
                         known = (src, _Text(source))
                     mine = _Text(text)
-                    for i, j, n in common_runs(mine.words, known[1].words, [(a["word"], a["src_word"]) for a in anchors]):
+                    for i, j, n in common_runs(mine.words, known[1].words, [(a["word"], a["src_word"], a["n"]) for a in anchors]):
                         if n >= min_words:
                             out.append((doc, i, n, *mine.chars(i, i + n), src, j))
                 names = ["doc_id", "word", "n_words", "start", "stop", "source_doc_id", "source_word"]
@@ -159,13 +164,13 @@ def repeated_passages(documents: DataFrame, min_words: int = 50) -> DataFrame:
     unlike = wholes.groupBy("digest").agg(F.count("*").alias("k"), F.min("first.doc_id").alias("low"), F.max("last").alias("high")).where("k > 1 AND low < high").select("digest", F.lit(True).alias("unlike"))
     marked = wholes.join(unlike, "digest", "left").where("unlike OR first.doc_id < last").select("digest", "whole", "unlike", F.col("first.doc_id").alias("src"), F.col("first.word").alias("src_word"))
     found = stash(rows.join(marked, ["digest", "whole"]).where("doc_id > src OR unlike").select("doc_id", "word", "n", "src", "src_word"))
-    same = found.where("doc_id > src").select("doc_id", "src", "word", "src_word")
+    same = found.where("doc_id > src").select("doc_id", "src", "word", "src_word", "n")
     # a chunk no smaller doc_id has as a whole may still have windows in common
     open_ = found.where("doc_id = src").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("word", "n"))).alias("chunks"))  # no more than a document's chunks
     windows = stash(docs.join(open_, "doc_id").mapInArrow(_window_rows(min_words), "doc_id long, word int, digest long"))
     first = windows.groupBy("digest").agg(place, F.max("doc_id").alias("last")).where("first.doc_id < last")
-    part = windows.join(first.select("digest", F.col("first.doc_id").alias("src"), F.col("first.word").alias("src_word")), "digest").where("doc_id > src").select("doc_id", "src", "word", "src_word")
-    anchors = stash(same.union(part).groupBy("doc_id", "src").agg(F.collect_list(F.struct("word", "src_word")).alias("anchors")))
+    part = windows.join(first.select("digest", F.col("first.doc_id").alias("src"), F.col("first.word").alias("src_word")), "digest").where("doc_id > src").select("doc_id", "src", "word", "src_word", F.lit(min_words).alias("n"))
+    anchors = stash(same.union(part).groupBy("doc_id", "src").agg(F.collect_list(F.struct("word", "src_word", "n")).alias("anchors")))
     discard(rows, found, windows)
     ids = anchors.select("doc_id").union(anchors.select("src")).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -143,6 +143,19 @@ def test_passages_whose_parts_come_from_elsewhere(spark):
     assert len(want) == 80 and covered(spark, rows) == want
 
 
+def test_passages_of_repeated_words_and_phrases(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(120):
+        unit = rng.choice([["and"], ["it"], ["of."], ["of", "the"], ["no", "no", "yes"], [f"w{k}" for k in range(rng.choice([17, 49, 51]))]])
+        run = (unit * 200)[rng.randrange(len(unit)) :][: rng.choice([40, 49, 50, 51, 63, 64, 65, 130, 180])]
+        rows.append((i, " ".join([sentence(rng, rng.randrange(1, 40)), *run, sentence(rng, rng.randrange(1, 40))])))
+    rows += [(200, "and " * 3000), (201, "so " + "and " * 4000)]
+    assert covered(spark, rows) == brute_passages(rows, 50)
+    n = substrings.repeated_passages(frame(spark, rows[-2:])).count()
+    assert 0 < n < 100  # and not one for each place
+
+
 def test_chunks_resist_insertions():
     import pyarrow as pa
 
