@@ -93,6 +93,18 @@ def test_matchings_against_brute_force(spark):
     assert sum(r["d"] for r in auction) + 3 * (6 - len(auction)) <= least + 6 * 0.2
 
 
+def test_large_components_are_matched_like_small_ones(spark):
+    rng = random.Random(4)
+    rows = [(a, b, rng.random() / 100) for a in range(40) for b in range(35) if rng.random() < 0.08]  # differences far below 0.06
+    rows += [(50, 60, 0.0), (50, 61, 9.0), (51, 60, 9.0), (52, 60, 1.0)]  # two pairs are worth more than the nearest
+    table = spark.createDataFrame(rows, "left long, right long, d double")
+    small, large = (sorted(map(tuple, matching.optimal(table, exact).collect())) for exact in (2000, 1))
+    assert len(small) == len(large) and math.isclose(sum(r[2] for r in small), sum(r[2] for r in large), rel_tol=1e-9)
+    assert set(large) <= set(rows) and len({r[0] for r in large}) == len({r[1] for r in large}) == len(large)
+    assert {r for r in large if r[0] >= 50} == {(50, 61, 9.0), (52, 60, 1.0)}
+
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(1, 6), st.integers(0, 10**6))
 def test_assignment(n, seed):
