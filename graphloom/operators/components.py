@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import cut
+from graphloom.durable import Scratch, cut, discard
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -19,21 +19,40 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Rows with a null endpoint are ignored; a self-loop gives a component of one
     node; duplicate edges count once; no edges give no rows.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    nodes = cut(pairs.select("u").union(pairs.select(F.col("v").alias("u"))).distinct())
-    # u is the larger end, v the smaller
-    links = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = _print(links)
-    while seen[0]:
-        links = cut(_small_star(_large_star(links)))
-        now = _print(links)
-        if now == seen:
-            break
-        seen = now
+    with Scratch() as whole:
+        pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct()
+        pairs = cut(pairs)
+        nodes = whole.keep(cut(pairs.select("u").union(pairs.select(F.col("v").alias("u"))).distinct()))
+        # u is the larger end, v the smaller
+        links = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        seen = _print(links)
+        while seen[0]:
+            after = cut(_small_star(_large_star(links)))
+            discard(links)
+            links, now = after, _print(after)
+            if now == seen:
+                break
+            seen = now
+        whole.keep(links)
     roots = links.groupBy("u").agg(F.min("v").alias("v"))
     return nodes.join(roots, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
 
 
+def joined_components(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, component)`` of known ``parts`` after further ``links (a, b)``.
+
+    Only the links between known components are looked at, so the work goes
+    with them and not with what is settled. Nodes without a part are their own.
+    """
+    of = lambda c, out: parts.select(F.col("node").alias(c), F.col("component").alias(out))
+    named = links.select("a", "b").join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    named = cut(named.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")))
+    merged = connected_components(named.where("x <> y"), "x", "y").select(F.col("node").alias("component"), F.col("component").alias("now"))
+    ends = F.array(*(F.struct(F.col(n).alias("node"), F.col(c).alias("component")) for n, c in ("ax", "by")))
+    every = parts.select("node", "component").union(named.select(F.explode(ends).alias("p")).select("p.*")).distinct()
+    return every.join(merged, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+
+
 def _print(links: DataFrame) -> tuple:
     """Row count and order-free hash of the edges: equal when a round changed nothing."""
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.durable import cut
+from graphloom.durable import Scratch, cut, discard
 from graphloom.network import Network, both_ways
 from graphloom.operators.components import connected_components
 
@@ -51,24 +51,23 @@ def rings(network: Network, k: int, weighted: bool = False) -> DataFrame:
     """
     steps = both_ways(network.edges.where("src <> dst"), "weight")
     if not weighted:
-        pairs = steps.select("src", "dst").distinct()
-        found = pairs.select(F.col("src").alias("center"), F.lit(1).alias("level"), F.col("dst").alias("vertex"))
-        last = found
+        pairs = cut(steps.select("src", "dst").distinct())
+        found = last = pairs.select(F.col("src").alias("center"), F.lit(1).alias("level"), F.col("dst").alias("vertex"))
         for level in range(2, k + 1):
             reach = last.join(pairs.withColumnRenamed("src", "vertex"), "vertex").where("dst <> center").select("center", F.col("dst").alias("vertex")).distinct()
             last = cut(reach.join(found, ["center", "vertex"], "left_anti").select("center", F.lit(level).alias("level"), "vertex"))
-            found = cut(found.union(last)) if level < k else found.union(last)
+            found = found.union(last)
         return found
-    steps = steps.groupBy("src", "dst").agg(F.min("weight").alias("weight")).where(F.col("weight") <= k)
-    near = steps.select(F.col("src").alias("center"), F.col("dst").alias("vertex"), F.col("weight").alias("dist"))
-    near = cut(near)
+    steps = cut(steps.groupBy("src", "dst").agg(F.min("weight").alias("weight")).where(F.col("weight") <= k))
+    near = cut(steps.select(F.col("src").alias("center"), F.col("dst").alias("vertex"), F.col("weight").alias("dist")))
     while True:
         onward = near.join(steps.withColumnRenamed("src", "vertex"), "vertex").select("center", F.col("dst").alias("vertex"), (F.col("dist") + F.col("weight")).alias("dist"))
         both = near.union(onward.where((F.col("dist") <= k) & (F.col("center") != F.col("vertex")))).groupBy("center", "vertex").agg(F.min("dist").alias("dist"))
         both = cut(both)
-        fell = both.join(near.withColumnRenamed("dist", "was"), ["center", "vertex"], "left").where("was IS NULL OR dist < was")
+        done = both.join(near.withColumnRenamed("dist", "was"), ["center", "vertex"], "left").where("was IS NULL OR dist < was").isEmpty()
+        discard(near)
         near = both
-        if fell.isEmpty():
+        if done:
             break
     return near.select("center", F.floor("dist").cast("int").alias("level"), "vertex").where("level >= 1")
 
@@ -142,23 +141,40 @@ def _inside(groups: DataFrame, edges: DataFrame) -> DataFrame:
 def bottleneck_flow(tree: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """``(u, v, flow)``: least capacity on the tree path of every pair of ``tree (s, t, capacity)``, 0 for a vertex and itself.
 
-    The frontier of new pairs is joined with the edges until it is empty; a
-    tree has one path for each pair. ``sources (name)`` restricts u.
+    All pairs come by path doubling: a pair at distance over 2^k is one at
+    exactly 2^k and one of the known ones behind it, so there are as many
+    rounds as the longest path has binary digits. ``sources (name)`` restricts
+    u; then a frontier grows from them edge by edge, as doubling would need
+    the pairs of all others too.
     """
-    steps = tree.select("s", "t", "capacity").union(tree.select(F.col("t"), F.col("s"), "capacity")).where("s <> t")
+    steps = tree.select("s", "t", F.col("capacity").cast("double").alias("capacity"))
+    steps = cut(steps.union(steps.select(F.col("t"), F.col("s"), "capacity")).where("s <> t"))
     names = steps.select(F.col("s").alias("u")).distinct()
-    if sources is not None:
-        names = names.join(sources.select(F.col("name").alias("u")), "u", "left_semi")
-    found = names.select("u", F.col("u").alias("v"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("double").alias("flow"))
-    last, out = found, names.select("u", F.col("u").alias("v"), F.lit(0.0).alias("flow"))
+    if sources is None:
+        return _doubled_flow(steps, names)
+    names = cut(names.join(sources.select(F.col("name").alias("u")), "u", "left_semi"))
+    out, last = names.select("u", F.col("u").alias("v"), F.lit(0.0).alias("flow")), names.select("u", F.col("u").alias("v"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("double").alias("flow"))
     while True:
         last = last.join(steps, F.col("v") == F.col("s")).where("via IS NULL OR CAST(t AS STRING) <> via")
-        last = cut(last.select("u", F.col("t").alias("v"), F.col("s").cast("string").alias("via"), F.least("flow", F.col("capacity").cast("double")).alias("flow")))
+        last = cut(last.select("u", F.col("t").alias("v"), F.col("s").cast("string").alias("via"), F.least("flow", "capacity").alias("flow")))
         if last.isEmpty():
             return out
         out = out.union(last.select("u", "v", "flow"))
 
 
+def _doubled_flow(steps: DataFrame, names: DataFrame) -> DataFrame:
+    """``first`` and ``last`` are the vertices next to u and v on the path: two paths join to one where it does not turn back."""
+    known = cut(steps.select(F.col("s").alias("u"), F.col("t").alias("v"), F.col("t").alias("first"), F.col("s").alias("last"), F.lit(1).alias("far"), F.col("capacity").alias("flow")))
+    reach = 1
+    while True:
+        head = known.where(F.col("far") == reach).select("u", F.col("v").alias("mid"), "first", F.col("last").alias("turn"), F.col("flow").alias("one"))
+        tail = known.select(F.col("u").alias("mid"), "v", F.col("first").alias("next"), "last", "far", F.col("flow").alias("two"))
+        fresh = cut(head.join(tail, "mid").where("next <> turn").select("u", "v", "first", "last", (F.col("far") + reach).alias("far"), F.least("one", "two").alias("flow")))
+        if fresh.isEmpty():
+            return known.select("u", "v", "flow").union(names.select("u", F.col("u").alias("v"), F.lit(0.0)))
+        known, reach = known.union(fresh), 2 * reach
+
+
 def flow_cutoff(flows: DataFrame) -> DataFrame:
     """Of ``flows (center, level, vertex, flow)`` those with a number of at least mean - 3 population deviations of their ring."""
     real = flows.where(F.col("flow").isNotNull() & ~F.isnan("flow"))
@@ -182,36 +198,54 @@ def walk_laplacian(edges: DataFrame) -> DataFrame:
     return steps.select(F.col("src").alias("i"), F.col("dst").alias("j"), (-F.col("w")).alias("v")).union(steps.groupBy("src").agg(F.sum("w").alias("v")).select(F.col("src").alias("i"), F.col("src").alias("j"), "v"))
 
 
-def hitting_time(edges: DataFrame, targets: DataFrame, tolerance: float = 1e-6, most_rounds: int = 500, every: int = 10) -> DataFrame:
+def hitting_time(edges: DataFrame, targets: DataFrame, tolerance: float = 1e-9, most_rounds: int = 2000) -> DataFrame:
     """``(target, name, hitting)``: expected steps of the random walk from each vertex to each of ``targets (name)``.
 
-    Jacobi rounds of h = 1 + P h with h(target) = 0, until no value moves by
-    more than ``tolerance`` times itself. Only vertices that reach the target
-    have a row.
+    h(target) = 0 and h = 1 + P h elsewhere is the symmetric positive system
+    (D - W) h = D 1, solved for all targets at once by conjugate gradients
+    scaled by D: a round is a product along the edges and two sums per target.
+    A target is done when its scaled residual is ``tolerance`` of the first
+    one; if some are not within ``most_rounds``, that is an error. Only
+    vertices that reach the target have a row.
     """
-    p = cut(transition_matrix(edges))
-    goals = cut(targets.select(F.col("name").alias("target")).distinct())
-    part = connected_components(edges)
-    scope = cut(goals.join(part.withColumnRenamed("node", "target"), "target").join(part.withColumnRenamed("node", "name"), "component").select("target", "name"))
-    h = scope.withColumn("hitting", F.lit(0.0))
-    for done in range(most_rounds):
-        moved = p.join(h.withColumnRenamed("name", "j"), "j").groupBy("target", F.col("i").alias("name")).agg((1 + F.sum(F.col("p") * F.col("hitting"))).alias("hitting"))
-        moved = moved.withColumn("hitting", F.when(F.col("name") == F.col("target"), 0.0).otherwise(F.col("hitting")))
-        if done % every == every - 1:
-            moved, before = cut(moved), cut(h)
-            gap = moved.join(before.withColumnRenamed("hitting", "was"), ["target", "name"]).agg(F.max(F.abs(F.col("hitting") - F.col("was")) / F.greatest(F.lit(1.0), "hitting"))).first()[0]
-            h = moved
-            if gap is None or gap <= tolerance:
-                break
-        else:
-            h = moved
-    return h
+    steps = cut(both_ways(edges.where("src <> dst"), "weight").groupBy("src", "dst").agg(F.sum("weight").alias("w")))
+    degree = steps.groupBy(F.col("src").alias("name")).agg(F.sum("w").alias("d"))
+    goals = cut(targets.select(F.col("name").alias("target")).where("target IS NOT NULL").distinct())
+    part = cut(connected_components(steps))
+    scope = goals.join(part.select(F.col("node").alias("target"), "component"), "target").join(part.select(F.col("node").alias("name"), "component"), "component")
+    one = F.lit(1.0)
+    state = cut(scope.where("target <> name").join(degree, "name").select("target", "name", "d", F.lit(0.0).alias("x"), F.col("d").alias("r"), one.alias("p")))
+    size = state.groupBy("target").agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz"))
+    size = cut(size.select("target", "rz", (F.col("rz") * tolerance * tolerance).alias("goal"), F.lit(0.0).alias("b")))
+    for _ in range(most_rounds):
+        if size.where("rz > goal").isEmpty():
+            break
+        with Scratch() as s:
+            near = state.join(size.where("rz > goal").select("target"), "target", "left_semi")
+            sent = near.select("target", F.col("name").alias("src"), "p").join(steps, "src").groupBy("target", F.col("dst").alias("name")).agg(F.sum(F.col("w") * F.col("p")).alias("wp"))
+            moved = cut(state.join(sent, ["target", "name"], "left").withColumn("q", F.col("d") * F.col("p") - F.coalesce("wp", F.lit(0.0))).drop("wp"))
+            dots = moved.groupBy("target").agg(F.sum(F.col("p") * F.col("q")).alias("pq")).join(size.drop("b"), "target")
+            length = dots.select("target", "goal", F.col("rz").alias("was"), F.when(F.col("rz") > F.col("goal"), F.coalesce(F.try_divide("rz", "pq"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("a"))
+            length = cut(length)
+            stepped = moved.join(length, "target").select("target", "name", "d", (F.col("x") + F.col("a") * F.col("p")).alias("x"), (F.col("r") - F.col("a") * F.col("q")).alias("r"), "p")
+            stepped = cut(stepped)
+            after = stepped.groupBy("target").agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz")).join(length, "target")
+            after = s.keep(cut(after.select("target", "rz", "goal", F.coalesce(F.try_divide("rz", "was"), F.lit(0.0)).alias("b"))))
+            following = stepped.join(after, "target").select("target", "name", "d", "x", "r", (F.col("r") / F.col("d") + F.col("b") * F.col("p")).alias("p"))
+            following = s.keep(cut(following))
+        discard(state, size)
+        state, size = following, after
+    else:
+        raise ValueError(f"{size.where('rz > goal').count()} targets have not settled after {most_rounds} rounds")
+    own = scope.where("target = name").select("target", "name", F.lit(0.0).alias("hitting"))
+    return state.select("target", "name", F.col("x").alias("hitting")).union(own)
 
 
 def commute_distance(edges: DataFrame, pairs: DataFrame, **how) -> DataFrame:
     """``(u, v, distance)`` for requested ``pairs (u, v)``: hitting time there and back."""
     ends = pairs.select(F.col("u").alias("name")).union(pairs.select(F.col("v").alias("name"))).distinct()
-    h = cut(hitting_time(edges, ends, **how))
+    with Scratch() as s:
+        h = s.keep(cut(hitting_time(edges, ends, **how)))
     there = h.select(F.col("name").alias("u"), F.col("target").alias("v"), F.col("hitting").alias("there"))
     back = h.select(F.col("target").alias("u"), F.col("name").alias("v"), F.col("hitting").alias("back"))
     return pairs.select("u", "v").join(there, ["u", "v"]).join(back, ["u", "v"]).select("u", "v", (F.col("there") + F.col("back")).alias("distance"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.durable import stash
+from graphloom.durable import cut
 from graphloom.functions import kernels
 
 INFINITE = float("inf")
@@ -67,29 +67,31 @@ def smallest_distinct(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("d").distinct().orderBy("d").limit(k)
 
 
-def order_statistic(pairs: DataFrame, column: str, share: float = 0.0005) -> DataFrame:
+def order_statistic(pairs: DataFrame, column: str, share: float = 0.0005, few: int = 10_000) -> DataFrame:
     """One row: the positive value at place floor(share * n) in order, exactly.
 
-    Values are counted first; ranges of values then narrow the place down, so only one range is looked at closely.
+    Values are counted first; ranges of values then narrow the place down,
+    again and again until the range that holds it has few enough values to be
+    looked at one by one.
     """
-    values = pairs.where(F.col(column) > 0).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
-    values = stash(values)
+    values = cut(pairs.where(F.col(column) > 0).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n")))
     total = values.agg(F.sum("n")).first()[0]
     if not total:
         return values.agg(F.max("x").alias(column))
-    place = int(math.floor(share * total))
-    cuts = [0.0, *values.approxQuantile("x", [i / 256 for i in range(1, 256)], 0.001), INFINITE]
-    bucket = F.lit(0)
-    for i, x in enumerate(sorted(set(cuts))[1:-1]):
-        bucket = F.when(F.col("x") >= x, i + 1).otherwise(bucket)
-    ranges = {r["b"]: r["n"] for r in values.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}  # at most 256 rows
-    before = 0
-    for b in sorted(ranges):
-        if before + ranges[b] > place:
-            break
-        before += ranges[b]
-    upto = F.sum("n").over(Window.orderBy("x"))
-    return values.where(bucket == b).withColumn("upto", upto).where(F.col("upto") > place - before).agg(F.min("x").alias(column))
+    place, inside = int(math.floor(share * total)), values
+    while inside.count() > few:
+        ends = sorted(set(inside.approxQuantile("x", [i / 256 for i in range(1, 256)], 0.001)))
+        ranges = inside.groupBy(F.expr(f"size(filter(array({', '.join(f'{x!r}D' for x in ends)}), e -> x >= e))").alias("b")).agg(F.sum("n").alias("n"))
+        before = 0
+        for b, n in sorted(tuple(r) for r in ranges.collect()):  # at most 256 rows
+            if before + n > place:
+                break
+            before += n
+        place -= before
+        lo, hi = [-INFINITE, *ends, INFINITE][b : b + 2]
+        inside = inside.where((F.col("x") >= lo) & (F.col("x") < hi))
+    upto = F.sum("n").over(Window.orderBy("x"))  # over few values
+    return inside.withColumn("upto", upto).where(F.col("upto") > place).agg(F.min("x").alias(column))
 
 
 def inferred_alpha(pairs: DataFrame, share: float = 0.0005) -> DataFrame:
@@ -115,7 +117,7 @@ def _distinct(vectors: DataFrame, block: int, side: str) -> tuple[DataFrame, Dat
     """Distinct vectors with a number and block, names by number, and how many blocks."""
     rows = vectors.select("name", "levels", F.xxhash64("levels").alias("a"), F.hash("levels").alias("b"))
     named = rows.select(F.col("name").alias(side), F.struct("a", "b").alias(f"{side}_id"))
-    distinct = stash(rows.groupBy("a", "b").agg(F.first("levels").alias("levels")))
+    distinct = cut(rows.groupBy("a", "b").agg(F.first("levels").alias("levels")))
     blocks = max(1, math.ceil(distinct.count() / block))
     return distinct.select("a", "b", "levels", F.pmod("a", F.lit(blocks)).cast("int").alias("block")), named, blocks
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.durable import cut, stash
+from graphloom.durable import Scratch, cut, discard
 from graphloom.functions import kernels
 from graphloom.functions.distances import histogram, scaled_to_sum
 from graphloom.network import Network, both_ways
 from graphloom.operators import graph
 
+#: Bytes of matrices or vectors that a task holds at a time, and edges a vertex in the largest ball that is gathered.
+STACK_BYTES, MEAN_DEGREE = 32 << 20, 100
+
 
 def laplacian(network: Network) -> DataFrame:
     """``(i, j, v)`` of I - D^-1/2 W D^-1/2, with 1 on the whole diagonal; loops don't count, weights of parallel edges add up."""
@@ -25,43 +31,94 @@ def laplacian(network: Network) -> DataFrame:
     return off.union(network.vertices.select(F.col("name").alias("i"), F.col("name").alias("j"), F.lit(1.0).alias("v")))
 
 
-def _eigenvalues(names: list, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Ascending eigenvalues of the normalised Laplacian of a small graph; ``a``, ``b`` are places in ``names``."""
-    m = np.zeros((len(names), len(names)))
-    np.add.at(m, (a, b), w)
-    np.add.at(m, (b, a), w)
-    d = m.sum(axis=1)
-    scale = np.divide(1, np.sqrt(d), out=np.zeros_like(d), where=d > 0)
-    m = -m * scale[:, None] * scale
-    np.fill_diagonal(m, 1.0)
-    return np.linalg.eigvalsh(m)
-
-
-def _spectra(k: int, max_ball: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _eigenvalues(weights: list[np.ndarray]) -> list[np.ndarray]:
+    """Ascending eigenvalues of the normalised Laplacian of each small graph, from its symmetric weights; graphs of one size are solved together."""
+    out: list[np.ndarray] = [np.zeros(0)] * len(weights)
+    sizes = np.array([len(w) for w in weights], int)
+    for n in np.unique(sizes):
+        which = np.flatnonzero(sizes == n)
+        step = max(1, STACK_BYTES // (8 * n * n))
+        for some in (which[i : i + step] for i in range(0, len(which), step)):
+            m = np.stack([weights[i] for i in some])
+            d = m.sum(axis=2)
+            scale = np.divide(1, np.sqrt(d), out=np.zeros_like(d), where=d > 0)
+            m *= -scale[:, :, None] * scale[:, None, :]
+            m[:, np.arange(n), np.arange(n)] = 1.0
+            for i, values in zip(some, np.linalg.eigvalsh(m), strict=True):
+                out[i] = values
+    return out
+
+
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists, joined, and where each list begins (one more than lists)."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _weights(codes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Symmetric weights among the vertices ``codes``, in their order, of edges given by codes of their ends."""
+    order = np.argsort(codes)
+    i, j = (order[np.searchsorted(codes, x, sorter=order)] for x in (a, b))
+    m = np.zeros((len(codes), len(codes)))
+    np.add.at(m, (np.concatenate([i, j]), np.concatenate([j, i])), np.concatenate([w, w]))
+    return m
+
+
+def _spectra(k: int):
+    """Rows of a centre, its ball's vertices and levels and edges inside: as lists of numbers, without an object for each vertex."""
+
+    def one_slice(part: pa.RecordBatch) -> pa.RecordBatch:
+        members, at = _flat(part.column("vertices"))
+        ends, to = _flat(part.column("src"))
+        n, m, e = len(part), len(members), len(ends)
+        names = pa.concat_arrays([part.column("center"), members, ends, part.column("dst").flatten()]).dictionary_encode()
+        by_name = pc.sort_indices(names.dictionary).to_numpy()
+        place = np.empty(len(by_name), np.int64)
+        place[by_name] = np.arange(len(by_name))
+        code = place[_numbers(names.indices)]
+        sorted_names = names.dictionary.take(pa.array(by_name))
+        center, member, src, dst = code[:n], code[n : n + m], code[n + m : n + m + e], code[n + m + e :]
+        level, weight = _numbers(part.column("levels").flatten()), _numbers(part.column("weights").flatten())
+        most, counts = _numbers(part.column("most")), _numbers(part.column("counts").flatten()).reshape(n, 2 * k)
+        rings, graphs, rows = [], [], []  # rows: centre, level, graph, density
+        for i in range(n):
+            own = np.lexsort((member[at[i] : at[i + 1]], level[at[i] : at[i + 1]])) + at[i]
+            codes, edges = np.concatenate([center[i : i + 1], member[own]]), slice(to[i], to[i + 1])
+            whole = _weights(codes, src[edges], dst[edges], weight[edges])
+            sizes = 1 + np.searchsorted(level[own], np.arange(k + 1), "right")  # of the ball at each level
+            graph_of = -1
+            for x in range(1, k + 1):
+                vertices, edges_in = counts[i, x - 1], counts[i, k + x - 1]
+                density = vertices / edges_in if edges_in else np.inf
+                if x > most[i]:
+                    rows.append((i, x, -1, density))
+                    continue
+                size = sizes[x]
+                if graph_of < 0 or size > sizes[x - 1]:
+                    graph_of = len(graphs)
+                    rings.append(codes[sizes[x - 1] : size])
+                    graphs.append(whole[:size, :size])  # every edge among these vertices is within the level
+                rows.append((i, x, graph_of, density))
+        spectra = _eigenvalues(graphs)
+        which = [r[2] for r in rows]
+        lists = lambda values, kind: pa.array([None if g < 0 else values[g] for g in which], pa.list_(kind))
+        ring = lists(rings, pa.int64())
+        ring = pa.ListArray.from_arrays(ring.offsets, sorted_names.take(ring.flatten()), mask=ring.is_null())
+        columns = [part.column("center").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), ring, lists(spectra, pa.float64()), pa.array([r[3] for r in rows], pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["name", "level", "ring", "spectrum", "density"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for center, members, links in zip(batch["center"], batch["members"], batch["links"], strict=True):
-                level_of = {x["vertex"]: x["level"] for x in members} | {center: 0}
-                src = np.array([x["src"] for x in links]) if len(links) else np.zeros(0, int)
-                dst = np.array([x["dst"] for x in links]) if len(links) else np.zeros(0, int)
-                first = np.array([x["level"] for x in links], int)
-                weight = np.array([x["weight"] for x in links], float)
-                last = None
-                for level in range(1, k + 1):
-                    ring = sorted(v for v, n in level_of.items() if n == level)
-                    if last is None or ring:
-                        names = sorted(v for v, n in level_of.items() if n <= level)
-                        if len(names) > max_ball:
-                            raise ValueError(f"the ball of {center} at level {level} has {len(names)} vertices; raise max_ball ({max_ball}) or lower the number of hops")
-                        place = {v: i for i, v in enumerate(names)}
-                        use = first <= level
-                        a = np.array([place[v] for v in src[use]], int)
-                        b = np.array([place[v] for v in dst[use]], int)
-                        n = int(use.sum())
-                        last = (ring, _eigenvalues(names, a, b, weight[use]).tolist(), len(names) / n if n else float("inf"))
-                    out.append((center, level, *last))
-            yield pd.DataFrame(out, columns=["name", "level", "ring", "spectrum", "density"])
+            sizes = (1 + _numbers(pc.list_value_length(batch.column("vertices")))).astype(np.int64) ** 2
+            ends, begin = np.cumsum(8 * k * sizes), 0
+            while begin < len(batch):  # few enough balls for their matrices to fit
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STACK_BYTES, "right")))
+                yield one_slice(batch.slice(begin, end - begin))
+                begin = end
 
     return run
 
@@ -71,31 +128,56 @@ def signatures(network: Network, k: int = 4, weighted: bool = False, max_ball: i
 
     Where a ball does not grow, the level repeats the one before. Rings and
     edges inside balls are joined for all centres at once; a centre's own ball
-    then is one row, whose eigenvalues a task computes. Balls of more than
-    ``max_ball`` vertices are an error, as the cost is cubic.
+    then is one row, whose eigenvalues a task computes.
+
+    Sizes are counted before anything is gathered. A ball of more than
+    ``max_ball`` vertices, or ``MEAN_DEGREE`` times as many edges, is not
+    gathered, as a dense solution is cubic: the levels from there on have
+    their density, and a null ring and spectrum. ``too_large`` lists them.
     """
     net = network.simple()
+    net = Network(cut(net.vertices), cut(net.edges))
     name_type = dict(net.vertices.dtypes)["name"]
     ring = cut(graph.rings(net, k, weighted))
-    members = ring.groupBy("center").agg(F.collect_list(F.struct("vertex", "level")).alias("members"))  # a ball
-    links = graph.ball_edges(net, net.vertices, ring, k).groupBy("center").agg(F.collect_list(F.struct("src", "dst", "level", "weight")).alias("links"))
-    rows = net.vertices.select(F.col("name").alias("center")).join(members, "center", "left").join(links, "center", "left")
-    rows = rows.select("center", F.coalesce("members", F.array()).alias("members"), F.coalesce("links", F.array()).alias("links"))
-    return rows.mapInPandas(_spectra(k, max_ball), f"name {name_type}, level int, ring array<{name_type}>, spectrum array<double>, density double")
+    inside = cut(graph.ball_edges(net, net.vertices, ring, k))
+    upto = lambda rows, out: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda x: F.aggregate(rows, F.lit(0).cast("long"), lambda s, r: s + F.when(r["level"] <= x, r["n"]).otherwise(0))).alias(out)
+    counted = lambda rows: rows.groupBy("center", "level").agg(F.count("*").alias("n")).groupBy("center").agg(F.collect_list(F.struct("level", "n")).alias("rows"))  # noqa: E731  a number for each level
+    sizes = net.vertices.select(F.col("name").alias("center")).join(counted(ring).withColumnRenamed("rows", "v"), "center", "left").join(counted(inside).withColumnRenamed("rows", "e"), "center", "left")
+    none = F.array().cast("array<struct<level: int, n: bigint>>")
+    sizes = sizes.select("center", upto(F.coalesce("v", none), "v"), upto(F.coalesce("e", none), "e"))
+    fits = F.size(F.filter(F.arrays_zip(F.transform("v", lambda x: x + 1).alias("v"), F.col("e").alias("e")), lambda x: (x["v"] <= max_ball) & (x["e"] <= max_ball * MEAN_DEGREE)))
+    sizes = cut(sizes.select("center", fits.alias("most"), F.concat(F.transform("v", lambda x: x + 1), "e").alias("counts")))
+    held = lambda rows: rows.join(sizes.select("center", "most"), "center").where("level <= most")
+    vertices = held(ring).groupBy("center").agg(F.collect_list("vertex").alias("vertices"), F.collect_list("level").alias("levels"))  # a ball within the bound
+    links = held(inside).groupBy("center").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"), F.collect_list("weight").alias("weights"))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    rows = sizes.join(vertices, "center", "left").join(links, "center", "left")
+    rows = rows.select("center", "most", F.transform("counts", lambda x: x.cast("double")).alias("counts"), empty("vertices", name_type), empty("levels", "int"), empty("src", name_type), empty("dst", name_type), empty("weights", "double"))
+    return rows.mapInArrow(_spectra(k), f"name {name_type}, level int, ring array<{name_type}>, spectrum array<double>, density double")
+
+
+def too_large(signature: DataFrame) -> DataFrame:
+    """``(name, level)`` of the balls whose spectrum was not computed."""
+    return signature.where("spectrum IS NULL").select("name", "level")
 
 
 def density_vectors(signature: DataFrame, gamma: float = 0.005) -> DataFrame:
-    """``(name, levels)``: a density vector per level of every vertex."""
+    """``(name, levels)``: a density vector per level of every vertex; vertices with a ball that is too large have none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch["spectra"].map(len).to_numpy()
-            flat = kernels.density_vectors([np.asarray(s) for rows in batch["spectra"] for s in rows], gamma) if sizes.sum() else []
-            ends = np.cumsum(sizes)
-            yield pd.DataFrame({"name": batch["name"], "levels": [[list(v) for v in flat[e - n : e]] for e, n in zip(ends, sizes, strict=True)]})
+            outer, at = _flat(batch.column("spectra"))
+            values, ends = _flat(outer)
+            values, step = _numbers(values), max(1, STACK_BYTES // (200 * 8 * max(1, len(outer) // max(1, len(batch)))))
+            for i in range(0, len(batch), step):
+                to = min(len(batch), i + step)
+                made = kernels.density_vectors([values[ends[s] : ends[s + 1]] for s in range(at[i], at[to])], gamma)
+                inner = pa.ListArray.from_arrays(pa.array((np.arange(len(made) + 1) * made.shape[1]).astype(np.int32)), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("name").slice(i, to - i), pa.ListArray.from_arrays(pa.array((at[i : to + 1] - at[i]).astype(np.int32)), inner)], ["name", "levels"])
 
-    levels = signature.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "spectrum"))), lambda x: x["spectrum"]).alias("spectra"))
-    return levels.mapInPandas(run, f"name {dict(signature.dtypes)['name']}, levels array<array<double>>")
+    levels = signature.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("level", "spectrum"))).alias("rows"))
+    levels = levels.where(F.forall("rows", lambda x: x["spectrum"].isNotNull())).select("name", F.transform("rows", lambda x: x["spectrum"]).alias("spectra"))
+    return levels.mapInArrow(run, f"name {dict(signature.dtypes)['name']}, levels array<array<double>>")
 
 
 def average_density(signature: DataFrame) -> DataFrame:
@@ -133,14 +215,16 @@ def principal_eigenvector(matrix: DataFrame, rounds: int = 100, tolerance: float
     matrix = cut(_with_all_rows(matrix))
     x = matrix.select("i").distinct().withColumn("x", F.lit(1.0))
     x = _scaled(x, _norm(x))
+    old = None
     for _ in range(-(-rounds // every)):
         y = x
         for _ in range(every):
             y = times(matrix, y)
-        y = cut(y)
-        y = _scaled(y, _norm(y))
+        new = cut(y)
+        y = _scaled(new, _norm(new))
         step = y.join(x.withColumnRenamed("x", "was"), "i").agg(F.sqrt(F.sum((F.col("x") - F.col("was")) ** 2))).first()[0]
-        x = y
+        discard(old)
+        x, old = y, new
         if step is None or step < tolerance:
             break
     return x
@@ -156,20 +240,24 @@ def joint_spectra(network: Network, pairs: DataFrame, level: int = 2, bins: int
     shared = cut(asked.join(one, "u").join(two, ["v", "vertex"]).select("u", "v", "vertex"))
     inside = shared.withColumnRenamed("vertex", "src").join(net.edges.select("src", "dst", "weight"), "src").join(shared.withColumnRenamed("vertex", "dst"), ["u", "v", "dst"])
     members = shared.groupBy("u", "v").agg(F.collect_list("vertex").alias("members"))
-    links = inside.groupBy("u", "v").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("links"))
+    links = inside.groupBy("u", "v").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"), F.collect_list("weight").alias("weights"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spectra = []
-            for names, edges in zip(batch["members"], batch["links"], strict=True):
-                place = {v: i for i, v in enumerate(sorted(names))}
-                edges = [] if edges is None else edges
-                ends = [np.array([place[e[c]] for e in edges], int) for c in ("src", "dst")]
-                spectra.append(_eigenvalues(list(place), *ends, np.array([e["weight"] for e in edges], float)).tolist())
-            yield pd.DataFrame({"u": batch["u"], "v": batch["v"], "spectrum": spectra})
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                members, at = _flat(part.column("members"))
+                ends, to = _flat(part.column("src"))
+                codes = _numbers(pa.concat_arrays([members, ends, part.column("dst").flatten()]).dictionary_encode().indices)
+                v, a, b = np.split(codes, [len(members), len(members) + len(ends)])
+                w = _numbers(part.column("weights").flatten())
+                graphs = [_weights(v[at[k] : at[k + 1]], a[to[k] : to[k + 1]], b[to[k] : to[k + 1]], w[to[k] : to[k + 1]]) for k in range(len(part))]
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(_eigenvalues(graphs), pa.list_(pa.float64()))], ["u", "v", "spectrum"])
 
     kind = dict(net.vertices.dtypes)["name"]
-    found = members.join(links, ["u", "v"], "left").mapInPandas(run, f"u {kind}, v {kind}, spectrum array<double>")
+    empty = lambda c, of: F.coalesce(c, F.array().cast(f"array<{of}>")).alias(c)
+    lists = members.join(links, ["u", "v"], "left").select("u", "v", "members", empty("src", kind), empty("dst", kind), empty("weights", "double"))
+    found = lists.mapInArrow(run, f"u {kind}, v {kind}, spectrum array<double>")
     out = asked.join(found, ["u", "v"], "left")
     return out.select("u", "v", F.when(F.col("spectrum").isNull(), F.array().cast("array<double>")).otherwise(scaled_to_sum(histogram(F.col("spectrum"), 0.0, 2.0, bins))).alias("histogram"))
 
@@ -198,47 +286,101 @@ def edge_similarity(edges: DataFrame, sequences: DataFrame, match: int = 2, mism
     return both.withColumn("seq_weight", score(F.coalesce("_src", F.lit("")), F.coalesce("_dst", F.lit("")))).select("src", "dst", "weight", "seq_weight")
 
 
-def network_spectrum(network: Network, top: int = 8, rounds: int = 60, use_sequences: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the largest component: ``(rank, eigenvalue)``, ``(rank, name, x)`` and ``(name, volume)``.
+def network_spectrum(network: Network, top: int = 8, tolerance: float = 1e-6, most_steps: int = 300, use_sequences: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the largest component: ``(rank, eigenvalue, residual)``, ``(rank, name, x)`` and ``(name, volume)``.
 
-    The ``top`` largest eigenvalues of the normalised Laplacian by power
-    iteration with deflation (the matrix is positive semidefinite). With
-    ``use_sequences`` the edges' ``seq_weight`` is their weight.
+    The ``top`` largest eigenvalues of the normalised Laplacian and their unit
+    vectors, by Lanczos steps with full orthogonalisation. A step is one
+    product along the edges; the vectors so far stand as an array in each
+    vertex's row, and what goes to the driver are numbers, one for each of at
+    most ``most_steps`` vectors. Steps go on until the residual |Lx - ax| of
+    each wanted pair is under ``tolerance``; where the vectors span a closed
+    part, a new direction is tried, so that repeated eigenvalues are found.
+    With ``use_sequences`` the edges' ``seq_weight`` is their weight.
     """
-    part = graph.largest_component(network.simple())
-    if use_sequences:
-        part = part.weighted_by(F.col("seq_weight"))
-    edges = stash(part.edges)
-    part = Network(cut(part.vertices), edges)
-    volumes = both_ways(edges, "weight").groupBy(F.col("src").alias("name")).agg(F.sum("weight").alias("volume"))
-    matrix, values, found = cut(laplacian(part)), [], None
-    for rank in range(top):
-        x = part.vertices.select(F.col("name").alias("i"), (F.xxhash64("name", F.lit(rank)) % 1000 / 1000.0 + 1e-3).alias("x"))
-        for _ in range(-(-rounds // 5)):
-            for _ in range(5):
-                x = times(matrix, x)
-            x = _apart(cut(x), found)
-            x = cut(_scaled(x, _norm(x)))
-        if x.isEmpty():
-            break
-        value = times(matrix, x).join(x.withColumnRenamed("x", "y"), "i").agg(F.sum(F.col("x") * F.col("y"))).first()[0]
-        values.append((rank, float(value)))
-        own = x.select(F.lit(rank).alias("rank"), F.col("i").alias("name"), "x")
-        found = own if found is None else cut(found.union(own))
-    return edges.sparkSession.createDataFrame(values, "rank int, eigenvalue double"), found, volumes
-
-
-def _apart(x: DataFrame, others: DataFrame | None) -> DataFrame:
-    """x less its parts along unit vectors ``(rank, name, x)``."""
-    if others is None:
-        return x
-    rows = others.select("rank", F.col("name").alias("i"), F.col("x").alias("y"))
-    along = {r["rank"]: r["p"] for r in rows.join(x, "i").groupBy("rank").agg(F.sum(F.col("x") * F.col("y")).alias("p")).collect()}  # a number for each vector
-    share = F.lit(0.0)
-    for rank, p in along.items():
-        share = F.when(F.col("rank") == rank, F.lit(-p)).otherwise(share)
-    moved = rows.select("i", (share * F.col("y")).alias("x"))
-    return cut(x.union(moved).groupBy("i").agg(F.sum("x").alias("x")))
+    with Scratch() as s:
+        part = graph.largest_component(network.simple())
+        if use_sequences:
+            part = part.weighted_by(F.col("seq_weight"))
+        part = Network(s.keep(cut(part.vertices)), s.keep(cut(part.edges)))
+        matrix = s.keep(cut(laplacian(part)))
+        volumes = both_ways(part.edges, "weight").groupBy(F.col("src").alias("name")).agg(F.sum("weight").alias("volume"))
+        values, mix, basis = _lanczos(matrix, part.vertices.select(F.col("name").alias("i")), top, tolerance, most_steps)
+        s.keep(basis) if basis is not None else None
+    spark = network.vertices.sparkSession
+    table = spark.createDataFrame([(r, float(v), float(e)) for r, (v, e) in enumerate(values)], "rank int, eigenvalue double, residual double")
+    if basis is None:
+        return table, part.vertices.select(F.lit(0).alias("rank"), "name", F.lit(0.0).alias("x")).limit(0), volumes
+    along = [F.aggregate(F.zip_with("xs", F.array(*[F.lit(float(c)) for c in column]), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) for column in mix]
+    vectors = basis.select(F.col("i").alias("name"), F.posexplode(F.array(*along)).alias("rank", "x")).select("rank", "name", "x")
+    return table, vectors, volumes
+
+
+def _lanczos(matrix: DataFrame, names: DataFrame, top: int, tolerance: float, most_steps: int) -> tuple[list[tuple[float, float]], list[np.ndarray], DataFrame | None]:
+    """Largest eigenvalues with residuals, each one's share of the basis vectors, and the basis ``(i, xs)``."""
+    n = names.count()
+    fresh = lambda turn: (F.xxhash64("i", F.lit(turn)) % 1000 / 1000.0 + 1e-3)
+    if not n:
+        return [], [], None
+    basis = cut(names.withColumn("x", fresh(0)))
+    norm = _norm(basis)
+    basis = basis.select("i", F.array(F.col("x") / norm).alias("xs"))
+    alphas: list[float] = []
+    betas: list[float] = []
+    table, turns, since = None, 0, 0
+    while True:
+        m = len(alphas) + 1
+        sent = times(matrix, basis.select("i", F.element_at("xs", -1).alias("x")))
+        new = cut(basis.join(sent, "i", "left").select("i", "xs", F.coalesce("x", F.lit(0.0)).alias("x")))
+        discard(table)
+        table = new
+        left, first, beta = _less(table, F.col("x"))
+        alphas.append(first[-1])
+        closed = beta < 1e-10 or m >= n
+        matrix_t = np.diag(alphas) + np.diag(betas, 1) + np.diag(betas, -1)
+        own, mix = np.linalg.eigh(matrix_t)
+        order = np.argsort(-own)[:top]
+        residual = np.abs(mix[m - 1, order]) * (0.0 if closed else beta)
+        reached = len(order) >= min(top, n) and (residual < tolerance).all()
+        # after a closed part, only if its complement has nothing larger is it over
+        if m >= n or reached and (turns == 0 and not closed or turns > 0 and np.abs(mix[since:, order]).max() < 1e-6 and _settled(matrix_t, since, beta, tolerance)):
+            return [(own[k], r) for k, r in zip(order, residual, strict=True)], [mix[:, k] for k in order], table
+        if m >= most_steps:
+            raise ValueError(f"{int((residual >= tolerance).sum())} of {top} eigenvalues have not settled after {m} steps; the largest residual is {residual.max():.2g}")
+        size = beta
+        if closed:
+            turns, since, beta = turns + 1, m, 0.0
+            left, _, size = _less(table, fresh(turns))
+        betas.append(beta)
+        basis = table.select("i", F.concat("xs", F.zip_with(F.array(left), _listed([size]), lambda a, b: a / b)).alias("xs"))
+
+
+def _settled(matrix_t: np.ndarray, since: int, beta: float, tolerance: float) -> bool:
+    """Whether the largest value of the steps from ``since`` on has settled."""
+    _, mix = np.linalg.eigh(matrix_t[since:, since:])
+    return abs(mix[-1, -1]) * beta < tolerance
+
+
+def _listed(numbers: list[float]) -> Column:
+    """An array that Spark folds to one constant, so that other numbers need no other code."""
+    return F.array(*[F.lit(float(x)) for x in numbers])
+
+
+def _less(table: DataFrame, x: Column) -> tuple[Column, list[float], float]:
+    """x less its parts along the vectors of ``table (i, xs, ...)``, the sizes of these parts, and of what is left.
+
+    Where less than half is left, the parts are taken off once more: what rounding leaves of them would grow from step to step.
+    """
+    total = None
+    while True:
+        own = table.select(F.posexplode(F.concat("xs", F.array(x))).alias("k", "v"), x.alias("x"))
+        found = sorted(tuple(r) for r in own.groupBy("k").agg(F.sum(F.col("v") * F.col("x")).alias("p")).collect())  # a number for each vector
+        along, whole = [p for _, p in found[:-1]], found[-1][1]
+        total = total or along
+        x = x - F.aggregate(F.zip_with("xs", _listed(along), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+        rest = whole - sum(p * p for p in along)
+        if rest > 0.5 * whole or whole < 1e-24:
+            return x, total, math.sqrt(max(0.0, rest))
 
 
 def grown(signature: DataFrame) -> DataFrame:

@@ -21,11 +21,6 @@ def net(spark, edges):
     return Network.from_edges(spark.createDataFrame(edges, "src long, dst long"))
 
 
-def spectrum(spark, edges, k=1, center=0):
-    rows = spectral.signatures(net(spark, edges), k).where(F.col("name") == center).orderBy("level").collect()
-    return rows[-1]["spectrum"]
-
-
 CLOSED = {
     "pair": ([(0, 1)], [0, 2]),
     "triangle": ([(0, 1), (1, 2), (0, 2)], [0, 1.5, 1.5]),
@@ -36,17 +31,53 @@ CLOSED = {
 }
 
 
-@pytest.mark.parametrize("name", CLOSED)
-def test_spectra_of_known_graphs(spark, name):
-    edges, want = CLOSED[name]
-    assert np.allclose(spectrum(spark, edges), want)
+def test_spectra_of_known_graphs(spark):
+    edges = [(a + 100 * i, b + 100 * i) for i, (own, _) in enumerate(CLOSED.values()) for a, b in own]
+    rows = spectral.signatures(net(spark, edges), 1).where("name % 100 = 0").orderBy("name").collect()
+    assert len(rows) == len(CLOSED)
+    for row, (_, want) in zip(rows, CLOSED.values(), strict=True):
+        assert np.allclose(row["spectrum"], want)
 
 
-def test_a_ball_that_stops_growing_repeats(spark):
-    rows = spectral.signatures(net(spark, [(0, 1), (1, 2)]), 4).where("name = 1").orderBy("level").collect()
-    assert [r["ring"] for r in rows] == [[0, 2]] * 4 and all(r["spectrum"] == rows[0]["spectrum"] for r in rows)
-    with pytest.raises(Exception, match="max_ball"):
-        spectral.signatures(net(spark, [(0, 1)]), 1, max_ball=1).collect()
+def brute_signature(edges, center, level):
+    """Ring, spectrum and density of a ball, by walking and a dense matrix."""
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    rings = [{center}]
+    for _ in range(level):
+        rings.append({y for x in rings[-1] for y in near.get(x, ())} - set().union(*rings))
+    ball = sorted(set().union(*rings))
+    m = np.array([[float(b in near.get(a, ())) for b in ball] for a in ball])
+    d = m.sum(axis=1)
+    scale = np.array([1 / math.sqrt(x) if x else 0 for x in d])
+    values = np.linalg.eigvalsh(np.eye(len(ball)) - scale[:, None] * m * scale)
+    last = max(k for k in range(1, level + 1) if rings[k] or k == 1)
+    return sorted(rings[last]), values, len(ball) / (m.sum() / 2) if m.any() else math.inf
+
+
+def test_signatures_against_dense_matrices(spark):
+    rng = random.Random(2)
+    edges = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)}) + [(50, 50), (60, 61)]
+    rows = spectral.signatures(net(spark, edges), 3).collect()
+    assert len(rows) == 3 * len({v for e in edges for v in e})
+    for r in rows:
+        ring, values, density = brute_signature(edges, r["name"], r["level"])
+        assert r["ring"] == ring and np.allclose(r["spectrum"], values) and r["density"] == density
+    named = Network.from_edges(spark.createDataFrame([(f"p{a:02}", f"p{b:02}") for a, b in edges], "src string, dst string"))
+    texts = {(r["name"], r["level"]): r for r in spectral.signatures(named, 3).collect()}
+    assert all(texts[f"p{r['name']:02}", r["level"]]["ring"] == [f"p{v:02}" for v in r["ring"]] for r in rows)
+
+
+def test_balls_too_large_have_no_spectrum(spark):
+    star = [(0, i) for i in range(1, 9)] + [(8, 20), (20, 21)]
+    signature = spectral.signatures(net(spark, star), 2, max_ball=5)
+    found = {(r["name"], r["level"]): r for r in signature.collect()}
+    assert found[0, 1]["spectrum"] is None and found[0, 1]["ring"] is None and found[0, 1]["density"] == 9 / 8
+    assert found[1, 1]["spectrum"] is not None and found[1, 2]["spectrum"] is None
+    assert {(r["name"], r["level"]) for r in spectral.too_large(signature).collect()} == {(0, 1), (0, 2), *((i, 2) for i in range(1, 9))}
+    assert {r["name"] for r in spectral.density_vectors(signature).collect()} == {20, 21}
 
 
 def test_components_of_random_graphs(spark):
@@ -206,10 +237,33 @@ def test_hitting_times_of_a_path(spark):
     assert all(math.isclose(got[k], v, rel_tol=1e-3, abs_tol=1e-9) for k, v in {0: 4, 1: 3, 2: 0}.items())
 
 
-def test_eigenvalues_of_a_star(spark):
-    values, _, volumes = spectral.network_spectrum(net(spark, [(0, i) for i in range(1, 5)]), top=2, rounds=20)
-    assert math.isclose(values.orderBy("rank").first()["eigenvalue"], 2, rel_tol=1e-4)
+def dense_laplacian(edges):
+    names = sorted({v for e in edges for v in e[:2]})
+    m = np.zeros((len(names), len(names)))
+    for a, b, *w in edges:
+        m[names.index(a), names.index(b)] = m[names.index(b), names.index(a)] = w[0] if w else 1.0
+    d = m.sum(axis=1)
+    return names, np.eye(len(names)) - m / np.sqrt(d[:, None] * d), d
+
+
+def test_spectrum_of_a_network(spark):
+    star = [(0, i) for i in range(1, 5)]
+    values, _, volumes = spectral.network_spectrum(net(spark, star), top=4)
+    assert np.allclose([r["eigenvalue"] for r in values.orderBy("rank").collect()], [2, 1, 1, 1])  # with repeated ones
     assert {r["name"]: r["volume"] for r in volumes.collect()} == {0: 4, 1: 1, 2: 1, 3: 1, 4: 1}
+    rng = random.Random(11)
+    edges = sorted({tuple(sorted(rng.sample(range(16), 2))) for _ in range(40)})
+    weighted = [(a, b, 1.0, 0.5 + (a + b) % 3) for a, b in edges] + [(100, 101, 1.0, 1.0)]  # a smaller component
+    table = Network.from_edges(spark.createDataFrame(weighted, "src long, dst long, weight double, seq_weight double"))
+    values, vectors, _ = spectral.network_spectrum(table, top=3, tolerance=1e-7, use_sequences=True)
+    names, matrix, _ = dense_laplacian([(a, b, s) for a, b, _, s in weighted[:-1]])
+    want = np.linalg.eigvalsh(matrix)[::-1][:3]
+    assert np.allclose([r["eigenvalue"] for r in values.orderBy("rank").collect()], want, atol=1e-9)
+    for rank in range(3):
+        x = np.array([r["x"] for r in vectors.where(F.col("rank") == rank).orderBy("name").collect()])
+        assert len(x) == len(names) and np.linalg.norm(matrix @ x - want[rank] * x) < 1e-6 and math.isclose(np.linalg.norm(x), 1, rel_tol=1e-9)
+    with pytest.raises(ValueError, match="settled"):
+        spectral.network_spectrum(table, top=3, tolerance=1e-12, most_steps=4)
 
 
 GEXF = """<?xml version="1.0"?><gexf><graph><attributes class="node"><attribute id="0" title="gname" type="string"/><attribute id="1" title="other" type="string"/></attributes>
