@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import cut, stash
+from graphloom.durable import cut
 
 _CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string, after: array<string>>>>"
 _RESULT = "struct<tool_call_id: string, content: string>"
@@ -85,7 +85,7 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool
     said = rows.where("role = 'assistant'").select("conv_id", "turn", F.explode(F.from_json("text", _CALLS)["tool_calls"]).alias("c"))
     said = said.select("conv_id", "turn", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.array_compact(F.coalesce("c.after", F.array())).alias("after"))
     calls = said.where("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"))
-    calls = stash(calls.select("conv_id", "id", "c.*"))
+    calls = cut(calls.select("conv_id", "id", "c.*"))
     got = rows.where("role = 'tool'").select("conv_id", "turn", F.from_json("text", _RESULT).alias("r"))
     got = got.select("conv_id", F.col("turn").alias("result_turn"), F.col("r.tool_call_id").alias("id"), F.col("r.content").alias("content")).where("id IS NOT NULL")
 

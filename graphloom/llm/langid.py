@@ -191,30 +191,46 @@ def viterbi(score: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarra
     return labels
 
 
-def _predict(model: LanguageModel, penalty: float):
+def _labelled(part: pa.RecordBatch, model: LanguageModel, penalty: float) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Language, share of letters in it, and spans of each text."""
     names = pa.array([*model.languages, UNDETERMINED])
     n = len(model.languages)
+    words, codes, at = w.vocabulary(part.column("text"))
+    score, letters = _emissions(words, model)
+    weight = np.where(letters, pc.utf8_length(pc.replace_substring_regex(words, r"[^\pL]+", "")).to_numpy(zero_copy_only=False), 0)[codes].astype(float)
+    labels = viterbi(score[codes], at, penalty) if n else np.zeros(len(codes), np.int8)
+    doc = np.repeat(np.arange(len(part)), np.diff(at))
+    share = np.bincount(doc * max(n, 1) + labels, weights=weight, minlength=len(part) * max(n, 1)).reshape(len(part), max(n, 1))
+    total = share.sum(axis=1)
+    best = np.where((total > 0) & (n > 0), share.argmax(axis=1), n)
+    sure = np.where(best < n, share.max(axis=1) / np.maximum(total, 1), 0.0)
+    change = np.ones(len(codes), bool)
+    change[1:] = (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(change) if n else np.zeros(0, np.int64)
+    length = np.diff(np.append(begin, len(codes))) if len(begin) else begin
+    first = begin - at[doc[begin]]
+    each = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(length, pa.int64()), names.take(pa.array(labels[begin]))], ["start", "n_words", "lang"])
+    return names.take(pa.array(best)), sure, pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, at).astype(np.int32)), each)
+
 
+def _predict(model: LanguageModel, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in w.slices(batch, most=2 * w.SLICE_BYTES):
-                words, codes, at = w.vocabulary(part.column("text"))
-                score, letters = _emissions(words, model)
-                weight = np.where(letters, pc.utf8_length(words).to_numpy(zero_copy_only=False), 0)[codes].astype(float)
-                labels = viterbi(score[codes], at, penalty) if n else np.zeros(len(codes), np.int8)
-                doc = np.repeat(np.arange(len(part)), np.diff(at))
-                share = np.bincount(doc * max(n, 1) + labels, weights=weight, minlength=len(part) * max(n, 1)).reshape(len(part), max(n, 1))
-                total = share.sum(axis=1)
-                best = np.where((total > 0) & (n > 0), share.argmax(axis=1), n)
-                sure = np.where(best < n, share.max(axis=1) / np.maximum(total, 1), 0.0)
-                cut = np.ones(len(codes), bool)
-                cut[1:] = (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])
-                begin = np.flatnonzero(cut) if n else np.zeros(0, np.int64)
-                length = np.diff(np.append(begin, len(codes))) if len(begin) else begin
-                first = begin - at[doc[begin]]
-                each = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(length, pa.int64()), names.take(pa.array(labels[begin]))], ["start", "n_words", "lang"])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, at).astype(np.int32)), each)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), names.take(pa.array(best)), pa.array(sure), lists], ["doc_id", "lang_pred", "score", "spans"])
+                lang, sure, spans = _labelled(part, model, penalty)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lang, pa.array(sure), spans], ["doc_id", "lang_pred", "score", "spans"])
+
+    return run
+
+
+def _accepted(model: LanguageModel, penalty: float, least: float):
+    """The rows whose text is in a known language with a score of ``least``, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in w.slices(batch, most=2 * w.SLICE_BYTES):
+                lang, sure, _ = _labelled(part, model, penalty)
+                yield part.filter(pa.array((sure >= least) & pc.not_equal(lang, UNDETERMINED).to_numpy(zero_copy_only=False)))
 
     return run
 
@@ -226,7 +242,9 @@ def identify(documents: DataFrame, model: LanguageModel, penalty: float = 6.0) -
     ``score`` is the share of letters in spans of ``lang_pred``. A null text, or
     one without a letter, is ``und`` with score 0, as is every text when the
     model has no languages. Ties go to the language that sorts first. Other
-    columns are ignored; repeated rows are repeated; a null doc_id stays null.
+    columns are ignored; repeated rows are repeated; a null doc_id stays null;
+    an empty table gives no rows. Texts are taken whole: one text is never
+    split, and takes a step of numpy for each of its words.
     """
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _predict(model, penalty), "doc_id long, lang_pred string, score double, spans array<struct<start: long, n_words: long, lang: string>>"
@@ -243,7 +261,11 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is mostly in one known language; the others go."""
-    found = identify(docs, fit(training_part(docs))).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5))
-    return docs.join(found.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+def language_stage(spark, docs: DataFrame, sf_dir: str, penalty: float = 6.0, least: float = 0.5) -> DataFrame:
+    """Documents whose text is mostly in one known language; the others go.
+
+    Every row stands by its own text, whatever its doc_id; a row passes through
+    one narrow step with all its columns.
+    """
+    model = fit(training_part(docs))
+    return docs.mapInArrow(_accepted(model, penalty, least), docs.schema)

@@ -9,11 +9,13 @@
    centre only (a star), so a bucket of m classes costs m - 1 pairs. Pairs are
    confirmed on full sets; confirmed pairs make components.
 4. Buckets that still hold several components get further stars with other
-   centres, to members of other components than the centre's.
+   centres, to members of other components than the centre's. Buckets of one
+   component are done, as components only grow.
 5. What stars can miss is a link between two classes of a bucket that are still
-   in different components. These are the members outside a bucket's commonest
-   component against the bucket, less the pairs that counts of shingles of
-   their own rule out; the rest is confirmed too. So no cap drops a pair.
+   in different components. Here the members outside a bucket's commonest
+   component meet the bucket, in blocks, with a bitmap of each set: marks that
+   only one of two sets has bound their similarity from above. What the bound
+   leaves is confirmed on full sets too. So no cap drops a pair.
 
 With 32 bands of 5 bins, a pair of similarity 0.85 shares no band with
 probability (1 - 0.85^5)^32, about 7e-9.
@@ -25,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import cut, discard, stash, tidy
+from graphloom.durable import Scratch, cut, discard
 from graphloom.llm import words as w
-from graphloom.operators.components import connected_components
+from graphloom.operators.components import joined_components
 
 BANDS, ROWS = 32, 5
+#: Members of a bucket that one task compares with the bucket's outliers.
+BLOCK = 20_000
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +113,23 @@ def _fingerprints(width: int, bands: int, rows: int):
     return run
 
 
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of a set: at least 4 bits a member, in words of 64; a bit is the hash's first binary digits."""
+    words = 1 << max(1, int(len(hashes) / 16 - 1e-9).bit_length())
+    bits = np.zeros(64 * words, bool)
+    bits[(hashes >> np.uint64(64 - 6 - (words.bit_length() - 1))).astype(np.int64)] = True
+    return np.packbits(bits).view(">i8").astype(np.int64)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)), pa.array(np.concatenate(parts)))
         for batch in batches:
             for part in w.slices(batch):
                 hashes, at = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["doc_id", "shingles"])
+                own = [marks(hashes[at[i] : at[i + 1]]) for i in range(len(part))]
+                halves = [np.packbits(np.unpackbits(x.astype(">i8").view(np.uint8)).reshape(-1, 2).any(axis=1)).view(">i8").astype(np.int64) for x in own]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))), lists(own), lists(halves)], ["doc_id", "shingles", "marks", "halves"])
 
     return run
 
@@ -124,7 +139,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     held = pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("n"), (F.size("set_a") + F.size("set_b")).alias("both"))
-    return held.where(F.lit(100 + percent) * F.col("n") >= F.lit(percent) * F.col("both")).select("a", "b")
+    return held.where(F.lit(100 + percent) * F.col("n") >= F.lit(percent) * F.col("both")).select("a", "b").distinct()
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, turns: int = 2) -> DataFrame:
@@ -136,36 +151,38 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, ban
 
     Null or wordless texts have an empty set and are linked with nothing. Rows
     with a null doc_id are linked with nothing; their component_id is null and
-    they are kept. A repeated row is repeated in the result. Other columns are
-    ignored. An empty table gives an empty result.
+    they are kept. A repeated row is repeated in the result. Rows of one doc_id
+    with different texts are one document with the links of all its texts.
+    Texts are taken whole, however long. Other columns are ignored. An empty
+    table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-    prints = stash(docs.mapInArrow(_fingerprints(width, bands, rows), schema))
     key = ["set_a", "set_b", "n_shingles"]
-    classes = prints.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    reps = prints.join(classes, key).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", F.col("n_shingles").alias("size"), "bands")
-    members = reps.select("doc_id", "size", F.explode("bands").alias("bucket"))
-    company = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    grouped = stash(members.join(company, "bucket"))
-    ids = cut(grouped.select("doc_id").distinct())
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stash(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
-    del texts, members, company
-    tidy(docs.sparkSession)
-    tested = links = grouped.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    parts = ids.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
-    for turn in range(turns):
-        pairs = cut(_stars(_mixed(grouped, parts), percent, turn).join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        tested, links = tested.union(pairs), cut(links.union(confirm(pairs, sets, percent)))
-        parts = cut(connected_components(links, "a", "b"))
-        tidy(docs.sparkSession)
-    rest = _across(_mixed(grouped, parts), reps.select("doc_id", "bands"), sets, percent)
-    discard(grouped, sets)
-    if not rest.isEmpty():
-        parts = cut(connected_components(links.union(rest), "a", "b"))
+    with Scratch() as s:
+        prints = s.keep(cut(docs.mapInArrow(_fingerprints(width, bands, rows), schema)))
+        known = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        classes = s.keep(cut(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))))  # equal sets have equal bands
+        members = classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
+        company = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+        open_ = cut(members.join(company, "bucket").withColumn("component", F.col("doc_id")))
+        ids = cut(open_.select("doc_id").distinct())
+        sets = cut(docs.join(ids, "doc_id", "left_semi").distinct().mapInArrow(_sets(width), "doc_id long, shingles array<long>, marks array<long>, halves array<long>"))
+        links = _texts_of_one(known, classes, key)
+        parts = cut(joined_components(links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0), links))
+        tested = links.limit(0)
+        for turn in range(turns):
+            with Scratch() as t:
+                pairs = t.keep(cut(_stars(open_, percent, turn).join(tested, ["a", "b"], "left_anti")))
+                if pairs.isEmpty():
+                    break
+                grown = t.keep(cut(joined_components(parts, confirm(pairs, sets, percent))))
+                rest = t.keep(_mixed(open_, grown))
+            discard(parts, open_)
+            tested, parts, open_ = tested.union(pairs), grown, rest
+        if not open_.isEmpty():
+            parts = cut(joined_components(parts, _across(open_, sets, percent)))
+        s.keep(parts)
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     lone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     out = prints.drop("bands").join(named, key, "left")
@@ -173,17 +190,26 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, ban
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _near(x: str, y: str, percent: int):
+def _texts_of_one(known: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """``(a, b)``: documents with several texts, and the representatives of their classes."""
+    own = F.struct(*key)
+    several = known.groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("doc_id")
+    return cut(known.join(several, "doc_id", "left_semi").join(classes.drop("bands"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+
+
+def _near(x: str, y: str, percent: int) -> Column:
     """Sizes of sets that can be similar enough."""
     return (F.col(x) * percent <= F.col(y) * 100) & (F.col(y) * percent <= F.col(x) * 100)
 
 
-def _mixed(grouped: DataFrame, parts: DataFrame) -> DataFrame:
-    """``(bucket, doc_id, size, component)`` of the buckets that hold several components."""
-    known = grouped.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+def _mixed(open_: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(bucket, doc_id, size, component)`` of those buckets that still hold several components."""
+    known = open_.drop("component").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = cut(known.select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("component")))
     mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return known.join(mixed, "bucket")
+    out = cut(known.join(mixed, "bucket"))
+    discard(known)
+    return out
 
 
 def _stars(mixed: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -194,36 +220,40 @@ def _stars(mixed: DataFrame, percent: int, turn: int) -> DataFrame:
     return held.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
 
 
-def _across(mixed: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components: of members outside a bucket's commonest component with the whole bucket, found in the first bucket that a pair shares.
+def _lacking(x: str, y: str) -> Column:
+    """Marks of set x that set y has not: at least so many members of x are not in y."""
+    fit = lambda a, b: F.when(F.size(f"marks{a}") > F.size(f"marks{b}"), F.col(f"halves{a}")).otherwise(F.col(f"marks{a}"))
+    bits = F.aggregate(F.zip_with(fit(x, y), fit(y, x), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+    return F.coalesce(bits, F.lit(0))  # bitmaps that don't fit bound nothing
+
 
-    The test on full sets is part of the join's condition, so pairs that fail
-    it are never rows.
+def _across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components: of members outside a bucket's commonest component with the whole bucket.
 
-    Shingles that no other member has bound what a pair can reach: with u of
-    them, x shares at most n_x - u_x shingles, and the union has at least
-    n_x + u_y. Pairs that cannot be similar enough are left out; none else is.
+    With u members of x that y lacks, and v of y that x lacks, at most
+    n_x - u are shared, of n_x + v in all. Sets of sizes that can be similar
+    enough have bitmaps of one length, or one twice the other, which is
+    halved then. A bucket's members are dealt into blocks, which all outliers
+    of the bucket meet, so a large bucket is many tasks.
     """
-    mixed = cut(mixed)
-    ids = mixed.select("doc_id").distinct()
-    alone = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    alone = alone.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
-    counts = mixed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    facts = ids.join(alone, "doc_id", "left").join(bands, "doc_id").join(sets, "doc_id").select("doc_id", F.coalesce("own", F.lit(0)).alias("own"), "bands", "shingles")
-    held = stash(mixed.join(facts, "doc_id").where(F.lit(100) * (F.col("size") - F.col("own")) >= F.lit(percent) * F.col("size")))
-    minor = held.join(main, "bucket").where("component <> main").select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "size", "component", "own", "bands", "shingles")])
-    fits = lambda n, u, v: F.lit(100) * (F.col(n) - F.col(u)) >= F.lit(percent) * (F.col(n) + F.col(v))
-    first = F.get(F.array_intersect("bands", "bands_x"), F.lit(0)) == F.col("bucket")
-    alike = F.lit(100 + percent) * F.size(F.array_intersect("shingles", "shingles_x")) >= F.lit(percent) * (F.col("size") + F.col("size_x"))
-    close = (F.col("component") != F.col("component_x")) & fits("size", "own", "own_x") & fits("size_x", "own_x", "own") & first & alike
-    found = minor.join(held.withColumnRenamed("bucket", "shared"), (F.col("bucket") == F.col("shared")) & close)
-    found = cut(found.select(F.least("doc_id_x", "doc_id").alias("a"), F.greatest("doc_id_x", "doc_id").alias("b")).distinct())
-    discard(held)
-    return found
+    counts = cut(mixed.groupBy("bucket", "component").agg(F.count("*").alias("n")))
+    main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    held = mixed.join(main, "bucket").join(sets.select("doc_id", "marks", "halves").distinct(), "doc_id")
+    held = cut(held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+    minor = held.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    minor = cut(minor.select(F.col("bucket").alias("own"), F.col("block").alias("with"), *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "size", "component", "marks", "halves")]))
+    shared, every = F.col("size_x") - _lacking("_x", ""), F.col("size_x") + _lacking("", "_x")
+    close = (F.col("component") != F.col("component_x")) & _near("size", "size_x", percent) & (F.lit(100) * shared >= F.lit(percent) * every)
+    met = minor.join(held.drop("main", "blocks"), (F.col("own") == F.col("bucket")) & (F.col("with") == F.col("block")) & close)
+    return confirm(cut(met.select(F.least("doc_id_x", "doc_id").alias("a"), F.greatest("doc_id_x", "doc_id").alias("b")).distinct()), sets, percent)
 
 
 def neardup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(docs.columns)
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more.
+
+    Of repeated rows of a kept doc_id one stays, the least by its text; rows
+    with a null doc_id all stay.
+    """
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(docs.columns)
+    return named.union(docs.where("doc_id IS NULL"))

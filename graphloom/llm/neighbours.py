@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.durable import stash
+from graphloom.durable import cut
 
 #: Vectors of a block, and candidates and queries of one product.
 BLOCK, STEP, ROWS = 8192, 2048, 256
@@ -107,7 +107,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, block: int = BLOCK) -> Da
     lengths are never compared. A query with fewer candidates gets them all.
     Other columns are ignored; an empty table gives no rows.
     """
-    rows = stash(usable(vectors).withColumn("dims", F.size("embedding")))
+    rows = cut(usable(vectors).withColumn("dims", F.size("embedding")))
     sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     across, down = max(1, math.ceil(sizes["n"] / block)), max(1, math.ceil(sizes["q"] / block))
     deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")

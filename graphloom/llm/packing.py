@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import stash
+from graphloom.durable import cut
 from graphloom.llm import words as w
 
 END_ID = 0
@@ -150,7 +150,7 @@ def pack(documents: DataFrame, tokenizer: str, size: int = 2048, per_shard: int
     other columns are ignored; an empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = stash(docs.mapInArrow(_pieces(tokenizer, size), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = cut(docs.mapInArrow(_pieces(tokenizer, size), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     shards = max(1, math.ceil(pieces.count() / per_shard))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_pack(size), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

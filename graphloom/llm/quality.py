@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import stash
+from graphloom.durable import cut
 
 _WS = r"[\\x20\\x09-\\x0D]"
 
@@ -42,11 +42,12 @@ def _steps(df: DataFrame, *steps: dict[str, str]) -> DataFrame:
     return df
 
 
-def measure(documents: DataFrame) -> DataFrame:
-    """``doc_id`` and the measurements of each row of ``documents (doc_id, text)``.
+def measure(documents: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc_id`` and the measurements of each row of ``documents (doc_id, text)``; with ``whole`` also ``row``, a struct of all its columns.
 
     A null text counts as empty and measures 0 throughout; repeated rows are
-    repeated; other columns are ignored.
+    repeated; a null doc_id stays null; other columns are ignored; an empty
+    table gives no rows. Texts are measured whole, however long.
 
     ``n_repeat_words`` counts words inside some three-word window that the text
     has more than once. Windows are compared by 64-bit hashes: 40 bits of the
@@ -55,7 +56,8 @@ def measure(documents: DataFrame) -> DataFrame:
     but not in all 64, or places need over 24 bits, pairs of full hash and
     place are sorted instead.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")] if whole else []
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rows)
     out = _steps(
         docs,
         {"_body": "btrim(text, ' \t\n\x0b\x0c\r')"},
@@ -85,10 +87,10 @@ def measure(documents: DataFrame) -> DataFrame:
         {"_places": "CASE WHEN _again THEN sort_array(transform(filter(transform(_pairs, (x, k) -> struct(x.h = get(_pairs, k - 1).h OR x.h = get(_pairs, k + 1).h AS hit, x.i AS i)), x -> x.hit), x -> x.i)) END"},
         {"n_repeat_words": "CASE WHEN _again THEN CAST(aggregate(zip_with(_places, slice(_places, 2, size(_places)), (a, b) -> coalesce(least(3, b - a), 3)), 0, (s, x) -> s + x) AS LONG) ELSE 0L END"},
     )
-    return out.select("doc_id", *MEASURES)
+    return out.select("doc_id", *MEASURES, *["row"] * whole)
 
 
-def ledger(documents: DataFrame) -> DataFrame:
+def ledger(documents: DataFrame, whole: bool = False) -> DataFrame:
     """The measurements with ``failed_bits``: bit i is set when rule i of ``RULES`` fails.
 
     The ledger is written to the shared folder, so policies read numbers. It
@@ -96,7 +98,7 @@ def ledger(documents: DataFrame) -> DataFrame:
     filter or lambda above, where they would run many times over.
     """
     bits = " | ".join(f"CASE WHEN {condition} THEN {BIT[name]}L ELSE 0L END" for name, condition in RULES)
-    return stash(measure(documents).withColumn("failed_bits", F.expr(bits)))
+    return cut(measure(documents, whole).withColumn("failed_bits", F.expr(bits)))
 
 
 def apply_policy(book: DataFrame, policy: str) -> DataFrame:
@@ -119,6 +121,10 @@ def ablations(book: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the strict policy; the others go."""
-    kept = apply_policy(ledger(docs), "strict-1").where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Documents that pass the strict policy; the others go.
+
+    The ledger keeps each row beside its bits, so that every row stands by its
+    own text, whatever its doc_id, and no join is needed.
+    """
+    kept = apply_policy(ledger(docs, whole=True), "strict-1").where("kept")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

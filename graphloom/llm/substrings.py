@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import discard, stash
+from graphloom.durable import cut, discard
 from graphloom.llm import words as w
 
 #: Words under the gear hash, a power of two.
@@ -158,19 +158,19 @@ def repeated_passages(documents: DataFrame, min_words: int = 50) -> DataFrame:
     first place in it. Other columns are ignored; an empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = stash(docs.mapInArrow(_chunk_rows(min_words), "doc_id long, word int, n int, digest long, whole long"))
+    rows = cut(docs.mapInArrow(_chunk_rows(min_words), "doc_id long, word int, n int, digest long, whole long"))
     place = F.min(F.struct("doc_id", "word")).alias("first")
     wholes = rows.groupBy("digest", "whole").agg(place, F.max("doc_id").alias("last"))
     unlike = wholes.groupBy("digest").agg(F.count("*").alias("k"), F.min("first.doc_id").alias("low"), F.max("last").alias("high")).where("k > 1 AND low < high").select("digest", F.lit(True).alias("unlike"))
     marked = wholes.join(unlike, "digest", "left").where("unlike OR first.doc_id < last").select("digest", "whole", "unlike", F.col("first.doc_id").alias("src"), F.col("first.word").alias("src_word"))
-    found = stash(rows.join(marked, ["digest", "whole"]).where("doc_id > src OR unlike").select("doc_id", "word", "n", "src", "src_word"))
+    found = cut(rows.join(marked, ["digest", "whole"]).where("doc_id > src OR unlike").select("doc_id", "word", "n", "src", "src_word"))
     same = found.where("doc_id > src").select("doc_id", "src", "word", "src_word", "n")
     # a chunk no smaller doc_id has as a whole may still have windows in common
     open_ = found.where("doc_id = src").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("word", "n"))).alias("chunks"))  # no more than a document's chunks
-    windows = stash(docs.join(open_, "doc_id").mapInArrow(_window_rows(min_words), "doc_id long, word int, digest long"))
+    windows = cut(docs.join(open_, "doc_id").mapInArrow(_window_rows(min_words), "doc_id long, word int, digest long"))
     first = windows.groupBy("digest").agg(place, F.max("doc_id").alias("last")).where("first.doc_id < last")
     part = windows.join(first.select("digest", F.col("first.doc_id").alias("src"), F.col("first.word").alias("src_word")), "digest").where("doc_id > src").select("doc_id", "src", "word", "src_word", F.lit(min_words).alias("n"))
-    anchors = stash(same.union(part).groupBy("doc_id", "src").agg(F.collect_list(F.struct("word", "src_word", "n")).alias("anchors")))
+    anchors = cut(same.union(part).groupBy("doc_id", "src").agg(F.collect_list(F.struct("word", "src_word", "n")).alias("anchors")))
     discard(rows, found, windows)
     ids = anchors.select("doc_id").union(anchors.select("src")).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import cut, stash
+from graphloom.durable import cut
 
 #: Fixed rules of the query: host, start of the path, verdict.
 QUERY_RULES = [
@@ -94,7 +94,7 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, th
     known = hosts.select("host", F.explode(_suffixes(F.col("host"))).alias("suffix")).join(rules, "suffix")
     fits = known.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.length("rule")).alias("n"), "rule", "start", "verdict"))).alias("rules"))  # no more than there are rules
     rows = rows.drop("html").join(fits, "host", "left").withColumn("hit", F.get(F.filter("rules", lambda r: F.col("path").startswith(r["start"])), F.lit(0)))
-    rows = stash(rows.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled")))
+    rows = cut(rows.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled")))
     counts = rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad"))
     seeds = counts.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("good").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("bad").alias("seed")))).alias("s"), "n")
     seeds = seeds.where(F.col("s.seed") * 2 > F.col("n")).select("s.kind", "host", F.lit(1.0).alias("seed"))
