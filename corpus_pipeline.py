@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.durable import stash
+from graphloom.durable import cut
 from graphloom.llm.langid import language_stage
 from graphloom.llm.neardup import neardup_stage
 from graphloom.llm.packing import packing_stage
@@ -31,5 +31,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir))
+        docs = cut(stage(spark, docs, sf_dir))
     return docs

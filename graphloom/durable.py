@@ -55,9 +55,6 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-stash = cut
-
-
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that ``cut`` gave, once nothing that is still to run reads them."""
     for df in tables:

@@ -42,11 +42,14 @@ def joined_components(parts: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, component)`` of known ``parts`` after further ``links (a, b)``.
 
     Only the links between known components are looked at, so the work goes
-    with them and not with what is settled. Nodes without a part are their own.
+    with them and not with what is settled. Nodes without a part are their
+    own, and have no row if no link ties them to others.
     """
     of = lambda c, out: parts.select(F.col("node").alias(c), F.col("component").alias(out))
     named = links.select("a", "b").join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
     named = cut(named.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")))
+    if named.where("x <> y").isEmpty():
+        return parts.select("node", "component")
     merged = connected_components(named.where("x <> y"), "x", "y").select(F.col("node").alias("component"), F.col("component").alias("now"))
     ends = F.array(*(F.struct(F.col(n).alias("node"), F.col(c).alias("component")) for n, c in ("ax", "by")))
     every = parts.select("node", "component").union(named.select(F.explode(ends).alias("p")).select("p.*")).distinct()

@@ -89,7 +89,7 @@ def order_statistic(pairs: DataFrame, column: str, share: float = 0.0005, few: i
             before += n
         place -= before
         lo, hi = [-INFINITE, *ends, INFINITE][b : b + 2]
-        inside = inside.where((F.col("x") >= lo) & (F.col("x") < hi))
+        inside = inside.where((F.col("x") >= lo) & ((F.col("x") < hi) | F.lit(hi == INFINITE)))
     upto = F.sum("n").over(Window.orderBy("x"))  # over few values
     return inside.withColumn("upto", upto).where(F.col("upto") > place).agg(F.min("x").alias(column))
 
