@@ -4,9 +4,10 @@ Messages are rows ``(conv_id, turn, role, text)``. An assistant's text may be
 JSON with ``tool_calls`` (each with ``id``, ``name``, ``arguments`` and, where a
 call needs others' results, ``after``: their ids); a tool's text is JSON with
 ``tool_call_id`` and ``content``. Calls and results meet in a hash join on
-conversation and identifier. Calls are ordered topologically by Kahn's method:
-each round settles the calls whose needs are settled, so a level is a join and
-not a walk through a conversation. Arguments are checked against the schema of
+conversation and identifier. Calls are ordered topologically: chains of calls
+that need one other each are shortened by pointer jumping, then Kahn's rounds
+settle calls of several needs once these are settled. So a chain costs as many
+joins as its length has binary digits. Arguments are checked against the schema of
 the tool's name, and everything is written as canonical JSON: keys sorted, no
 spaces.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import cut
+from graphloom.durable import Scratch, cut, discard
 
 _CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string, after: array<string>>>>"
 _RESULT = "struct<tool_call_id: string, content: string>"
@@ -49,20 +50,51 @@ def _errors(schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """``(conv_id, id, level)``: 0 for calls that need none, else one more than the highest they need; calls on or behind a cycle have no row."""
-    needs = cut(calls.select("conv_id", "id", F.explode("after").alias("need")).distinct())
-    settled = calls.join(needs.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"))
-    out, fresh = settled, settled
-    waiting = needs
-    while True:
-        met = waiting.join(fresh.select("conv_id", F.col("id").alias("need"), F.lit(True).alias("met")), ["conv_id", "need"], "left")
-        left = cut(met.where("met IS NULL").drop("met"))
-        done = cut(waiting.select("conv_id", "id").distinct().join(left.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti"))
-        if done.isEmpty():
-            return out
-        known = needs.join(done, ["conv_id", "id"]).join(out.select("conv_id", F.col("id").alias("need"), "level"), ["conv_id", "need"])
-        fresh = cut(known.groupBy("conv_id", "id").agg((F.max("level") + 1).alias("level")))
-        out, waiting = out.union(fresh), left
+    """``(conv_id, id, level)`` of ``calls (conv_id, id, after)``: 0 for calls that need none, else one more than the highest they need; calls on or behind a cycle have no row."""
+    key = ["conv_id", "id"]
+    with Scratch() as s:
+        needs = cut(calls.select(*key, F.size("after").alias("n"), F.explode("after").alias("need")))
+        one = _jumped(needs.where("n = 1").select(*key, F.col("need").alias("root"), F.lit(1).alias("far")))
+        s.keep(one)
+        shorter = one.select("conv_id", F.col("id").alias("need"), "root", "far")
+        waiting = needs.where("n > 1").join(shorter, ["conv_id", "need"], "left")
+        waiting = cut(waiting.select(*key, F.coalesce("root", "need").alias("root"), F.coalesce("far", F.lit(0)).alias("far")))
+        known = s.keep(cut(calls.where(F.size("after") == 0).select(*key, F.lit(0).alias("level"))))
+        fresh = known
+        while not waiting.isEmpty():
+            met = waiting.join(known.select("conv_id", F.col("id").alias("root"), "level"), ["conv_id", "root"], "left").groupBy(*key)
+            met = met.agg(F.count("*").alias("asked"), F.count("level").alias("met"), F.max(F.col("level") + F.col("far") + 1).alias("level"))
+            fresh = cut(met.where("asked = met").select(*key, "level"))
+            if fresh.isEmpty():
+                break
+            with Scratch() as t:
+                grown, left = t.keep(cut(known.union(fresh))), t.keep(cut(waiting.join(fresh, key, "left_anti")))
+            discard(known, fresh, waiting)
+            known, waiting = grown, left
+        s.keep(known)
+    behind = one.join(known.select("conv_id", F.col("id").alias("root"), F.col("level").alias("of_root")), ["conv_id", "root"])
+    return known.union(behind.select(*key, F.col("of_root") + F.col("far")))
+
+
+def _jumped(one: DataFrame) -> DataFrame:
+    """``(conv_id, id, root, far)`` with the root at the chain's end instead of the next call, and how far it is.
+
+    Each round doubles the reach. What still moves when the reach is over the
+    number of rows is on or behind a cycle; its root has no level ever.
+    """
+    one = cut(one)
+    reach, most = 1, one.count()
+    while reach <= most:
+        onward = one.select("conv_id", F.col("id").alias("root"), F.col("root").alias("next"), F.col("far").alias("more"))
+        moved = cut(one.join(onward, ["conv_id", "root"], "left"))
+        ended = moved.where("next IS NOT NULL").isEmpty()
+        after = one if ended else cut(moved.select("conv_id", "id", F.coalesce("next", "root").alias("root"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far")))
+        discard(moved)
+        if ended:
+            break
+        discard(one)
+        one, reach = after, 2 * reach
+    return one
 
 
 def link_calls(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
@@ -79,7 +111,8 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool
     conversation has are an error, and don't hold the call back. Texts that
     are null, empty or not JSON of this form hold no calls; rows with a null
     conv_id or identifier take no part; repeated rows count once; other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. Texts are taken whole, however
+    long, and a conversation is never gathered into one row.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").where("conv_id IS NOT NULL")
     said = rows.where("role = 'assistant'").select("conv_id", "turn", F.explode(F.from_json("text", _CALLS)["tool_calls"]).alias("c"))

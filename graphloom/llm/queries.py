@@ -179,9 +179,29 @@ SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN co
 """
 
 
+#: A call is a user's turn, its result the assistant's next turn; calls after turn 0 need call c0.
+_OP5 = """
+WITH u AS (SELECT conv_id, turn, min(CASE WHEN text IS NULL THEN {'k': 0, 't': ''} ELSE {'k': 1, 't': text} END) AS p FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT conv_id, turn, 'c' || turn AS id, CASE WHEN p.k = 1 THEN p.t END AS prompt FROM u),
+r AS (SELECT conv_id, turn AS result_turn, 'c' || (turn - 1) AS id, min(text) AS content FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.id, r.id) AS call_id, c.turn AS call_turn, result_turn, prompt, content,
+             EXISTS (SELECT 1 FROM c o WHERE o.conv_id = c.conv_id AND o.turn = 0) AS has_first
+      FROM c FULL JOIN r ON r.conv_id = c.conv_id AND r.id = c.id)
+SELECT conv_id, call_id, CASE WHEN call_turn IS NOT NULL THEN 'reply' END AS name, call_turn, result_turn,
+       CASE WHEN call_turn IS NULL THEN NULL WHEN call_turn = 0 OR NOT has_first THEN 0 ELSE 1 END::INTEGER AS level,
+       CASE WHEN call_turn IS NULL THEN 'no call' WHEN result_turn IS NULL THEN 'no result' ELSE 'linked' END AS status,
+       CASE WHEN call_turn IS NULL THEN NULL WHEN prompt IS NULL THEN 'prompt is missing' WHEN call_turn > 0 AND NOT has_first THEN 'needs unknown call c0' END AS error,
+       sha256('{"after":' || CASE WHEN call_turn > 0 THEN '["c0"]' ELSE '[]' END || ',"arguments":'
+              || CASE WHEN call_turn IS NULL THEN 'null' ELSE '{' || coalesce('"prompt":' || to_json(prompt)::VARCHAR || ',', '') || '"turn":' || call_turn || '}' END
+              || ',"id":"' || call_id || '","name":' || CASE WHEN call_turn IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}') AS json_sha256
+FROM j
+"""
+
+
 ORACLES = {
     "op1_block_matrix_neighbours": _OP1,
     "op3_sentence_licences": _op3(),
+    "op5_tool_call_links": _OP5,
     "op6_link_graph_urls": _op6(),
     "op7_quality_ledger": _OP7,
     "op10_minhash_neardup": _OP10,

@@ -1,6 +1,8 @@
 """Tool calls and URL filters against plain Python."""
 
 import json
+import random
+import time
 
 from graphloom.llm import chat, urlfilter
 
@@ -32,6 +34,69 @@ def test_links_levels_and_errors(spark):
     assert json.loads(got[1, "2"]["json"])["arguments"] == {"a": 1.5, "b": 2, "note": "x"} and '"arguments":{"a":1.5,"b":2,"note":"x"}' in got[1, "2"]["json"]
 
 
+def brute_links(rows):
+    """The same by plain Python, one conversation after the other."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        calls, results = {}, {}
+        for _, turn, role, text in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], r[3])):
+            said = json.loads(text)
+            if role == "assistant":
+                for c in said["tool_calls"]:
+                    calls.setdefault(c["id"], (turn, c))
+            else:
+                results.setdefault(said["tool_call_id"], []).append((turn, said["content"]))
+        levels, waiting = {}, {i: {x for x in c["after"] if x in calls} for i, (_, c) in calls.items()}
+        while ready := [i for i, need in waiting.items() if need <= levels.keys()]:
+            for i in ready:
+                levels[i] = 1 + max((levels[x] for x in waiting[i]), default=-1)
+            waiting = {i: need for i, need in waiting.items() if i not in levels}
+        for i in calls.keys() | results.keys():
+            turn, c = calls.get(i, (None, {}))
+            late = [r for r in results.get(i, []) if turn is None or r[0] >= turn]
+            status = "no call" if turn is None else "linked" if late else "no result"
+            fault = None
+            if turn is not None:
+                unmet = sorted(x for x in c["after"] if x not in calls)
+                bad = None if c["name"] == "get" and isinstance(c["arguments"].get("key"), str) else "unknown tool" if c["name"] != "get" else "key is missing" if c["arguments"].get("key") is None else "key is not of type string"
+                fault = bad or (f"needs unknown call {unmet[0]}" if unmet else None) or (None if i in levels else "is on or behind a cycle")
+            whole = {"after": sorted(c["after"]) if c else [], "arguments": c.get("arguments"), "id": i, "name": c.get("name"), "result": late[0][1] if late else None}
+            out[conv, i] = (turn, late[0][0] if late else None, levels.get(i), status, fault, json.dumps(whole, ensure_ascii=False, separators=(",", ":"), sort_keys=True))
+    return out
+
+
+def test_random_conversations_against_plain_python(spark):
+    rng = random.Random(21)
+    rows = []
+    for conv in range(60):
+        n = rng.randrange(1, 14)
+        ids = [f"k{i}" for i in range(n)]
+        for i, x in enumerate(ids):
+            others = ids[:i] if conv % 3 else ids  # every third conversation may have cycles
+            after = sorted(set(rng.sample(others, min(len(others), rng.choice([0, 1, 1, 1, 2, 3])))) | ({"gone"} if rng.random() < 0.05 else set()))
+            arguments = rng.choice([{"key": "v"}, {"key": "ü \"q\""}, {"key": 3}, {"key": None}, {}, {"z": [1, {"b": 1, "a": 2.5}], "key": "k"}])
+            rows.append((conv, rng.randrange(n), "assistant", json.dumps({"tool_calls": [call(x, rng.choice(["get", "get", "none"]), arguments, *after)]})))
+            if rng.random() < 0.8:
+                rows.append((conv, rng.randrange(2 * n), "tool", json.dumps({"tool_call_id": rng.choice([x, x, "lone"]), "content": f"r{i}"})))
+    got = {k: (r["call_turn"], r["result_turn"], r["level"], r["status"], r["error"], r["json"]) for k, r in links(spark, rows).items()}
+    assert got == brute_links(rows)
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    rows = [(1, i, "assistant", json.dumps({"tool_calls": [call(f"k{i}", "get", {"key": "x" * 50}, *([f"k{i - 1}"] if i else []))]})) for i in range(1000)]
+    rows += [(2, i, "assistant", json.dumps({"tool_calls": [call(f"k{i}", "get", {"key": "x"}, f"k{(i + 1) % 500}")]})) for i in range(500)]  # one cycle
+    began = time.time()
+    got = links(spark, rows)
+    assert time.time() - began < 60
+    assert all(got[1, f"k{i}"]["level"] == i for i in range(1000)) and all(got[2, f"k{i}"]["level"] is None for i in range(500))
+
+
+def test_very_long_texts(spark):
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": [call("a", "get", {"key": "x" * 3_000_000})]})), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "y" * 3_000_000})), (1, 2, "assistant", "{" * 1_000_000)]
+    row = links(spark, rows)[1, "a"]
+    assert row["error"] is None and len(row["json"]) > 6_000_000
+
+
 def test_no_messages(spark):
     assert links(spark, []) == {}
 
