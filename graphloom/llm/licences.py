@@ -4,7 +4,8 @@ A text is cut into sentences; each is normalised (lower case, runs of other
 characters than letters and digits as one space) and looked up among the known
 licence sentences. What remains of a text is a sequence of sentence
 identifiers, against which ordered rules are matched: a rule names identifiers
-that must occur in that order. Sentences are cut twice, with line ends as
+that must occur in that order. A notice ("released under the terms of the X
+license") is brought to one form for each X before it is looked up. Sentences are cut twice, with line ends as
 breaks (for a notice on a line of its own) and as spaces (for wrapped licence
 texts), and a rule may match either sequence. Everything happens inside the
 row; there is no shuffle.
@@ -12,28 +13,79 @@ row; there is no shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What a notice begins and ends with besides the licence's name, in normalised text.
+_BEGIN = "^(?:this (?:work|software|program|project|package|file|code|document|data) is )?(?:licensed|released|distributed|available|provided|published|made available) under (?:the )?(?:terms of the )?"
+_END = "^(under .*) licen[cs]e$"
+
+#: Licences and the names that notices give them, in normalised text without a last "license".
+NAMES = {
+    "0BSD": ["0bsd", "zero clause bsd"],
+    "AFL-3.0": ["academic free license version 3 0", "afl 3 0"],
+    "AGPL-3.0": ["gnu affero general public license version 3", "agpl 3 0", "agplv3"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0", "apache version 2 0"],
+    "APSL-2.0": ["apple public source license version 2 0", "apsl 2 0"],
+    "Artistic-2.0": ["artistic license 2 0", "artistic 2 0"],
+    "BSD-2-Clause": ["bsd 2 clause", "simplified bsd", "2 clause bsd"],
+    "BSD-3-Clause": ["bsd 3 clause", "new bsd", "3 clause bsd", "modified bsd"],
+    "BSD-4-Clause": ["bsd 4 clause", "original bsd"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0", "bsl 1 0"],
+    "CC-BY-3.0": ["cc by 3 0", "creative commons attribution 3 0"],
+    "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0", "creative commons attribution 4 0 international"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"],
+    "CC-BY-NC-ND-4.0": ["cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0 international"],
+    "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international"],
+    "CC-BY-ND-4.0": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international"],
+    "CC-BY-SA-3.0": ["cc by sa 3 0", "creative commons attribution sharealike 3 0"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international"],
+    "CC0-1.0": ["cc0 1 0", "cc0", "creative commons zero v1 0 universal"],
+    "CDDL-1.0": ["common development and distribution license version 1 0", "cddl 1 0"],
+    "CPL-1.0": ["common public license version 1 0", "cpl 1 0"],
+    "ECL-2.0": ["educational community license version 2 0", "ecl 2 0"],
+    "EPL-1.0": ["eclipse public license version 1 0", "epl 1 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0", "epl 2 0"],
+    "EUPL-1.2": ["european union public licence version 1 2", "eupl 1 2", "eupl v1 2"],
+    "GFDL-1.3": ["gnu free documentation license version 1 3", "gfdl 1 3"],
+    "GPL-2.0": ["gnu general public license version 2", "gpl version 2", "gpl 2 0", "gplv2"],
+    "GPL-3.0": ["gnu general public license version 3", "gpl version 3", "gpl 3 0", "gplv3"],
+    "ISC": ["isc"],
+    "LGPL-2.1": ["gnu lesser general public license version 2 1", "lgpl 2 1", "lgplv2 1"],
+    "LGPL-3.0": ["gnu lesser general public license version 3", "lgpl 3 0", "lgplv3"],
+    "LPPL-1.3c": ["latex project public license version 1 3c", "lppl 1 3c"],
+    "MIT": ["mit", "mit x11"],
+    "MIT-0": ["mit no attribution", "mit 0"],
+    "MPL-1.1": ["mozilla public license version 1 1", "mpl 1 1"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license v 2 0", "mpl 2 0"],
+    "MS-PL": ["microsoft public", "ms pl"],
+    "NCSA": ["university of illinois ncsa open source", "ncsa"],
+    "ODbL-1.0": ["open database license version 1 0", "odbl 1 0"],
+    "OFL-1.1": ["sil open font license version 1 1", "sil open font license 1 1", "ofl 1 1"],
+    "OSL-3.0": ["open software license version 3 0", "osl 3 0"],
+    "PostgreSQL": ["postgresql"],
+    "PSF-2.0": ["python software foundation license version 2", "psf 2 0"],
+    "UPL-1.0": ["universal permissive license version 1 0", "upl 1 0"],
+    "Unlicense": ["unlicense"],
+    "WTFPL": ["do what the fuck you want to public", "wtfpl"],
+    "Zlib": ["zlib", "zlib libpng"],
+}
 #: Identifiers and normalised sentences of public licences and their notices.
-SENTENCES = {
-    "mit-name": "mit license",
-    "mit-notice": "released under the mit license",
-    "mit-notice-2": "licensed under the mit license",
+_SENTENCES = {
     "mit-grant": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the"
         " software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the"
         " software and to permit persons to whom the software is furnished to do so subject to the following conditions"
     ),
     "mit-keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "apache2-notice": "licensed under the apache license version 2 0",
     "apache2-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "apache2-copy": "you may obtain a copy of the license at",
     "apache2-as-is": (
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties"
         " or conditions of any kind either express or implied"
     ),
-    "gpl3-notice": "this work is licensed under the gnu general public license version 3",
     "gpl3-header": (
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software"
         " foundation either version 3 of the license or at your option any later version"
@@ -56,31 +108,31 @@ SENTENCES = {
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without"
         " specific prior written permission"
     ),
-    "cc-by-nc4-notice": "licensed under cc by nc 4 0",
-    "cc-by4-notice": "licensed under cc by 4 0",
-    "cc-by-sa4-notice": "licensed under cc by sa 4 0",
     "mpl2-header": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
+
+
+def reduced(sentence: str) -> str:
+    """A normalised sentence, notices in their one form."""
+    return re.sub(_END, r"\1", re.sub(_BEGIN, "under ", sentence))
+
+
+#: Sentences by identifier; those of notices follow from the names.
+SENTENCES = {name: reduced(x) for name, x in _SENTENCES.items()} | {f"{licence.lower()}-notice-{i}": f"under {x}" for licence, names in NAMES.items() for i, x in enumerate(names)}
 #: Rules in order: licence and the sentence identifiers that must follow each other, other sentences between them allowed.
 RULES = [
     ("Apache-2.0", ["apache2-header", "apache2-copy", "apache2-as-is"]),
     ("Apache-2.0", ["apache2-header"]),
-    ("Apache-2.0", ["apache2-notice"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("CC-BY-4.0", ["cc-by4-notice"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc4-notice"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa4-notice"]),
     ("GPL-2.0-or-later", ["gpl2-header", "gpl-hope"]),
-    ("GPL-3.0", ["gpl3-notice"]),
     ("GPL-3.0-or-later", ["gpl3-header", "gpl-hope"]),
     ("MIT", ["mit-grant", "mit-keep"]),
-    ("MIT", ["mit-notice"]),
-    ("MIT", ["mit-notice-2"]),
     ("MPL-2.0", ["mpl2-header"]),
+    *((licence, [f"{licence.lower()}-notice-{i}"]) for licence, names in NAMES.items() for i in range(len(names))),
 ]
 #: Every known sentence has one of these, so that a text without them is not cut.
-_HINT = r"(?i)licen[cs]e|licensed|permission|redistribut|copyright|distributed"
+_HINT = r"(?i)licen[cs]e|permission|redistribut|copyright|distributed|(?:released|available|provided|published)\s+under"
 
 
 def normalise(sentence: Column) -> Column:
@@ -88,16 +140,21 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
 
 
-def _identifiers(text: Column, breaks: str) -> Column:
+def _identifiers(text: Column, breaks: str, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    found = F.transform(F.split(text, breaks), lambda s: known[normalise(s)])
+    known = F.create_map(*[F.lit(x) for name, sentence in sentences.items() for x in (sentence, name)])
+    one_form = lambda s: F.regexp_replace(F.regexp_replace(normalise(s), _BEGIN, "under "), _END, "$1")
+    found = F.transform(F.filter(F.split(text, breaks), lambda s: s.rlike(_HINT)), lambda s: known[one_form(s)])
     return F.filter(found, lambda x: x.isNotNull())
 
 
-def scan(documents: DataFrame) -> DataFrame:
+def scan(documents: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """``(doc_id, n_sentences, sentences, licences, licence)`` for every row of ``documents (doc_id, text)``.
 
+    ``sentences`` (identifier to normalised sentence, see ``reduced``) and
+    ``rules`` may be replaced; each sentence has to contain a word of ``_HINT``
+    or begin with "under".
+
     ``sentences`` lists the identifiers of recognised sentences in order (of the
     cut that recognises more; of equals the one by lines), ``licences`` the
     licences whose rules match, each once, in the order of the rules, and
@@ -105,22 +162,24 @@ def scan(documents: DataFrame) -> DataFrame:
 
     A text that is null, empty or without licence sentences has empty lists and
     a null licence. Repeated rows are repeated, a null doc_id stays null, other
-    columns are ignored.
+    columns are ignored, an empty table gives no rows. Texts are scanned whole,
+    however long.
     """
     text = F.when(F.col("text").rlike(_HINT), F.col("text"))
     none = F.array().cast("array<string>")
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(_identifiers(text, r"[.!?:;](?:\s|$)|[\n\r]+"), none).alias("by_line"),
-        F.coalesce(_identifiers(text, r"[.!?:;](?:\s|$)"), none).alias("by_text"),
+        F.coalesce(_identifiers(text, r"[.!?:;](?:\s|$)|[\n\r]+", sentences), none).alias("by_line"),
+        F.coalesce(_identifiers(text, r"[.!?:;](?:\s|$)", sentences), none).alias("by_text"),
     )
     marked = [F.concat(F.lit(","), F.array_join(c, ",,"), F.lit(",")) for c in ("by_line", "by_text")]
-    hits = [F.when(_rule(marked[0], wanted) | _rule(marked[1], wanted), licence) for licence, wanted in RULES]
-    rows = rows.withColumn("licences", F.array_distinct(F.array_compact(F.array(*hits))))
+    hits = [F.when(_rule(marked[0], wanted) | _rule(marked[1], wanted), licence) for licence, wanted in rules]
+    some = (F.size("by_line") > 0) | (F.size("by_text") > 0)
+    rows = rows.withColumn("licences", F.when(some, F.array_distinct(F.array_compact(F.array(*hits)))).otherwise(none))
     best = F.when(F.size("by_text") > F.size("by_line"), F.col("by_text")).otherwise(F.col("by_line"))
     return rows.select("doc_id", F.size(best).alias("n_sentences"), best.alias("sentences"), "licences", F.get("licences", F.lit(0)).alias("licence"))
 
 
 def _rule(marked: Column, wanted: list[str]) -> Column:
     """Whether the identifiers occur in this order in a list written as ``,a,,b,``."""
-    return marked.rlike(".*".join(f",{name}," for name in wanted))
+    return marked.contains(f",{wanted[0]},") if len(wanted) == 1 else marked.rlike(".*".join(f",{name}," for name in wanted))

@@ -256,4 +256,9 @@ def neardup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(docs.columns)
+    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
+        named = named.join(repeated, "doc_id", "left_anti").select(docs.columns).union(one.select(*[F.col(f"row.`{c}`") for c in docs.columns]))
     return named.union(docs.where("doc_id IS NULL"))

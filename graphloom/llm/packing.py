@@ -8,6 +8,7 @@ enough for one task; the waste of a shard is a few open sequences.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
@@ -28,6 +29,23 @@ END_ID = 0
 REMEMBERED, SHARD = 600_000, 50_000
 
 
+def parts_words(tokenizer: dict) -> tuple[bool, bool]:
+    """Whether a tokenizer file's parts are those for which words can be encoded alone; and whether it ignores case.
+
+    Needed are: a BPE with word ends, a normaliser that composes characters,
+    joins white space and may lower, and a split whose pattern takes runs of
+    letters apart from points and commas and never spans white space, each
+    piece by itself.
+    """
+    kinds = lambda x: [] if x is None else [k for y in x.get("normalizers") or x.get("pretokenizers") for k in kinds(y)] if x["type"] == "Sequence" else [x]
+    model, normal, before = tokenizer["model"], kinds(tokenizer["normalizer"]), kinds(tokenizer["pre_tokenizer"])
+    spaces = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in normal)
+    splits = [x["pattern"].get("Regex", "") for x in before if x["type"] == "Split"]
+    patterns = len(splits) == 1 and r"[\p{L}]+" in splits[0] and r"[^\s\p{L}\p{N}]+" in splits[0] and all(x["type"] in ("Split", "ByteLevel") for x in before)
+    whole = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("ignore_merges")
+    return bool(whole and spaces and patterns), any(x["type"] == "Lowercase" for x in normal)
+
+
 class WordIds:
     """Ids of texts under a BPE tokenizer with word ends that never joins what ASCII white space separates.
 
@@ -35,13 +53,15 @@ class WordIds:
     tokenizer ignores case (``lower``), and without a point or comma that
     follows an ASCII letter, as the tokenizer splits there anyway. Words of
     letters are encoded many at a time and told apart by the ids that end one.
+    Under a tokenizer of another kind (see ``parts_words``) texts are encoded whole.
     """
 
-    def __init__(self, path: str, lower: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.lower, self.known = Tokenizer.from_file(path), lower, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.apart, self.lower = parts_words(json.loads(self.tokenizer.to_str()))
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for x, i in names.items() if x.endswith("</w>")]] = True
@@ -64,6 +84,9 @@ class WordIds:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, joined, and where each text's begin (one more than texts)."""
+        if not self.apart:
+            ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         if self.lower:
             texts = pc.ascii_lower(texts)
         words, codes, at = w.vocabulary(pc.replace_substring_regex(texts, "([A-Za-z])([.,])", r"\1 \2"))

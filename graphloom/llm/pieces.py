@@ -5,6 +5,8 @@ a text falls apart before every run of markers, and the parts encode alone as
 they do inside the text. Each slice of texts becomes a table of distinct chunks
 (markers and the word after them) and a list of positions; the library encodes
 and decodes each distinct chunk once, and ids are joined back by position.
+Under a model with other pieces, or one that treats white space otherwise,
+whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import words as w
 
 MARKER = "▁"
+#: Texts by which a model shows how it treats white space.
+PROBES = ["", " ", "  ", "a", " a", "a ", "  a  b   ", "a\n b\n\nc ", "the cat  sat\ton a mat. ", "▁a▁ ▁b", "É é 日本 語 ﬁ①"]
 #: Chunks that a worker remembers.
 REMEMBERED = 300_000
 
@@ -33,9 +37,9 @@ class ChunkTable:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any(MARKER in x.lstrip(MARKER) for x in names):
-            raise ValueError("a piece of this model crosses a white-space marker; chunks can't be encoded alone")
         self.known: dict[str, tuple[list[int], str, str]] = {}
+        self.apart = not any(MARKER in x.lstrip(MARKER) for x in names)
+        self.apart = self.apart and [x[0] for x in encode(self, pa.array(PROBES))] == self.model.encode(PROBES, num_threads=1)
 
     def learn(self, chunks: list[str]) -> None:
         """Encode and decode those chunks that are new."""
@@ -78,6 +82,11 @@ class ChunkTable:
 
 def encode(table: ChunkTable, texts: pa.Array) -> Iterator[tuple[list[int], str, str]]:
     """Ids of each text, the ids as digits joined by commas, and the text decoded again."""
+    if not table.apart:
+        for text in texts.to_pylist():
+            ids = table.model.encode(text or "")
+            yield ids, ",".join(map(str, ids)), table.model.decode(ids)
+        return
     chunks, codes, at = table.split(texts)
     table.learn(chunks)
     rows = [table.known[x] for x in chunks]
@@ -92,6 +101,10 @@ def _digests(model: str):
         table = ChunkTable(model)
         for batch in batches:
             for part in w.slices(batch):
+                if not table.apart:
+                    own = [(len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (digits, plain))) for ids, digits, plain in encode(table, part.column("text"))]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.string()), pa.array([x[2] for x in own], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    continue
                 chunks, codes, at = table.split(part.column("text"))
                 table.learn(chunks)
                 rows = [table.known[x] for x in chunks]
@@ -122,13 +135,14 @@ def encode_documents(documents: DataFrame, model: str) -> DataFrame:
     """``(doc_id, ids, decoded)`` of every row of ``documents (doc_id, text)``, exactly as the library gives them for the whole text.
 
     A null text is empty, and an empty text has no ids. Repeated rows are
-    repeated, a null doc_id stays null, other columns are ignored.
+    repeated, a null doc_id stays null, other columns are ignored, an empty
+    table gives no rows. Texts are encoded whole, however long.
     """
     return _rows(documents).mapInArrow(_both(model), "doc_id long, ids array<int>, decoded string")
 
 
 def digest_documents(documents: DataFrame, model: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of what ``encode_documents`` gives, without moving it."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of what ``encode_documents`` gives, without moving it; rows as there."""
     return _rows(documents).mapInArrow(_digests(model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -139,7 +139,8 @@ def _quote(x: str) -> str:
 
 def _op3() -> str:
     known = "MAP {" + ", ".join(f"{_quote(sentence)}: {_quote(name)}" for name, sentence in licences.SENTENCES.items()) + "}"
-    ids = lambda breaks: rf"list_filter(list_transform(regexp_split_to_array(t, '{breaks}'), lambda s: {known}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
+    form = rf"regexp_replace(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{licences._BEGIN}', 'under '), '{licences._END}', '\1')"
+    ids = lambda breaks: f"list_filter(list_transform(regexp_split_to_array(t, '{breaks}'), lambda s: {known}[{form}]), lambda x: x IS NOT NULL)"
     hit = lambda wanted: " OR ".join(f"regexp_matches(',' || array_to_string({c}, ',,') || ',', '{'.*'.join(f',{x},' for x in wanted)}')" for c in ("a", "b"))
     hits = ", ".join(f"CASE WHEN {hit(wanted)} THEN {_quote(licence)} END" for licence, wanted in licences.RULES)
     names = list(dict.fromkeys(licence for licence, _ in licences.RULES))

@@ -131,33 +131,47 @@ def _extend(min_words: int):
         for batch in batches:
             for part in w.slices(batch):
                 out: list[tuple] = []
-                for doc, src, anchors, text, source in zip(*(part.column(c).to_pylist() for c in ("doc_id", "src", "anchors", "text", "source")), strict=True):
+                for doc, src, anchors, text, source, digest in zip(*(part.column(c).to_pylist() for c in ("doc_id", "src", "anchors", "text", "source", "text_hash")), strict=True):
                     if known[0] != src:  # rows come sorted by source
                         known = (src, _Text(source))
                     mine = _Text(text)
                     for i, j, n in common_runs(mine.words, known[1].words, [(a["word"], a["src_word"], a["n"]) for a in anchors]):
                         if n >= min_words:
-                            out.append((doc, i, n, *mine.chars(i, i + n), src, j))
-                names = ["doc_id", "word", "n_words", "start", "stop", "source_doc_id", "source_word"]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(7)], names)
+                            out.append((doc, i, n, *mine.chars(i, i + n), src, j, digest))
+                names = ["doc_id", "word", "n_words", "start", "stop", "source_doc_id", "source_word", "text_hash"]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(8)], names)
 
     return run
 
 
+def _one_text(docs: DataFrame) -> DataFrame:
+    """Without the rows of a doc_id whose text is not that of its least hash."""
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    several = cut(hashed.groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo <> hi").select("doc_id", "lo"))
+    if several.isEmpty():
+        discard(several)
+        return docs
+    return hashed.join(several, "doc_id", "left").where("lo IS NULL OR text_hash = lo").select("doc_id", "text")
+
+
 def repeated_passages(documents: DataFrame, min_words: int = 50) -> DataFrame:
     """Passages of ``documents (doc_id, text)`` that a document of smaller doc_id also has.
 
     A row for each passage: ``doc_id``, ``word`` (its first word), ``n_words``,
-    ``start`` and ``stop`` (characters), ``source_doc_id``, ``source_word``.
+    ``start`` and ``stop`` (characters), ``source_doc_id``, ``source_word``,
+    and ``text_hash`` (``xxhash64`` of the text that it is in).
     Every word in a run of ``min_words`` words that a smaller doc_id has is in
     a passage. Passages of one document may overlap.
 
     Null and wordless texts, and rows with a null doc_id, have no passages.
-    Repeated rows of one doc_id count as one document. The source is the
-    smallest doc_id with the same chunk, or else with the same window, at the
-    first place in it. Other columns are ignored; an empty table gives no rows.
+    Repeated rows of one doc_id count as one document; of different texts of
+    one doc_id that of the least hash takes part. The source is the smallest
+    doc_id with the same chunk, or else with the same window, at the first
+    place in it. Texts are taken whole; a very long one is worked on by one
+    task, which holds its words' hashes. Other columns are ignored; an empty
+    table gives no rows.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = _one_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL"))
     rows = cut(docs.mapInArrow(_chunk_rows(min_words), "doc_id long, word int, n int, digest long, whole long"))
     place = F.min(F.struct("doc_id", "word")).alias("first")
     wholes = rows.groupBy("digest", "whole").agg(place, F.max("doc_id").alias("last"))
@@ -175,25 +189,29 @@ def repeated_passages(documents: DataFrame, min_words: int = 50) -> DataFrame:
     ids = anchors.select("doc_id").union(anchors.select("src")).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = anchors.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("source")), "src")
-    return both.mapInArrow(_extend(min_words), "doc_id long, word long, n_words long, start long, stop long, source_doc_id long, source_word long").distinct()
+    return both.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_extend(min_words), "doc_id long, word long, n_words long, start long, stop long, source_doc_id long, source_word long, text_hash long").distinct()
 
 
 def cut_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """``documents`` without the characters of their passages; ``n_chars`` follows the text where there is such a column.
 
-    A row without passages stays as it is.
+    A row without passages stays as it is, as does one whose text is not the
+    one that the passages of its doc_id are in. Columns may have any names.
     """
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))  # a document's own passages
+    key = ["doc_id", "text_hash"]
+    spans = passages.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))  # a document's own passages
     left = F.expr(
-        "aggregate(_spans, named_struct('at', 0L, 'out', ''), (s, x) -> named_struct('at', greatest(s.at, x.stop), 'out',"
-        " CASE WHEN x.start > s.at THEN concat(s.out, substring(text, CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT))) ELSE s.out END),"
-        " s -> concat(s.out, substring(text, CAST(s.at + 1 AS INT))))"
+        "aggregate(spans, named_struct('at', 0L, 'out', ''), (s, x) -> named_struct('at', greatest(s.at, x.stop), 'out',"
+        " CASE WHEN x.start > s.at THEN concat(s.out, substring(row.text, CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT))) ELSE s.out END),"
+        " s -> concat(s.out, substring(row.text, CAST(s.at + 1 AS INT))))"
     )
-    out = documents.join(spans, "doc_id", "left").withColumn("_left", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left))
-    changed = {"text": F.col("_left")}
-    if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("_left").cast("long"))
-    return out.withColumns(changed).select(documents.columns)
+    names = documents.columns
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    out = rows.join(spans, key, "left").select("row", "spans", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(left).alias("left"))
+    changed = {"text": F.col("left")}
+    if "n_chars" in names:
+        changed["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.char_length("left")).cast(documents.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 def substring_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,7 +245,17 @@ def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
     rows = [(1, "text\nLicensed under the Apache License, Version 2.0.\nmore"), (2, mit), (3, None), (4, ""), (5, "a license of no kind."), (6, "Released under the MIT License. Licensed under CC BY-NC 4.0."), (None, "Licensed under CC BY-NC 4.0.")]
     rows.append((7, "\n".join(reversed(mit.split("\n\n")))))  # wrong order
+    rows.append((8, "# " + mit.replace("\n", "\n# ")))  # in comments
+    rows.append((9, " ".join(mit.split())))  # on one line
+    rows.append((10, "word " * 400_000 + ". " + mit))
+    notices = [f"{verb} {the}{name}{end}" for verb in ("This software is released under", "Licensed under") for the in ("", "the ", "the terms of the ") for name in ("ISC", "MPL 2.0", "Zlib") for end in ("", " License", " licence")]
+    rows += [(100 + i, f"Words before it.\n{x}.\nWords after it.") for i, x in enumerate(notices)]
+    rows += [(1000 + i, f"Licensed under {names[-1]}.") for i, names in enumerate(licences.NAMES.values())]
     got = {r["doc_id"]: r for r in licences.scan(frame(spark, rows, "licences string, sentences string")).collect()}
     assert got[1]["licence"] == "Apache-2.0" and got[2]["licences"] == ["MIT"] and got[2]["n_sentences"] == 2
     assert got[6]["licences"] == ["CC-BY-NC-4.0", "MIT"] and got[None]["licence"] == "CC-BY-NC-4.0"
     assert all(got[i]["licence"] is None and got[i]["licences"] == [] for i in (3, 4, 5, 7))
+    assert all(got[i]["licences"] == ["MIT"] for i in (8, 9, 10))
+    assert [got[100 + i]["licence"] for i in range(len(notices))] == [next(k for k in ("ISC", "MPL-2.0", "Zlib") if k[:3] in x) for x in notices]
+    assert len(licences.NAMES) >= 40 and [got[1000 + i]["licence"] for i in range(len(licences.NAMES))] == list(licences.NAMES)
+    assert licences.scan(frame(spark, [], "licences string")).collect() == []

@@ -39,6 +39,20 @@ def test_word_ids_as_the_library():
         assert flat[at[i] : at[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_other_models_encode_whole_texts():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = packing.WordIds(other), Tokenizer.from_file(other)
+    assert packing.WordIds(BPE).apart and packing.WordIds(BPE).lower and not encoder.apart
+    flat, at = encoder(pa.array(texts()))
+    for i, text in enumerate(texts()):
+        assert flat[at[i] : at[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    table = pieces.ChunkTable(MODEL)
+    assert table.apart
+    table.apart = False
+    for (ids, digits, plain), (want, _, text) in zip(pieces.encode(table, pa.array(ODD)), pieces.encode(pieces.ChunkTable(MODEL), pa.array(ODD)), strict=True):
+        assert (ids, plain) == (want, text) and digits == ",".join(map(str, want))
+
+
 def test_encode_documents(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, "y")], "doc_id long, text string, ids string")
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
