@@ -21,12 +21,27 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def histogram(values: Column, lo: float, hi: float, bins: int, density: bool = False) -> Column:
-    """Counts in ``bins`` equal bins of width (hi - lo) / bins, counted from 0; values at or past the ends go to the first or last bin, negative ones nowhere."""
-    width = (hi - lo) / bins
-    slot = F.transform(F.filter(values, lambda v: v >= 0), lambda v: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(v / width).cast("int"))))
-    count = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(slot, lambda s: s == b)).cast("double"))
-    return _let(count, lambda n: _let(_sum(n), lambda t: F.transform(n, lambda c: c / (width * t)))) if density else count
+def histogram(values: Column, lo: float | None = None, hi: float | None = None, bins: int = 10, density: bool = False) -> Column:
+    """Counts in ``bins`` equal bins of width (hi - lo) / bins, counted from 0; values at or past the ends go to the first or last bin, negative ones nowhere.
+
+    Without ``lo`` and ``hi`` the range is that of the values. As a ``density``
+    counts are divided by width times the number of all values, negative ones
+    included.
+    """
+    own = lo is None or hi is None
+    width = (F.array_max(values) - F.array_min(values)) / bins if own else F.lit((hi - lo) / bins)
+
+    def counted(w: Column) -> Column:
+        slot = F.transform(F.filter(values, lambda v: v >= 0), lambda v: F.when(w > 0, F.least(F.lit(float(bins - 1)), F.floor(v / F.when(w > 0, w)))).otherwise(F.when(v > 0, bins - 1).otherwise(0)).cast("int"))
+        count = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(slot, lambda s: s == b)).cast("double"))
+        return F.transform(count, lambda c: F.coalesce(F.try_divide(c, w * F.size(values)), F.lit(0.0))) if density else count
+
+    return _let(width, counted)
+
+
+def histogram_signature(levels: Column, bins: int = 10) -> Column:
+    """Histograms on [0, 2] of the spectra of all levels, each divided by its Euclidean norm, one after the other."""
+    return F.flatten(F.transform(levels, lambda s: scaled_to_norm(histogram(s, 0.0, 2.0, bins))))
 
 
 def scaled_to_sum(values: Column) -> Column:

@@ -217,6 +217,7 @@ def hitting_time(edges: DataFrame, targets: DataFrame, tolerance: float = 1e-9,
     state = cut(scope.where("target <> name").join(degree, "name").select("target", "name", "d", F.lit(0.0).alias("x"), F.col("d").alias("r"), one.alias("p")))
     size = state.groupBy("target").agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz"))
     size = cut(size.select("target", "rz", (F.col("rz") * tolerance * tolerance).alias("goal"), F.lit(0.0).alias("b")))
+    spent = [state, size]
     for _ in range(most_rounds):
         if size.where("rz > goal").isEmpty():
             break
@@ -226,15 +227,13 @@ def hitting_time(edges: DataFrame, targets: DataFrame, tolerance: float = 1e-9,
             moved = cut(state.join(sent, ["target", "name"], "left").withColumn("q", F.col("d") * F.col("p") - F.coalesce("wp", F.lit(0.0))).drop("wp"))
             dots = moved.groupBy("target").agg(F.sum(F.col("p") * F.col("q")).alias("pq")).join(size.drop("b"), "target")
             length = dots.select("target", "goal", F.col("rz").alias("was"), F.when(F.col("rz") > F.col("goal"), F.coalesce(F.try_divide("rz", "pq"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("a"))
-            length = cut(length)
             stepped = moved.join(length, "target").select("target", "name", "d", (F.col("x") + F.col("a") * F.col("p")).alias("x"), (F.col("r") - F.col("a") * F.col("q")).alias("r"), "p")
-            stepped = cut(stepped)
+            stepped = s.keep(cut(stepped))
             after = stepped.groupBy("target").agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz")).join(length, "target")
             after = s.keep(cut(after.select("target", "rz", "goal", F.coalesce(F.try_divide("rz", "was"), F.lit(0.0)).alias("b"))))
-            following = stepped.join(after, "target").select("target", "name", "d", "x", "r", (F.col("r") / F.col("d") + F.col("b") * F.col("p")).alias("p"))
-            following = s.keep(cut(following))
-        discard(state, size)
-        state, size = following, after
+        discard(*spent)
+        spent, size = [stepped, after], after
+        state = stepped.join(after, "target").select("target", "name", "d", "x", "r", (F.col("r") / F.col("d") + F.col("b") * F.col("p")).alias("p"))
     else:
         raise ValueError(f"{size.where('rz > goal').count()} targets have not settled after {most_rounds} rounds")
     own = scope.where("target = name").select("target", "name", F.lit(0.0).alias("hitting"))

@@ -45,7 +45,7 @@ def _eigenvalues(weights: list[np.ndarray]) -> list[np.ndarray]:
             m *= -scale[:, :, None] * scale[:, None, :]
             m[:, np.arange(n), np.arange(n)] = 1.0
             for i, values in zip(some, np.linalg.eigvalsh(m), strict=True):
-                out[i] = values
+                out[i] = np.maximum(values, 0)  # none is negative but by rounding
     return out
 
 

@@ -176,7 +176,7 @@ def joint_spectra(spark, sf):
 
 @query()
 def network_spectrum(spark, sf):
-    values, vectors, _ = spectral.network_spectrum(fx.fragments(spark, sf), top=2, rounds=15)
+    values, vectors, _ = spectral.network_spectrum(fx.left_network(spark, sf), top=3)
     return vectors.join(F.broadcast(values), "rank")
 
 
@@ -219,7 +219,7 @@ def flow_cutoff(spark, sf):
 def hitting_time(spark, sf):
     net = fx.fragments(spark, sf)
     hubs = graph.degrees(net.edges).where("degree >= 3").select("name")
-    return graph.hitting_time(net.edges, hubs, tolerance=1e-4, most_rounds=60)
+    return graph.hitting_time(net.edges, hubs)
 
 
 @query()
@@ -227,12 +227,33 @@ def commute_distance(spark, sf):
     net = fx.fragments(spark, sf)
     hubs = graph.degrees(net.edges).where("degree >= 3").select("name")
     pairs = net.edges.join(hubs.select(F.col("name").alias("src")), "src", "left_semi").select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    return graph.commute_distance(net.edges, pairs, tolerance=1e-4, most_rounds=60)
+    return graph.commute_distance(net.edges, pairs)
 
 
 # ---- functions -----------------------------------------------------------
 
 
+_SPECTRA = ", q AS (SELECT name, list_transform(p, lambda x: least(2.0, 32 * x)) AS s FROM di)"
+
+
+@query(
+    prelude("di") + _SPECTRA + ", c AS (SELECT name, list_transform([s[1:32], s[33:]], lambda l: list_transform(range(0, 10), lambda b: len(list_filter(l, lambda v: least(9, floor(v / 0.2)) = b))::DOUBLE)) AS c FROM q)"
+    " SELECT name, flatten(list_transform(c, lambda l: list_transform(l, lambda x: round(x / sqrt(list_sum(list_transform(l, lambda y: y * y))), 9)))) AS signature FROM c"
+)
+def histogram_signature(spark, sf):
+    rows = fx.distributions(spark, sf).select("name", F.transform("p", lambda x: F.least(F.lit(2.0), 32 * x)).alias("s"))
+    levels = F.array(F.slice("s", 1, 32), F.slice("s", 33, 1000))
+    return rows.select("name", F.transform(fn.histogram_signature(levels), lambda x: F.round(x, 9)).alias("signature"))
+
+
+@query(
+    prelude("ec") + ", w AS (SELECT name, features, (list_max(features) - list_min(features)) / 4 AS h FROM ec)"
+    " SELECT name, list_transform(range(0, 4), lambda b: len(list_filter(features, lambda v: CASE WHEN h > 0 THEN least(3, floor(v / h)) WHEN v > 0 THEN 3 ELSE 0 END = b))::DOUBLE) AS counts FROM w"
+)
+def hist_own_range(spark, sf):
+    return fx.event_counts(spark, sf).select("name", fn.histogram(F.col("features"), bins=4).alias("counts"))
+
+
 @query(
     prelude("di") + ", q AS (SELECT name, list_transform(p, lambda x: least(2.0, 32 * x)) AS s FROM di), w AS (SELECT name, s, i, i / 100.0::DOUBLE AS w FROM q, (SELECT unnest(range(0, 201)) AS i)),"
     " v AS (SELECT name, i, 1e-30 + list_sum(list_transform(s, lambda x: exp(-power(w - x, 2) / (2 * 0.04)) / (0.2 * sqrt(2 * pi())))) AS gauss, list_sum(list_transform(s, lambda x: 0.2 / (power(w - x, 2) + 0.04))) AS lorentz FROM w WHERE i % 2 = 0)"
@@ -529,7 +550,7 @@ def search_moves(spark, sf):
 @query()
 def search_iterations(spark, sf):
     alignment = cut(fx.perturbed(spark, sf).withColumn("score", F.lit(0.0)))
-    return search.improve(fx.left_network(spark, sf), fx.right_network(spark, sf), alignment, iterations=2, rounds=4)
+    return search.improve(fx.left_network(spark, sf), fx.right_network(spark, sf), alignment, iterations=2)
 
 
 # ---- terms ---------------------------------------------------------------
@@ -586,3 +607,114 @@ def alignment_file(spark, sf):
     path = _folder(spark)
     tables.write_alignment(fx.truth(spark, sf), path)
     return tables.read_alignments(spark, path, "*.csv").select("left", "right")
+
+
+@query(prelude("g") + "SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, 0.5 + src % 4 / 4.0::DOUBLE AS weight FROM g")
+def gexf_file(spark, sf):
+    path = _folder(spark)
+    networks.write_gexf(fx.left_network(spark, sf).weighted_by(0.5 + F.col("src") % 4 / 4.0), path)
+    edges = networks.read_gexf(spark, path).edges
+    ends = [F.when(F.col("src").cast("long") <= F.col("dst").cast("long"), F.col(a)).otherwise(F.col(b)) for a, b in (("src", "dst"), ("dst", "src"))]
+    return edges.select(ends[0].alias("src"), ends[1].alias("dst"), "weight")
+
+
+@query(prelude("g") + "SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, 1.0::DOUBLE AS weight FROM g")
+def edge_list_without_weights(spark, sf):
+    path = _folder(spark)
+    networks.write_edge_list(fx.left_network(spark, sf).weighted_by(0.5 + F.col("src") % 4 / 4.0), path)
+    same = networks.read_edge_list(spark, path, use_weight=False)
+    edges = same.unweighted().edges.join(same.edges, ["src", "dst", "weight"], "left_semi")
+    ends = [F.when(F.col("src").cast("long") <= F.col("dst").cast("long"), F.col(a)).otherwise(F.col(b)) for a, b in (("src", "dst"), ("dst", "src"))]
+    return edges.select(ends[0].alias("src"), ends[1].alias("dst"), "weight")
+
+
+@query(prelude("sc") + "SELECT l::VARCHAR AS \"left\", r::VARCHAR AS \"right\", d, l = r AS own FROM sc")
+def blast_file(spark, sf):
+    path = _folder(spark)
+    line = F.format_string("%s %s 1 2 3 4 5 6 7 8 %s 50", "left", "right", F.col("d").cast("string"))
+    twice = F.explode(F.array(line, F.format_string("%s %s 1 2 3 4 5 6 7 8 %s 50", "left", "right", (F.col("d") + 1).cast("string")), F.lit("# comment")))
+    fx.scores(spark, sf).select(twice.alias("value")).write.text(path)
+    scores = tables.read_blast(spark, path, 10)
+    own = tables.self_scores(scores)
+    return scores.where("left <> right").withColumn("own", F.lit(False)).union(own.select(F.col("name").alias("left"), F.col("name").alias("right"), "d", F.lit(True)))
+
+
+@query(
+    prelude("g", "gv", "rg") + _BALL + ", ri AS (SELECT c, level, list(v ORDER BY v) AS ring FROM rg GROUP BY c, level)"
+    " SELECT de.center AS name, de.level, coalesce(ri.ring, r1.ring) AS ring, de.n_vertices::INTEGER AS n_values, de.n_vertices::DOUBLE AS trace, de.density FROM de"
+    " LEFT JOIN ri ON ri.c = de.center AND ri.level = de.level LEFT JOIN ri r1 ON r1.c = de.center AND r1.level = 1"
+)
+def signature_file(spark, sf):
+    path = _folder(spark)
+    tables.write_signatures(spectral.signatures(fx.left_network(spark, sf), 2), "left", path)
+    back = tables.read_signatures(spark, path, "left")
+    return back.select("name", "level", "ring", F.size("spectrum").alias("n_values"), F.round(F.aggregate("spectrum", F.lit(0.0), lambda s, x: s + x), 6).alias("trace"), "density")
+
+
+@query(prelude("pr") + "SELECT l::VARCHAR AS \"left\", r::VARCHAR AS \"right\", d_struct FROM pr")
+def distance_file(spark, sf):
+    path = _folder(spark)
+    tables.write_distances(fx.pairs(spark, sf), path)
+    return tables.read_distances(spark, path)
+
+
+@query(
+    prelude("st") + ", e AS (SELECT s, t, c FROM st UNION ALL SELECT t, s, c FROM st), p(u, v, via, f) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, '', 1e9::DOUBLE FROM region"
+    " UNION ALL SELECT p.u, e.t, p.v, least(p.f, e.c) FROM p JOIN e ON e.s = p.v WHERE e.t <> p.via) SELECT u, v, CASE WHEN u = v THEN 0 ELSE f END AS flow FROM p"
+)
+def flow_file(spark, sf):
+    tree, flows = _folder(spark), _folder(spark)
+    networks.write_tree(fx.supply_tree(spark, sf), tree)
+    regions = fx.table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("name"))
+    networks.write_flows(graph.bottleneck_flow(networks.read_tree(spark, tree), regions), flows)
+    return networks.read_flows(spark, flows)
+
+
+@query("SELECT 'p' || p_partkey AS id, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS sequence FROM part")
+def fasta_file(spark, sf):
+    path = _folder(spark)
+    rows = fx.table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("sequence"))
+    networks.write_fasta(rows, path, width=10)
+    return networks.read_fasta(spark, path)
+
+
+@query(
+    prelude("fs") + _REACH + ", b AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), v AS (SELECT node AS name FROM c WHERE component IN (SELECT component FROM b))"
+    " SELECT name, (row_number() OVER (ORDER BY name) - 1)::BIGINT AS vid, (SELECT count(*) FROM fs WHERE fs.src = name)::DOUBLE AS volume, 2::BIGINT AS n_vectors FROM v"
+)
+def spectrum_file(spark, sf):
+    path = _folder(spark)
+    values, vectors, volumes = spectral.network_spectrum(fx.fragments(spark, sf), top=2)
+    numbers = Network(volumes.select("name"), fx.fragments(spark, sf).edges).numbered()
+    tables.write_spectrum(values, vectors, volumes, numbers, path)
+    _, vectors, volumes, numbers = tables.read_spectrum(spark, path)
+    return numbers.join(volumes, "name").join(vectors.groupBy("name").agg(F.count("*").alias("n_vectors")), "name")
+
+
+@query("SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'r' || n_regionkey AS aspect FROM nation")
+def term_graph_file(spark, sf):
+    path, rows = _folder(spark), fx.table(spark, sf, "nation")
+    nation, region = F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")
+    term = F.concat_ws("\t", nation, F.concat(F.lit("Aspect="), region), F.lit("k=v"))
+    head = spark.range(1).select(F.lit("25\t25").alias("value"))
+    head.union(rows.select(term)).union(rows.select(F.concat_ws("\t", nation, region))).write.text(path)
+    found, edges = tables.read_term_graph(spark, path)
+    return edges.join(found.select(F.col("name").alias("src"), F.col("attrs")["Aspect"].alias("aspect")), "src")
+
+
+@query("SELECT c_custkey::VARCHAR AS gene, ['n' || c_nationkey, 'm' || c_mktsegment] AS terms FROM customer")
+def annotation_file(spark, sf):
+    path, nation = _folder(spark), F.concat(F.lit("n"), "c_nationkey")
+    line = F.concat_ws("\t", F.col("c_custkey").cast("string"), nation, F.concat(F.lit("m"), "c_mktsegment"), nation)
+    fx.table(spark, sf, "customer").select(line.alias("value")).write.text(path)
+    return tables.read_annotations(spark, path)
+
+
+@query(
+    ORACLES["term_probability"].replace("SELECT 'n' || k AS term, 'r' || a AS aspect, n / max(n) OVER (PARTITION BY a) AS probability FROM s", "")
+    + " SELECT 'n' || k AS goid, round(n / max(n) OVER (PARTITION BY a), 6) AS prob, 'r' || a AS ontology FROM s UNION ALL SELECT 'all', 0, 'universal'"
+)
+def term_probability_file(spark, sf):
+    path = _folder(spark)
+    tables.write_term_probabilities(term_probability(spark, sf), path)
+    return tables.read_term_probabilities(spark, path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,38 @@ def write_edge_list(network: Network, path: str) -> None:
     network.edges.select(line.alias("value")).write.text(path)
 
 
+def write_gexf(network: Network, path: str) -> None:
+    """A folder of files that ``read_gexf`` reads together, each a document by itself: the attribute of names, nodes, edges with weights."""
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = lambda lines: pa.RecordBatch.from_arrays([lines], ["value"])
+        yield batch(pa.array(["<gexf><graph>"]))
+        yield from (batch(x.column(0)) for x in batches)
+        yield batch(pa.array(["</graph></gexf>"]))
+
+    escaped = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    head = network.edges.sparkSession.sql("""SELECT '<attribute id="0" title="gname" type="string"/>' AS value""")
+    nodes = network.vertices.select(F.format_string('<node id="%s" label="%s"><attvalues><attvalue for="0" value="%s"/></attvalues></node>', *[escaped("name")] * 3).alias("value"))
+    edges = network.edges.select(F.format_string('<edge source="%s" target="%s" weight="%s"/>', escaped("src"), escaped("dst"), F.col("weight").cast("string")).alias("value"))
+    head.union(nodes).union(edges).mapInArrow(documents, "value string").write.text(path)
+
+
+def write_tree(tree: DataFrame, path: str) -> None:
+    """Lines of three fields separated by spaces."""
+    tree.select(F.concat_ws(" ", F.col("s").cast("string"), F.col("t").cast("string"), F.col("capacity").cast("string")).alias("value")).write.text(path)
+
+
+def read_flows(spark: SparkSession, path: str) -> DataFrame:
+    """``(u, v, flow)`` from tab-separated lines."""
+    return spark.read.csv(path, sep="\t", schema="u string, v string, flow double")
+
+
+def write_fasta(sequences: DataFrame, path: str, width: int = 60) -> None:
+    """``(id, sequence)`` as header lines and lines of ``width`` letters."""
+    lines = F.regexp_replace("sequence", f"(.{{{width}}})(?=.)", "$1\n")
+    sequences.select(F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), lines).alias("value")).write.text(path)
+
+
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """``(s, t, capacity)`` from lines of three fields separated by spaces."""
     return spark.read.csv(path, sep=" ", schema="s string, t string, capacity double")
