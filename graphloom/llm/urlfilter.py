@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import cut
+from graphloom.durable import cut, discard
 
 #: Fixed rules of the query: host, start of the path, verdict.
 QUERY_RULES = [
@@ -35,7 +35,9 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def rule_table(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
     """``(suffix, start, verdict, rule)`` from (host, path start, verdict)."""
-    return spark.createDataFrame([(h, p, v, h + p) for h, p, v in rules], "suffix string, start string, verdict string, rule string")
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = ", ".join(f"({quoted(h)}, {quoted(p)}, {quoted(v)}, {quoted(h + p)})" for h, p, v in rules)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(suffix, start, verdict, rule)")
 
 
 def _suffixes(host: Column) -> Column:
@@ -53,12 +55,14 @@ def _links(pages: DataFrame) -> DataFrame:
     return linked.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, every: int = 4) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, every: int = 4) -> DataFrame:
     """Personalised PageRank of ``edges (kind, src, dst, weight)`` from ``seeds (kind, host, seed)``, each kind by itself.
 
     ``rank = (1 - damping) * seed + damping * sum over links in``, with seeds of
     a kind scaled to sum 1 and a host's rank split over its links by weight.
-    Lineage is cut after ``every`` rounds. Hosts without rank have no row.
+    Rounds go on until ``every`` of them move less than ``tolerance`` of rank in
+    all; lineage is cut then. The change shrinks by ``damping`` each round, so
+    they end. Hosts without rank have no row.
     """
     total = seeds.groupBy("kind").agg(F.sum("seed").alias("total"))
     start = cut(seeds.join(total, "kind").where("total > 0").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed")))
@@ -68,12 +72,18 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     if shares.isEmpty():
         return rank.withColumn("rank", F.col("rank") * (1 - damping))
     base = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-    for i in range(rounds):
-        sent = shares.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = base.union(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % every == every - 1:
-            rank = cut(rank)
-    return rank
+    held = None
+    while True:
+        before = rank
+        for _ in range(every):
+            sent = shares.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+            rank = base.union(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = cut(rank)
+        moved = rank.join(before.withColumnRenamed("rank", "was"), ["kind", "host"], "full_outer").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+        discard(held)
+        held = rank
+        if (moved or 0.0) < tolerance:
+            return rank
 
 
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, threshold: float = 1.0) -> DataFrame:
@@ -87,6 +97,7 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, th
 
     A null url has empty host and path; a null html has no links. Repeated rows
     are repeated; other columns are ignored; an empty table gives no rows.
+    Pages are read whole, however long.
     """
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html")

@@ -107,7 +107,7 @@ def test_conversations_as_calls(spark):
     assert sorted((r["call_id"], r["level"], r["status"], r["error"]) for r in rows) == [("c0", 0, "linked", None), ("c2", 1, "no result", None)]
 
 
-def rank(edges, seeds, rounds=12, damping=0.85):
+def rank(edges, seeds, rounds=200, damping=0.85):
     total = {a: sum(w for x, _, w in edges if x == a) for a, _, _ in edges}
     start = {h: 1 / len(seeds) for h in seeds}
     now = dict(start)
@@ -125,7 +125,7 @@ def test_rules_and_reputation(spark):
     link = lambda *to: "".join(f'<a href="{x}">' for x in to)
     pages = [
         (1, "http://WWW.a.com/p?q#f", link("//one.net/x", "https://two.net", "/own")), (2, "https://sub.bad.com/x/1", ""), (3, "https://bad.com/X/", None), (4, "http://evil.org/", link("http://one.net/")),
-        (5, "http://one.net/z", link("http://two.net/")), (6, "http://two.net?u", link("http://evil.org/a", "HTTP://evil.org/b")), (7, None, "x"), (8, "no-scheme.com/", ""), (9, "http://three.net", link("http://evil.org")), (10, "http://notbad.com/x/", ""), (None, "http://evil.org/q", ""),
+        (5, "http://one.net/z", link("http://two.net/")), (6, "http://two.net?u", link("http://evil.org/a", "HTTP://evil.org/b")), (7, None, "x"), (8, "no-scheme.com/", ""), (9, "http://three.net", link("http://evil.org")), (10, "http://notbad.com/x/", "z" * 3_000_000), (None, "http://evil.org/q", ""),
     ]
     table = spark.createDataFrame([(*p, "r", "v") for p in pages], "page_id long, url string, html string, rule string, verdict string")
     got = {r["page_id"]: r for r in urlfilter.judge(table, rules).collect()}
@@ -136,11 +136,28 @@ def test_rules_and_reputation(spark):
     distrust = rank([(b, a, w) for a, b, w in edges], ["sub.bad.com", "evil.org"])
     for r in got.values():
         if r["host"]:
-            assert abs(r["host_trust"] - trust.get(r["host"], 0)) < 1e-9 and abs(r["host_distrust"] - distrust.get(r["host"], 0)) < 1e-9
+            assert abs(r["host_trust"] - trust.get(r["host"], 0)) < 1e-5 and abs(r["host_distrust"] - distrust.get(r["host"], 0)) < 1e-5
     assert [got[i]["verdict"] for i in (5, 6, 9)] == ["block" if distrust.get(h, 0) > trust.get(h, 0) else "allow" for h in ("one.net", "two.net", "three.net")]
     assert got[9]["verdict"] == "block" and got[7]["verdict"] == "allow"
 
 
+def test_ranks_of_a_graph_of_thousands_of_links(spark):
+    rng = random.Random(30)
+    edges = sorted({(f"h{int(rng.random() ** 2 * 400)}", f"h{rng.randrange(400)}", float(rng.randrange(1, 4))) for _ in range(4000)})
+    edges = [e for e in {(a, b): (a, b, w) for a, b, w in edges}.values() if e[0] != e[1]]
+    pages = [(i, f"http://h{i}/p", None) for i in range(400)]
+    rules = [(f"h{i}", "/", "allow" if i % 2 else "block") for i in range(0, 400, 13)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["host"]: r for r in urlfilter.judge(table, urlfilter.rule_table(spark, rules), spark.createDataFrame(edges, "src string, dst string, weight double")).collect()}
+    trust = rank(edges, [h for h, _, v in rules if v == "allow"])
+    distrust = rank([(b, a, w) for a, b, w in edges], [h for h, _, v in rules if v == "block"])
+    ruled = {h: v for h, _, v in rules}
+    for h, r in got.items():
+        good, bad = trust.get(h, 0), distrust.get(h, 0)
+        assert abs(r["host_trust"] - good) < 1e-5 and abs(r["host_distrust"] - bad) < 1e-5
+        assert abs(good - bad) < 2e-5 or r["verdict"] == ruled.get(h, "block" if bad > good else "allow")
+
+
 def test_no_pages(spark):
     table = spark.createDataFrame([], "page_id long, url string, html string")
     assert urlfilter.judge(table, urlfilter.rule_table(spark, urlfilter.QUERY_RULES)).collect() == []
