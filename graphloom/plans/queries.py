@@ -176,7 +176,7 @@ def joint_spectra(spark, sf):
 
 @query()
 def network_spectrum(spark, sf):
-    values, vectors, _ = spectral.network_spectrum(fx.left_network(spark, sf), top=3)
+    values, vectors, _ = spectral.network_spectrum(fx.fragments(spark, sf), top=3)
     return vectors.join(F.broadcast(values), "rank")
 
 
