@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,49 +109,61 @@ def rank_blended(pairs: DataFrame, alpha: float) -> DataFrame:
 
 # ---- structural distances ------------------------------------------------
 
-#: Distinct vectors of a block.
-BLOCK = 512
+#: Distinct vectors of a block, at most; of fewer vectors, blocks are smaller, so that all cores have tiles.
+BLOCK, LEAST_BLOCK = 2048, 128
 
 
-def _distinct(vectors: DataFrame, block: int, side: str) -> tuple[DataFrame, DataFrame, int]:
+def _distinct(vectors: DataFrame, block: int | None, side: str) -> tuple[DataFrame, DataFrame, int]:
     """Distinct vectors with a number and block, names by number, and how many blocks."""
     rows = vectors.select("name", "levels", F.xxhash64("levels").alias("a"), F.hash("levels").alias("b"))
     named = rows.select(F.col("name").alias(side), F.struct("a", "b").alias(f"{side}_id"))
     distinct = cut(rows.groupBy("a", "b").agg(F.first("levels").alias("levels")))
-    blocks = max(1, math.ceil(distinct.count() / block))
+    n = distinct.count()
+    if block is None:
+        a_side = math.isqrt(2 * vectors.sparkSession.sparkContext.defaultParallelism) + 1
+        block = min(BLOCK, max(LEAST_BLOCK, math.ceil(n / a_side)))
+    blocks = max(1, math.ceil(n / block))
     return distinct.select("a", "b", "levels", F.pmod("a", F.lit(blocks)).cast("int").alias("block")), named, blocks
 
 
+_FOUND = pa.schema([("la", pa.int64()), ("lb", pa.int32()), ("ra", pa.int64()), ("rb", pa.int32()), ("d_struct", pa.float64())])
+
+
+def _stack(levels: pa.ChunkedArray) -> np.ndarray:
+    """Vectors, levels, bins."""
+    inner = levels.combine_chunks().flatten()
+    return inner.flatten().to_numpy(zero_copy_only=False).reshape(len(levels), len(inner) // len(levels), -1)
+
+
 def _distances(k: int | None):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"la": [], "lb": [], "ra": [], "rb": [], "d_struct": []})
-        stack = lambda frame: np.array([np.stack([np.asarray(level, float) for level in v]) for v in frame["levels"]])
-        one, two = stack(left), stack(right)
-        d = np.mean([kernels.js_block(one[:, i], two[:, i]) for i in range(one.shape[1])], axis=0)
-        if k is not None and d.shape[1] > k:
-            bound = np.partition(d, k - 1, axis=1)[:, k - 1]  # ties of the k-th stay, as names decide among them
-            i, j = np.nonzero(d <= bound[:, None])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return _FOUND.empty_table()
+        one, two = _stack(left["levels"]), _stack(right["levels"])
+        if k is not None and len(two) > k:  # ties of the k-th stay, as names decide among them
+            i, j, d = kernels.js_nearest(one, two, k)
         else:
-            i, j = (x.ravel() for x in np.indices(d.shape))
-        return pd.DataFrame({"la": left["a"].to_numpy()[i], "lb": left["b"].to_numpy()[i], "ra": right["a"].to_numpy()[j], "rb": right["b"].to_numpy()[j], "d_struct": d[i, j]})
+            (i, j), d = (x.ravel() for x in np.indices((len(one), len(two)))), kernels.js_all(one, two).ravel()
+        ids = [side[c].take(pa.array(at)) for side, at in ((left, i), (right, j)) for c in "ab"]
+        return pa.table([*ids, pa.array(d)], schema=_FOUND)
 
     return run
 
 
-def structural_distances(left: DataFrame, right: DataFrame, k: int | None = None, block: int = BLOCK) -> DataFrame:
+def structural_distances(left: DataFrame, right: DataFrame, k: int | None = None, block: int | None = None) -> DataFrame:
     """``(left, right, d_struct)`` of every pair of vertices of ``(name, levels)``: mean Jensen-Shannon distance of their density vectors.
 
     Vertices with equal vectors share one computation: distinct vectors are
     dealt into blocks, each pair of blocks is one task of array operations, and
     names are joined back. With ``k`` only pairs that can be among the k
-    nearest of a left vertex leave a block.
+    nearest of a left vertex leave a block, and bounds spare most of the rest
+    the computation.
     """
     one, left_names, n = _distinct(left, block, "left")
     two, right_names, m = _distinct(right, block, "right")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     tiles = one.withColumnRenamed("block", "row").withColumn("col", every(m)).groupBy("row", "col").cogroup(two.withColumnRenamed("block", "col").withColumn("row", every(n)).groupBy("row", "col"))
-    found = tiles.applyInPandas(_distances(k), "la long, lb int, ra long, rb int, d_struct double")
+    found = tiles.applyInArrow(_distances(k), "la long, lb int, ra long, rb int, d_struct double")
     found = found.select(F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("left_id"), F.struct(F.col("ra").alias("a"), F.col("rb").alias("b")).alias("right_id"), "d_struct")
     out = found.join(left_names, "left_id").join(right_names, "right_id").select("left", "right", "d_struct")
     if k is not None:

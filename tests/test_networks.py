@@ -184,6 +184,20 @@ def test_structural_distances_match_pairs(spark):
         assert np.allclose(own, sorted(d for (l, _), d in want.items() if l == x)[:3], atol=1e-7)
 
 
+@pytest.mark.parametrize("k", [1, 5])
+def test_bounded_nearest_equal_all_pairs(k):
+    rng = np.random.default_rng(1)
+    spectra = [np.round(rng.uniform(0, 2, rng.integers(1, 9)), 2) for _ in range(300)]
+    v = np.stack([kernels.density_vectors(spectra), kernels.density_vectors(spectra[::-1])], axis=1)
+    a, b = v[:120], np.concatenate([v[100:], v[100:120]])  # some equal, some twice
+    d = kernels.js_all(a, b)
+    i, j, found = kernels.js_nearest(a, b, k)
+    want = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    got = np.zeros_like(want)
+    got[i, j] = True
+    assert (got == want).all() and np.allclose(d[i, j], found, atol=1e-9)
+
+
 @pytest.mark.parametrize("seeds", [1, None])
 def test_alignment_covers_and_keeps_beta(spark, seeds):
     left, right = random_networks(spark, n=14, m=24)
