@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from graphloom.durable import Scratch, cut, discard
 from graphloom.llm import words as w
+from graphloom.llm.crowds import crowded, meet
 from graphloom.operators.components import joined_components
 
 BANDS, ROWS = 32, 5
@@ -135,10 +136,11 @@ def _sets(width: int):
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those ``pairs (a, b)`` whose full sets ``(doc_id, shingles)`` are similar enough."""
+    """Those ``pairs (a, b)`` whose full sets ``(doc_id, shingles)`` are similar enough; a star's centre meets its members in many tasks."""
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    held = pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("n"), (F.size("set_a") + F.size("set_b")).alias("both"))
+    crowds = {k: crowded(pairs, k) for k in "ab"}
+    held = meet(meet(pairs, right, "b", "a", crowds["b"]), left, "a", "b", crowds["a"]).select("a", "b", shared.alias("n"), (F.size("set_a") + F.size("set_b")).alias("both"))
     return held.where(F.lit(100 + percent) * F.col("n") >= F.lit(percent) * F.col("both")).select("a", "b").distinct()
 
 

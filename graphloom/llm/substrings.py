@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from graphloom.durable import cut, discard
 from graphloom.llm import words as w
+from graphloom.llm.crowds import crowded, meet
 
 #: Words under the gear hash, a power of two.
 GRAM = 16
@@ -188,7 +189,9 @@ def repeated_passages(documents: DataFrame, min_words: int = 50) -> DataFrame:
     discard(rows, found, windows)
     ids = anchors.select("doc_id").union(anchors.select("src")).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = anchors.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("source")), "src")
+    # a text that thousands of others take from, or that takes from thousands, meets them in many tasks
+    mine = meet(anchors, texts, "doc_id", "src", crowded(anchors, "doc_id"))
+    both = meet(mine, texts.select(F.col("doc_id").alias("src"), F.col("text").alias("source")), "src", "doc_id", crowded(anchors, "src"))
     return both.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_extend(min_words), "doc_id long, word long, n_words long, start long, stop long, source_doc_id long, source_word long, text_hash long").distinct()
 
 
