@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, langid, licences, neardup, neighbours, packing, pieces, quality, substrings, urlfilter
+from graphloom.llm import chat, langid, licences, neardup, neighbours, packing, pieces, prefixes, quality, substrings, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, members = prefixes.rebuilt(prefixes.turn_tokens(_table(spark, sf_dir, "conversations")))
+    return prefixes.prefix_trie(tokens, members).drop("key")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +85,7 @@ QUERIES = {
         op8_chunk_table_pieces,
         op9_gear_substrings,
         op10_minhash_neardup,
+        op12_prefix_trie,
         pipeline,
     )
 }
