@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, langid, licences, neardup, neighbours, packing, pieces, prefixes, quality, substrings, urlfilter
+from graphloom.llm import chat, fingerprints, langid, licences, neardup, neighbours, packing, pieces, prefixes, quality, repair, substrings, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,20 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair.audits(repair.damaged(conversations), conversations)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens, members = prefixes.rebuilt(prefixes.turn_tokens(_table(spark, sf_dir, "conversations")))
     return prefixes.prefix_trie(tokens, members).drop("key")
 
 
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +94,9 @@ QUERIES = {
         op8_chunk_table_pieces,
         op9_gear_substrings,
         op10_minhash_neardup,
+        op11_grammar_repair,
         op12_prefix_trie,
+        op13_order_minhash,
         pipeline,
     )
 }
