@@ -25,6 +25,19 @@ def both_ways(edges: DataFrame, *columns: str) -> DataFrame:
     return edges.select("src", "dst", *columns).union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *columns))
 
 
+def toward_hubs(edges: DataFrame) -> DataFrame:
+    """``edges`` of a graph without loops or parallels with src as the end of lower degree (of equals, the smaller name).
+
+    So no vertex is the source of more than sqrt(2 * edges) edges, and joins
+    that close on a further vertex don't multiply at a hub.
+    """
+    degree = both_ways(edges).groupBy(F.col("src").alias("name")).agg(F.count("*").alias("degree"))
+    of = lambda end: degree.select(F.col("name").alias(end), F.col("degree").alias(f"_{end}"))
+    placed = edges.join(of("src"), "src").join(of("dst"), "dst").withColumn("_turn", F.struct("_dst", "dst") < F.struct("_src", "src"))
+    ends = [F.when(F.col("_turn"), F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("src", "dst"), ("dst", "src"))]
+    return placed.select(*ends, *(c for c in edges.columns if c not in ("src", "dst")))
+
+
 @dataclass
 class Network:
     """A network that may hold loops and parallel edges until ``simple`` is called."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.durable import Scratch, cut, discard
-from graphloom.network import Network, both_ways
+from graphloom.network import Network, both_ways, toward_hubs
 from graphloom.operators.components import connected_components
 
 # ---- degrees -------------------------------------------------------------
@@ -42,8 +42,8 @@ def neighbours(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return (pairs if of is None else pairs.join(of.select("name"), "name", "left_semi")).distinct()
 
 
-def rings(network: Network, k: int, weighted: bool = False) -> DataFrame:
-    """``(center, level, vertex)``: vertices at shortest-path distance at most k, by the floor of the distance.
+def rings(network: Network, k: int, weighted: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """``(center, level, vertex)``: vertices at shortest-path distance at most k, by the floor of the distance; of all centres, or of ``of (name)``.
 
     Unweighted, a round of joins adds a level. Weighted, distances are relaxed
     until none within k falls any more. Level 0 besides the centre is left
@@ -52,14 +52,16 @@ def rings(network: Network, k: int, weighted: bool = False) -> DataFrame:
     steps = both_ways(network.edges.where("src <> dst"), "weight")
     if not weighted:
         pairs = cut(steps.select("src", "dst").distinct())
-        found = last = pairs.select(F.col("src").alias("center"), F.lit(1).alias("level"), F.col("dst").alias("vertex"))
+        begin = pairs if of is None else pairs.join(of.select(F.col("name").alias("src")), "src", "left_semi")
+        found = last = begin.select(F.col("src").alias("center"), F.lit(1).alias("level"), F.col("dst").alias("vertex"))
         for level in range(2, k + 1):
             reach = last.join(pairs.withColumnRenamed("src", "vertex"), "vertex").where("dst <> center").select("center", F.col("dst").alias("vertex")).distinct()
             last = cut(reach.join(found, ["center", "vertex"], "left_anti").select("center", F.lit(level).alias("level"), "vertex"))
             found = found.union(last)
         return found
     steps = cut(steps.groupBy("src", "dst").agg(F.min("weight").alias("weight")).where(F.col("weight") <= k))
-    near = cut(steps.select(F.col("src").alias("center"), F.col("dst").alias("vertex"), F.col("weight").alias("dist")))
+    begin = steps if of is None else steps.join(of.select(F.col("name").alias("src")), "src", "left_semi")
+    near = cut(begin.select(F.col("src").alias("center"), F.col("dst").alias("vertex"), F.col("weight").alias("dist")))
     while True:
         onward = near.join(steps.withColumnRenamed("src", "vertex"), "vertex").select("center", F.col("dst").alias("vertex"), (F.col("dist") + F.col("weight")).alias("dist"))
         both = near.union(onward.where((F.col("dist") <= k) & (F.col("center") != F.col("vertex")))).groupBy("center", "vertex").agg(F.min("dist").alias("dist"))
@@ -80,13 +82,17 @@ def balls(vertices: DataFrame, ring: DataFrame, k: int) -> DataFrame:
 
 
 def ball_edges(network: Network, vertices: DataFrame, ring: DataFrame, k: int) -> DataFrame:
-    """``(center, level, src, dst, weight, seq_weight)``: edges inside each ball, given with the first level that holds both ends."""
+    """``(center, level, src, dst, weight, seq_weight)``: edges inside each ball, given with the first level that holds both ends.
+
+    Edges are followed from their ends of lower degree, so a hub in many balls
+    doesn't bring all its edges to each of them.
+    """
     entry = vertices.select(F.col("name").alias("center"), F.lit(0).alias("level"), F.col("name").alias("vertex")).union(ring.where(F.col("level") <= k))
-    edges = network.edges.where("src <> dst")
+    edges = toward_hubs(network.edges.where("src <> dst"))
     one = entry.select("center", F.col("level").alias("a"), F.col("vertex").alias("src"))
     two = entry.select("center", F.col("level").alias("b"), F.col("vertex").alias("dst"))
     inside = one.join(edges, "src").join(two, ["center", "dst"])
-    return inside.select("center", F.greatest("a", "b", F.lit(1)).alias("level"), "src", "dst", "weight", "seq_weight")
+    return inside.select("center", F.greatest("a", "b", F.lit(1)).alias("level"), F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight", "seq_weight")
 
 
 def ball_density(network: Network, ring: DataFrame, k: int) -> DataFrame:

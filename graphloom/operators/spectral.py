@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,10 @@ from graphloom.functions.distances import histogram, scaled_to_sum
 from graphloom.network import Network, both_ways
 from graphloom.operators import graph
 
-#: Bytes of matrices or vectors that a task holds at a time, and edges a vertex in the largest ball that is gathered.
-STACK_BYTES, MEAN_DEGREE = 32 << 20, 100
+#: Bytes of matrices or vectors that a task holds at a time; edges of balls that are solved together, but for one larger ball; vertices of balls that are dense matrices at once.
+STACK_BYTES, SLICE_EDGES, SMALL = 32 << 20, 200_000, 96
+#: What tells a ball from others: vertices, and two hashes of them.
+_BALL = ("n", "a", "b")
 
 
 def laplacian(network: Network) -> DataFrame:
@@ -68,101 +71,189 @@ def _weights(codes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) ->
     return m
 
 
-def _spectra(k: int):
-    """Rows of a centre, its ball's vertices and levels and edges inside: as lists of numbers, without an object for each vertex."""
-
-    def one_slice(part: pa.RecordBatch) -> pa.RecordBatch:
-        members, at = _flat(part.column("vertices"))
-        ends, to = _flat(part.column("src"))
-        n, m, e = len(part), len(members), len(ends)
-        names = pa.concat_arrays([part.column("center"), members, ends, part.column("dst").flatten()]).dictionary_encode()
-        by_name = pc.sort_indices(names.dictionary).to_numpy()
-        place = np.empty(len(by_name), np.int64)
-        place[by_name] = np.arange(len(by_name))
-        code = place[_numbers(names.indices)]
-        sorted_names = names.dictionary.take(pa.array(by_name))
-        center, member, src, dst = code[:n], code[n : n + m], code[n + m : n + m + e], code[n + m + e :]
-        level, weight = _numbers(part.column("levels").flatten()), _numbers(part.column("weights").flatten())
-        most, counts = _numbers(part.column("most")), _numbers(part.column("counts").flatten()).reshape(n, 2 * k)
-        rings, graphs, rows = [], [], []  # rows: centre, level, graph, density
-        for i in range(n):
-            own = np.lexsort((member[at[i] : at[i + 1]], level[at[i] : at[i + 1]])) + at[i]
-            codes, edges = np.concatenate([center[i : i + 1], member[own]]), slice(to[i], to[i + 1])
-            whole = _weights(codes, src[edges], dst[edges], weight[edges])
-            sizes = 1 + np.searchsorted(level[own], np.arange(k + 1), "right")  # of the ball at each level
-            graph_of = -1
-            for x in range(1, k + 1):
-                vertices, edges_in = counts[i, x - 1], counts[i, k + x - 1]
-                density = vertices / edges_in if edges_in else np.inf
-                if x > most[i]:
-                    rows.append((i, x, -1, density))
-                    continue
-                size = sizes[x]
-                if graph_of < 0 or size > sizes[x - 1]:
-                    graph_of = len(graphs)
-                    rings.append(codes[sizes[x - 1] : size])
-                    graphs.append(whole[:size, :size])  # every edge among these vertices is within the level
-                rows.append((i, x, graph_of, density))
-        spectra = _eigenvalues(graphs)
-        which = [r[2] for r in rows]
-        lists = lambda values, kind: pa.array([None if g < 0 else values[g] for g in which], pa.list_(kind))
-        ring = lists(rings, pa.int64())
-        ring = pa.ListArray.from_arrays(ring.offsets, sorted_names.take(ring.flatten()), mask=ring.is_null())
-        columns = [part.column("center").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), ring, lists(spectra, pa.float64()), pa.array([r[3] for r in rows], pa.float64())]
-        return pa.RecordBatch.from_arrays(columns, ["name", "level", "ring", "spectrum", "density"])
+def sparse_spectrum(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Ascending eigenvalues of the normalised Laplacian of a connected graph of vertices 0 to n - 1 and weighted edges, each given once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = (1 + _numbers(pc.list_value_length(batch.column("vertices")))).astype(np.int64) ** 2
-            ends, begin = np.cumsum(8 * k * sizes), 0
-            while begin < len(batch):  # few enough balls for their matrices to fit
-                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STACK_BYTES, "right")))
-                yield one_slice(batch.slice(begin, end - begin))
-                begin = end
+    Vertices whose weights to others are in proportion (so not adjacent) share
+    all but one of their dimensions with nobody: of m such, m - 1 eigenvalues
+    are 1, and the rest are those of the graph in which the m are one vertex
+    with the sum of their weights. That is done until no two are left, as a
+    merger can make others alike; only what is left is a dense matrix, so a
+    hub's leaves, or equal branches, cost as much as one of them.
+    """
+    a, b, v = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w]).astype(float)
+    ones = 0
+    while True:
+        place, at = np.unique(a * n + b, return_inverse=True)
+        v = np.bincount(at, v)
+        a, b = place // n, place % n
+        d = np.bincount(a, v, n)
+        share = np.round(v / d[a], 12) + 0.0
+        own = _mixed(b.astype(np.uint64) + _mixed(share.view(np.uint64)))
+        begins = np.searchsorted(a, np.arange(n))
+        prints = np.stack([np.add.reduceat(own, begins), np.add.reduceat(_mixed(own), begins)], axis=1)  # of a row's entries, in any order
+        kinds, part = np.unique(prints, axis=0, return_inverse=True)
+        if len(kinds) == n:
+            break
+        part = part.ravel()
+        ones += n - len(kinds)
+        a, b, n = part[a], part[b], len(kinds)
+    m = np.zeros((n, n))
+    m[a, b] = -v / np.sqrt(d[a] * d[b])
+    m[np.arange(n), np.arange(n)] = 1.0
+    return np.sort(np.concatenate([np.maximum(np.linalg.eigvalsh(m), 0), np.ones(ones)]))
 
-    return run
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def ball_spectra(sizes: np.ndarray, ball: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """Eigenvalues of each ball, of given numbers of vertices, from edges in order of their ball; vertices without an edge give 1.
+
+    Small balls of one size are solved together, large ones each by itself.
+    """
+    n, count = len(sizes), len(ball)
+    codes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    known, place = np.unique(np.concatenate([ball, ball]) * max(1, len(codes)) + at, return_inverse=True)
+    begins = np.searchsorted(known, np.arange(n + 1) * max(1, len(codes)))
+    place -= begins[np.concatenate([ball, ball])]
+    i, j = place[:count], place[count:]
+    held, ends = np.diff(begins), np.searchsorted(ball, np.arange(n + 1))
+    out: list[np.ndarray] = [np.ones(s) for s in sizes]
+    for m in np.unique(held[held > 0]):
+        which = np.flatnonzero(held == m)
+        step = max(1, STACK_BYTES // (8 * m * m)) if m <= SMALL else 1
+        for some in (which[x : x + step] for x in range(0, len(which), step)):
+            if m > SMALL:
+                own = slice(ends[some[0]], ends[some[0] + 1])
+                values = [sparse_spectrum(i[own], j[own], w[own], int(m))]
+            else:
+                edge = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in some])
+                nth = np.repeat(np.arange(len(some)), ends[some + 1] - ends[some])
+                full = np.zeros((len(some), m, m))
+                np.add.at(full, (nth, i[edge], j[edge]), w[edge])
+                values = _eigenvalues(list(full + full.transpose(0, 2, 1)))
+            for x, found in zip(some, values, strict=True):
+                lone = int(sizes[x]) - int(m)
+                out[x] = np.sort(np.concatenate([found, np.ones(lone)])) if lone else found
+    return out
+
+
+def _solve_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        edges = pc.list_value_length(batch.column("src")).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, begin = np.cumsum(edges), 0
+        while begin < len(batch):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SLICE_EDGES, "right")))
+            part = batch.slice(begin, end - begin)
+            src, dst = part.column("src").flatten(), part.column("dst").flatten()
+            codes = _numbers(pa.concat_arrays([src, dst]).dictionary_encode().indices).astype(np.int64)
+            own, sizes = edges[begin:end], _numbers(part.column("n")).astype(np.int64)
+            spectra = ball_spectra(sizes, np.repeat(np.arange(len(own)), own), codes[: len(src)], codes[len(src) :], _numbers(part.column("weights").flatten()))
+            density = np.divide(sizes, own, out=np.full(len(own), np.inf), where=own > 0)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _BALL), pa.array(spectra, pa.list_(pa.float64())), pa.array(density)], [*_BALL, "spectrum", "density"])
+            begin = end
+
+
+def twins(network: Network) -> DataFrame:
+    """``(name, twin)`` of a network without loops or parallels: the least vertex with the same neighbours along the same weights.
+
+    Exchanging two such vertices changes nothing, so their balls have equal
+    spectra. Neighbourhoods are compared by their size and 128 bits of hash,
+    which add up before the shuffle; isolated vertices are twins of none.
+    """
+    steps = both_ways(network.edges.where("src <> dst"), "weight")
+    marks = [F.bit_xor(F.xxhash64("dst", "weight", F.lit(salt))).alias(c) for c, salt in (("a", 0), ("b", 1))]
+    own = steps.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("n"), *marks)
+    first = own.groupBy("n", "a", "b").agg(F.min("name").alias("twin"))
+    found = own.join(first, ["n", "a", "b"]).select("name", "twin")
+    return network.vertices.select("name").join(found, "name", "left").select("name", F.coalesce("twin", "name").alias("twin"))
+
+
+@dataclass
+class Balls:
+    """Balls of a network, each solved once however many centres share it.
+
+    ``ball (name, twin, level, n, a, b)`` has a row for each vertex and level:
+    vertices of the ball, and 128 bits of hash of them. ``solved (n, a, b,
+    spectrum, density)`` has the distinct ones. ``ring (center, level,
+    vertex)`` has the rings of one of each class of ``twin`` s.
+    """
+
+    ball: DataFrame
+    solved: DataFrame
+    ring: DataFrame
 
-def signatures(network: Network, k: int = 4, weighted: bool = False, max_ball: int = 3000) -> DataFrame:
-    """``(name, level, ring, spectrum, density)`` of every vertex and level 1..k.
 
-    Where a ball does not grow, the level repeats the one before. Rings and
-    edges inside balls are joined for all centres at once; a centre's own ball
-    then is one row, whose eigenvalues a task computes.
+def solved_balls(network: Network, k: int, weighted: bool = False) -> Balls:
+    """The balls of levels 1..k around every vertex.
 
-    Sizes are counted before anything is gathered. A ball of more than
-    ``max_ball`` vertices, or ``MEAN_DEGREE`` times as many edges, is not
-    gathered, as a dense solution is cubic: the levels from there on have
-    their density, and a null ring and spectrum. ``too_large`` lists them.
+    Only one of each class of twins gets rings. Balls are told apart by their
+    vertices, counted and hashed per centre and level before any edge is
+    joined; edges are joined for the first centre of each distinct ball. A task
+    holds the edges of a ball, and of a ball of over ``SMALL`` vertices a dense
+    matrix of what ``sparse_spectrum`` leaves of it: 8 bytes times its square.
+    No ball is too large to be tried.
     """
     net = network.simple()
     net = Network(cut(net.vertices), cut(net.edges))
-    name_type = dict(net.vertices.dtypes)["name"]
-    ring = cut(graph.rings(net, k, weighted))
-    inside = cut(graph.ball_edges(net, net.vertices, ring, k))
-    upto = lambda rows, out: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda x: F.aggregate(rows, F.lit(0).cast("long"), lambda s, r: s + F.when(r["level"] <= x, r["n"]).otherwise(0))).alias(out)
-    counted = lambda rows: rows.groupBy("center", "level").agg(F.count("*").alias("n")).groupBy("center").agg(F.collect_list(F.struct("level", "n")).alias("rows"))  # noqa: E731  a number for each level
-    sizes = net.vertices.select(F.col("name").alias("center")).join(counted(ring).withColumnRenamed("rows", "v"), "center", "left").join(counted(inside).withColumnRenamed("rows", "e"), "center", "left")
-    none = F.array().cast("array<struct<level: int, n: bigint>>")
-    sizes = sizes.select("center", upto(F.coalesce("v", none), "v"), upto(F.coalesce("e", none), "e"))
-    fits = F.size(F.filter(F.arrays_zip(F.transform("v", lambda x: x + 1).alias("v"), F.col("e").alias("e")), lambda x: (x["v"] <= max_ball) & (x["e"] <= max_ball * MEAN_DEGREE)))
-    sizes = cut(sizes.select("center", fits.alias("most"), F.concat(F.transform("v", lambda x: x + 1), "e").alias("counts")))
-    held = lambda rows: rows.join(sizes.select("center", "most"), "center").where("level <= most")
-    vertices = held(ring).groupBy("center").agg(F.collect_list("vertex").alias("vertices"), F.collect_list("level").alias("levels"))  # a ball within the bound
-    links = held(inside).groupBy("center").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"), F.collect_list("weight").alias("weights"))
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
-    rows = sizes.join(vertices, "center", "left").join(links, "center", "left")
-    rows = rows.select("center", "most", F.transform("counts", lambda x: x.cast("double")).alias("counts"), empty("vertices", name_type), empty("levels", "int"), empty("src", name_type), empty("dst", name_type), empty("weights", "double"))
-    return rows.mapInArrow(_spectra(k), f"name {name_type}, level int, ring array<{name_type}>, spectrum array<double>, density double")
-
-
-def too_large(signature: DataFrame) -> DataFrame:
-    """``(name, level)`` of the balls whose spectrum was not computed."""
-    return signature.where("spectrum IS NULL").select("name", "level")
+    twin = cut(twins(net))
+    firsts = twin.where("name = twin").select("name")
+    ring = cut(graph.rings(net, k, weighted, of=firsts))
+    mark = lambda c, salt: F.xxhash64(c, F.lit(salt))
+    sizes = ring.groupBy("center", "level").agg(F.count("*").alias("v"), F.bit_xor(mark("vertex", 0)).alias("x"), F.bit_xor(mark("vertex", 1)).alias("y"))
+    grid = firsts.select(F.col("name").alias("center"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("level")).join(sizes, ["center", "level"], "left")
+    upto = Window.partitionBy("center").orderBy("level")  # a row for each level
+    grown = lambda c, salt: F.coalesce(F.bit_xor(c).over(upto), F.lit(0).cast("long")).bitwiseXOR(mark("center", salt))
+    grid = cut(grid.select("center", "level", (1 + F.coalesce(F.sum("v").over(upto), F.lit(0))).alias("n"), grown("x", 0).alias("a"), grown("y", 1).alias("b")))
+    owner = cut(grid.groupBy(*_BALL).agg(F.min(F.struct("center", "level")).alias("o")).select(*_BALL, "o.*"))
+    owners = owner.select("center").distinct()
+    inside = graph.ball_edges(net, owners.withColumnRenamed("center", "name"), ring.join(owners, "center", "left_semi"), k)
+    lists = [F.collect_list(c).alias(o) for c, o in (("src", "src"), ("dst", "dst"), ("weight", "weights"))]
+    held = inside.withColumnRenamed("level", "first").join(owner.select("center", "level"), "center").where("first <= level").groupBy("center", "level").agg(*lists)
+    kind = dict(net.vertices.dtypes)["name"]
+    filled = [F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c) for c, t in (("src", kind), ("dst", kind), ("weights", "double"))]
+    rows = owner.join(held, ["center", "level"], "left").select(*_BALL, *filled)
+    solved = cut(rows.mapInArrow(_solve_balls, "n long, a long, b long, spectrum array<double>, density double"))
+    return Balls(twin.join(grid.withColumnRenamed("center", "twin"), "twin").select("name", "twin", "level", *_BALL), solved, ring)
 
 
-def density_vectors(signature: DataFrame, gamma: float = 0.005) -> DataFrame:
-    """``(name, levels)``: a density vector per level of every vertex; vertices with a ball that is too large have none."""
+def signatures(network: Network, k: int = 4, weighted: bool = False) -> DataFrame:
+    """``(name, level, ring, spectrum, density)`` of every vertex and level 1..k, of balls of any size; see ``solved_balls``.
+
+    Where a ball does not grow, the level repeats the one before. A row holds
+    its ring and spectrum, so rows of a large ball are large; where only
+    spectra as distributions are wanted, ``vectors`` makes one of each ball.
+    """
+    with Scratch() as s:
+        found = solved_balls(network, k, weighted)
+        ball = s.keep(cut(found.ball))
+        s.keep(found.solved)
+        lists = found.ring.groupBy("center", "level").agg(F.sort_array(F.collect_list("vertex")).alias("own"))
+        rings = s.keep(cut(lists.withColumnRenamed("center", "twin")))
+    upto = Window.partitionBy("name").orderBy("level")
+    ring = F.coalesce(F.last("own", ignorenulls=True).over(upto), F.array().cast(dict(lists.dtypes)["own"]))
+    ring = F.when(F.col("name") == F.col("twin"), ring).otherwise(F.sort_array(F.transform(ring, lambda x: F.when(x == F.col("name"), F.col("twin")).otherwise(x))))
+    rows = ball.join(rings, ["twin", "level"], "left").select("name", "level", *_BALL, ring.alias("ring"))
+    return rows.join(found.solved, list(_BALL)).select("name", "level", "ring", "spectrum", "density")
+
+
+def vectors(network: Network, k: int = 4, weighted: bool = False, gamma: float = 0.005) -> DataFrame:
+    """``(name, levels)``: what ``density_vectors`` makes of ``signatures``, with the density of each distinct ball computed once."""
+    with Scratch() as s:
+        found = solved_balls(network, k, weighted)
+        spectra = found.solved.select(F.struct(*_BALL).alias("name"), F.array("spectrum").alias("spectra"))
+        made = spectra.mapInArrow(_densities(gamma), "name struct<n: bigint, a: bigint, b: bigint>, levels array<array<double>>").select("name.*", F.get("levels", F.lit(0)).alias("v"))
+        rows = found.ball.select("name", "level", *_BALL).join(made, list(_BALL))
+        rows = rows.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("level", "v"))).alias("rows"))  # k of them
+        return s.keep(cut(rows.select("name", F.transform("rows", lambda x: x["v"]).alias("levels"))))
+
+
+def _densities(gamma: float):
+    """Rows of a name and spectra: a density vector for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +266,14 @@ def density_vectors(signature: DataFrame, gamma: float = 0.005) -> DataFrame:
                 inner = pa.ListArray.from_arrays(pa.array((np.arange(len(made) + 1) * made.shape[1]).astype(np.int32)), pa.array(made.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("name").slice(i, to - i), pa.ListArray.from_arrays(pa.array((at[i : to + 1] - at[i]).astype(np.int32)), inner)], ["name", "levels"])
 
+    return run
+
+
+def density_vectors(signature: DataFrame, gamma: float = 0.005) -> DataFrame:
+    """``(name, levels)``: a density vector per level of every vertex; vertices with a level without spectrum have none."""
     levels = signature.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("level", "spectrum"))).alias("rows"))
     levels = levels.where(F.forall("rows", lambda x: x["spectrum"].isNotNull())).select("name", F.transform("rows", lambda x: x["spectrum"]).alias("spectra"))
-    return levels.mapInArrow(run, f"name {dict(signature.dtypes)['name']}, levels array<array<double>>")
+    return levels.mapInArrow(_densities(gamma), f"name {dict(signature.dtypes)['name']}, levels array<array<double>>")
 
 
 def average_density(signature: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def spectra(spark, sf):
 
 @query()
 def density_vectors(spark, sf):
-    return spectral.density_vectors(spectral.signatures(fx.left_network(spark, sf), 2))
+    return spectral.vectors(fx.left_network(spark, sf), 2)
 
 
 @query()
@@ -385,7 +385,7 @@ def rank_blend(spark, sf):
 
 
 def _structural(spark, sf, left: Network, right: Network, k: int | None = None) -> DataFrame:
-    vectors = [spectral.density_vectors(spectral.signatures(net, 2)) for net in (left, right)]
+    vectors = [spectral.vectors(net, 2) for net in (left, right)]
     return pairing.structural_distances(*vectors, k=k)
 
 
@@ -414,7 +414,7 @@ def lap_match(spark, sf):
 @query()
 def spectral_match(spark, sf):
     left, right = fx.left_network(spark, sf), fx.right_network(spark, sf)
-    a, b = (cut(spectral.density_vectors(spectral.signatures(net, 1))) for net in (left, right))
+    a, b = (spectral.vectors(net, 1) for net in (left, right))
     near = pairing.structural_distances(a, b, k=2).select("left", "right", F.col("d_struct").alias("d"))
     own = fx.truth(spark, sf).withColumn("d", F.lit(0.0))
     return matching.quadratic(near.union(own), left.simple().edges, right.simple().edges, a, b)

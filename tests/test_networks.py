@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from graphloom.functions import distances as fn
 from graphloom.functions import kernels
@@ -70,14 +71,82 @@ def test_signatures_against_dense_matrices(spark):
     assert all(texts[f"p{r['name']:02}", r["level"]]["ring"] == [f"p{v:02}" for v in r["ring"]] for r in rows)
 
 
-def test_balls_too_large_have_no_spectrum(spark):
-    star = [(0, i) for i in range(1, 9)] + [(8, 20), (20, 21)]
-    signature = spectral.signatures(net(spark, star), 2, max_ball=5)
-    found = {(r["name"], r["level"]): r for r in signature.collect()}
-    assert found[0, 1]["spectrum"] is None and found[0, 1]["ring"] is None and found[0, 1]["density"] == 9 / 8
-    assert found[1, 1]["spectrum"] is not None and found[1, 2]["spectrum"] is None
-    assert {(r["name"], r["level"]) for r in spectral.too_large(signature).collect()} == {(0, 1), (0, 2), *((i, 2) for i in range(1, 9))}
-    assert {r["name"] for r in spectral.density_vectors(signature).collect()} == {20, 21}
+def dense_spectrum(edges, weights=None):
+    names = sorted({v for e in edges for v in e})
+    at = {v: i for i, v in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for (a, b), w in zip(edges, weights or [1.0] * len(edges), strict=True):
+        m[at[a], at[b]] = m[at[b], at[a]] = w
+    scale = 1 / np.sqrt(m.sum(axis=1))
+    return np.linalg.eigvalsh(np.eye(len(names)) - scale[:, None] * m * scale)
+
+
+def hub_graph(rng, n, hubs):
+    """Three hubs with leaves of their own and shared, leaves behind leaves, a core, equal branches; weights for some."""
+    edges = {(h, hubs + i) for h in range(hubs) for i in range(n) if rng.random() < 0.4} | {(0, h) for h in range(1, hubs)} | {(0, hubs + i) for i in range(n)}
+    edges |= {(hubs + i, 10_000 + i) for i in range(0, n, 3)} | {(10_000 + i, 20_000 + i) for i in range(0, n, 6)}
+    edges |= {tuple(sorted(rng.sample(range(hubs, hubs + n // 2), 2))) for _ in range(n)}
+    return sorted(edges)
+
+
+def test_sparse_spectra_of_graphs_with_hubs():
+    rng = random.Random(8)
+    for n in (40, 300):
+        for weighted in (False, True):
+            edges = hub_graph(rng, n, 3)
+            w = [rng.choice([0.5, 1.0, 2.0]) if weighted else 1.0 for _ in edges]
+            names = sorted({v for e in edges for v in e})
+            i, j = (np.searchsorted(names, [e[k] for e in edges]) for k in (0, 1))
+            assert np.allclose(spectral.sparse_spectrum(i, j, np.array(w), len(names)), dense_spectrum(edges, w), atol=1e-9)
+    leaves = np.arange(1, 50_001)
+    values = spectral.sparse_spectrum(np.zeros(50_000, int), leaves, np.linspace(1, 2, 50_000), 50_001)
+    assert np.allclose(values[[0, -1]], [0, 2]) and (values[1:-1] == 1).all()
+
+
+def test_balls_with_hubs_have_exact_spectra(spark):
+    """No ball is too large: every vertex has a spectrum at every level, and a density vector."""
+    rng = random.Random(4)
+    edges = hub_graph(rng, 150, 3)
+    network = net(spark, edges)
+    rows = spectral.signatures(network, 2).collect()
+    names = {v for e in edges for v in e}
+    assert len(rows) == 2 * len(names)
+    for r in rows:
+        ring, values, density = brute_signature(edges, r["name"], r["level"])
+        assert r["ring"] == ring and np.allclose(r["spectrum"], values, atol=1e-9) and r["density"] == density
+    assert spectral.vectors(network, 2).count() == len(names)
+    same = {r["name"]: r["levels"] for r in spectral.vectors(network, 2).collect()}
+    assert all(np.allclose(r["levels"], same[r["name"]]) for r in spectral.density_vectors(spectral.signatures(network, 2)).collect())
+
+
+def test_star_of_50_000_leaves(spark):
+    """Leaves are twins: rings and balls are made for the hub and one of them, and both levels of the hub and the second of a leaf are one ball."""
+    star = Network.from_edges(spark.range(1, 50_001).selectExpr("0L AS src", "id AS dst"))
+    found = spectral.solved_balls(star, 2)
+    assert found.ring.count() == 50_000 + 1 + 49_999
+    balls = sorted(found.solved.collect(), key=lambda r: r["n"])
+    assert [r["n"] for r in balls] == [2, 50_001] and np.allclose(balls[0]["spectrum"], [0, 2])
+    values = np.array(balls[1]["spectrum"])
+    assert np.allclose(values[[0, -1]], [0, 2]) and (values[1:-1] == 1).all() and balls[1]["density"] == 50_001 / 50_000
+    assert found.ball.groupBy("level", "n").count().orderBy("level", "n").collect() == [(1, 2, 50_000), (1, 50_001, 1), (2, 50_001, 50_001)]
+
+
+def test_weighted_signatures_with_twins(spark):
+    rng = random.Random(6)
+    edges = [(0, i, rng.choice([0.6, 0.6, 1.5])) for i in range(1, 12)] + [(20, i, 0.6) for i in range(1, 6)] + [(20, 30, 0.2), (0, 30, 1.9)]
+    network = Network.from_edges(spark.createDataFrame(edges, "src long, dst long, weight double"))
+    got = {(r["name"], r["level"]): r for r in spectral.signatures(network, 3, weighted=True).collect()}
+    ring = {}
+    for r in graph.rings(network, 3, weighted=True).collect():
+        ring.setdefault((r["center"], r["level"]), []).append(r["vertex"])
+    for (name, level), r in got.items():
+        upto = [x for x in range(1, level + 1) if (name, x) in ring]
+        assert r["ring"] == (sorted(ring[name, upto[-1]]) if upto else [])
+        ball = {name, *(v for x in upto for v in ring[name, x])}
+        inside = [(a, b) for a, b, _ in edges if a in ball and b in ball]
+        lone = len(ball) - len({v for e in inside for v in e})
+        want = np.concatenate([dense_spectrum(inside, [w for a, b, w in edges if a in ball and b in ball]) if inside else [], np.ones(lone)])
+        assert np.allclose(r["spectrum"], np.sort(want))
 
 
 def test_components_of_random_graphs(spark):
@@ -133,7 +202,36 @@ def test_large_components_are_matched_like_small_ones(spark):
     assert len(small) == len(large) and math.isclose(sum(r[2] for r in small), sum(r[2] for r in large), rel_tol=1e-9)
     assert set(large) <= set(rows) and len({r[0] for r in large}) == len({r[1] for r in large}) == len(large)
     assert {r for r in large if r[0] >= 50} == {(50, 61, 9.0), (52, 60, 1.0)}
-
+    odd = spark.createDataFrame([(0, 0, 150.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 250.0), (2, 2, 150.0), (3, 3, 100.0)], "left long, right long, d double")
+    assert all(sorted(map(tuple, matching.optimal(odd, exact).collect())) == [(0, 1, 1.0), (1, 0, 1.0)] for exact in (2000, 1))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_both_solvers_at_one_cost(seed):
+    """Costs around that of no partner, ties among them."""
+    rng = np.random.default_rng(seed)
+    cells = [(a, b) for a in range(rng.integers(1, 25)) for b in range(rng.integers(1, 25)) if rng.random() < 0.3] or [(0, 0)]
+    frame = pd.DataFrame(cells, columns=["left", "right"])
+    frame["d"] = rng.integers(0, 9, len(cells)) * 20.0 if seed % 2 else rng.uniform(60, 120, len(cells))
+    one, two = (solve(frame) for solve in (matching.solve_frame, matching.solve_sparse))
+    for got in (one, two):
+        assert got["left"].is_unique and got["right"].is_unique and (got["d"] < matching.PAD).all()
+    worth = [(matching.PAD - x["d"]).sum() for x in (one, two)]
+    assert math.isclose(*worth, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("most", [50, 10**6])
+def test_greedy_on_chains(spark, monkeypatch, most):
+    """A chain of better and better pairs, which mutually best pairs take one at a time."""
+    rng = random.Random(most)
+    n = 60 if most == 50 else 4000
+    rows = [(i // 2 + i % 2, i // 2, n - i) for i in range(n)] + [(10_000 + rng.randrange(60), 10_000 + rng.randrange(60), float(rng.randrange(9))) for _ in range(300)]
+    rows = [(a, b, float(d)) for (a, b), d in {(a, b): d for a, b, d in rows}.items()]
+    steps = []
+    monkeypatch.setattr(matching, "mutual_best", lambda p, f=matching.mutual_best: steps.append(1) or f(p))
+    got = matching.greedy(spark.createDataFrame(rows, "left long, right long, d double"), most=most).collect()
+    assert sorted(map(tuple, got)) == brute_greedy(rows)
+    assert most == 50 or len(steps) < 10
 
 
 @settings(max_examples=30, deadline=None)
