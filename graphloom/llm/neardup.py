@@ -256,7 +256,8 @@ def neardup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of repeated rows of a kept doc_id one stays, the least by its text; rows
     with a null doc_id all stay.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    with Scratch() as s:  # of its tables only the ids stay
+        kept = s.keep(cut(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()))
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(docs.columns)
     repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if not repeated.isEmpty():

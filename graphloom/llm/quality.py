@@ -90,15 +90,19 @@ def measure(documents: DataFrame, whole: bool = False) -> DataFrame:
     return out.select("doc_id", *MEASURES, *["row"] * whole)
 
 
-def ledger(documents: DataFrame, whole: bool = False) -> DataFrame:
+def _judged(documents: DataFrame, whole: bool = False) -> DataFrame:
+    bits = " | ".join(f"CASE WHEN {condition} THEN {BIT[name]}L ELSE 0L END" for name, condition in RULES)
+    return measure(documents, whole).withColumn("failed_bits", F.expr(bits))
+
+
+def ledger(documents: DataFrame) -> DataFrame:
     """The measurements with ``failed_bits``: bit i is set when rule i of ``RULES`` fails.
 
     The ledger is written to the shared folder, so policies read numbers. It
     also keeps the optimizer from copying the measuring expressions into a
     filter or lambda above, where they would run many times over.
     """
-    bits = " | ".join(f"CASE WHEN {condition} THEN {BIT[name]}L ELSE 0L END" for name, condition in RULES)
-    return cut(measure(documents, whole).withColumn("failed_bits", F.expr(bits)))
+    return cut(_judged(documents))
 
 
 def apply_policy(book: DataFrame, policy: str) -> DataFrame:
@@ -123,8 +127,10 @@ def ablations(book: DataFrame) -> DataFrame:
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the strict policy; the others go.
 
-    The ledger keeps each row beside its bits, so that every row stands by its
-    own text, whatever its doc_id, and no join is needed.
+    Every row stands by its own text, whatever its doc_id, and passes through
+    one narrow step: nothing is written or joined. The filter also asks for a
+    row number, which it cannot be moved below, so measurements run once.
     """
-    kept = apply_policy(ledger(docs, whole=True), "strict-1").where("kept")
+    rows = _judged(docs, whole=True).withColumn("_nth", F.monotonically_increasing_id())
+    kept = apply_policy(rows, "strict-1").where(F.col("kept") & (F.col("_nth") >= 0))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.durable import cut, discard
+from graphloom.durable import Scratch, cut, discard
 from graphloom.llm import words as w
 from graphloom.llm.crowds import crowded, meet
 
@@ -219,4 +219,6 @@ def cut_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
 
 def substring_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words or more that an earlier document has; those left without a word go."""
-    return cut_passages(docs, repeated_passages(docs)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    with Scratch() as s:  # of its tables only the passages stay
+        passages = s.keep(cut(repeated_passages(docs)))
+    return cut_passages(docs, passages).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
