@@ -181,6 +181,62 @@ def _doubled_flow(steps: DataFrame, names: DataFrame) -> DataFrame:
         known, reach = known.union(fresh), 2 * reach
 
 
+def tree_mergers(tree: DataFrame) -> DataFrame:
+    """``(name, chain)`` of the vertices of ``tree (s, t, capacity)`` or a forest: what components the vertex is in, round after round, as ``(parent, flow)``.
+
+    In a round each component takes the edge of most capacity that leaves it
+    (of equals, that of greater names), and what is so connected is the next
+    component; ``flow`` is the capacity taken. Every round halves the
+    components at least, so a chain has as many entries as their number has
+    binary digits, however long the tree's paths are; the rounds' tables
+    shrink alike, and chains are put together from the last one backwards.
+    """
+    with Scratch() as s:
+        order = F.struct(F.col("capacity").cast("double").alias("capacity"), F.least("s", "t").alias("x"), F.greatest("s", "t").alias("y"))
+        edges = cut(tree.where("s <> t").select(F.col("s").alias("a"), F.col("t").alias("b"), order.alias("o")))
+        levels: list[DataFrame] = []
+        while not edges.isEmpty():
+            both = edges.union(edges.select("b", "a", "o"))
+            pick = cut(both.groupBy("a").agg(F.max(F.struct("o", "b")).alias("p")).select("a", "p.b", F.col("p.o.capacity").alias("flow")))
+            merged = connected_components(pick, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("parent"))
+            levels.append(cut(pick.join(merged, "a").select(F.col("a").alias("child"), "parent", "flow")))
+            to = lambda end: levels[-1].select(F.col("child").alias(end), F.col("parent").alias(f"{end}_"))
+            edges = cut(edges.join(to("a"), "a").join(to("b"), "b").where("a_ <> b_").select(F.col("a_").alias("a"), F.col("b_").alias("b"), "o"))
+        names = tree.select(F.col("s").alias("name")).union(tree.select("t")).distinct()
+        chain: DataFrame | None = None
+        for level in reversed(levels):
+            own = level.select("child", "parent", F.array(F.struct("parent", "flow")).alias("chain"))
+            if chain is not None:
+                own = own.join(chain.select(F.col("child").alias("parent"), F.col("chain").alias("more")), "parent", "left")
+                own = own.withColumn("chain", F.when(F.col("more").isNull(), F.col("chain")).otherwise(F.concat("chain", "more")))
+            chain = cut(own.select("child", "chain"))
+        if chain is None:
+            return s.keep(cut(names.select("name", F.array().cast(f"array<struct<parent: {dict(names.dtypes)['name']}, flow: double>>").alias("chain"))))
+        return s.keep(cut(names.join(chain.withColumnRenamed("child", "name"), "name", "left")))
+
+
+def flows_between(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs (u, v, ...)`` with ``flow``, the least capacity on the tree path: 0 for a vertex and itself, no row where there is no path.
+
+    The path meets where both vertices' chains of ``tree_mergers`` first have
+    one component, and the least that either took up to there is the least on
+    the path; so the work is two joins of the asked pairs, whatever the paths.
+    """
+    chain = tree_mergers(tree)
+    of = lambda end: chain.select(F.col("name").alias(end), F.col("chain").alias(f"_{end}"))
+    same = F.zip_with("_u", "_v", lambda x, y: F.coalesce(x["parent"] == y["parent"], F.lit(False)))
+    rows = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("_at", F.when(F.col("u") == F.col("v"), 0).otherwise(F.array_position(same, True)))
+    least = lambda c: F.array_min(F.transform(F.slice(c, F.lit(1), F.col("_at").cast("int")), lambda x: x["flow"]))
+    flow = F.when(F.col("u") == F.col("v"), F.lit(0.0)).otherwise(F.least(least("_u"), least("_v")))
+    return rows.where("_at > 0 OR u = v").select(*pairs.columns, flow.alias("flow"))
+
+
+def ring_flows(ring: DataFrame, tree: DataFrame) -> DataFrame:
+    """``ring (center, level, vertex)`` with the tree's ``flow`` between centre and vertex, for ``flow_cutoff``."""
+    asked = ring.select(F.col("center").alias("u"), F.col("vertex").alias("v"), "level")
+    return flows_between(tree, asked).select(F.col("u").alias("center"), "level", F.col("v").alias("vertex"), "flow")
+
+
 def flow_cutoff(flows: DataFrame) -> DataFrame:
     """Of ``flows (center, level, vertex, flow)`` those with a number of at least mean - 3 population deviations of their ring."""
     real = flows.where(F.col("flow").isNotNull() & ~F.isnan("flow"))

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -358,28 +357,83 @@ def joint_spectra(network: Network, pairs: DataFrame, level: int = 2, bins: int
     return out.select("u", "v", F.when(F.col("spectrum").isNull(), F.array().cast("array<double>")).otherwise(scaled_to_sum(histogram(F.col("spectrum"), 0.0, 2.0, bins))).alias("histogram"))
 
 
-def edge_similarity(edges: DataFrame, sequences: DataFrame, match: int = 2, mismatch: int = -1, gap: int = -1) -> DataFrame:
-    """``edges`` with ``seq_weight``: best local alignment score of the endpoints' sequences ``(id, sequence)`` over what the shorter scores with itself; 0 without sequences."""
-
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            if not x or not y:
-                return 0.0
-            codes, best = np.frombuffer(y.encode("utf-32-le"), np.uint32), 0
-            row, ramp = np.zeros(len(y) + 1, np.int64), gap * np.arange(len(y) + 1)
-            for c in x:
-                fresh = np.maximum(0, np.maximum(row[1:] + gap, row[:-1] + np.where(codes == ord(c), match, mismatch)))
-                # gaps along y: the best start so far, less its distance
-                row = np.maximum.accumulate(np.concatenate([[0], fresh]) - ramp) + ramp
-                best = max(best, int(row.max()))
-            return best / (match * min(len(x), len(y)))
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    text = lambda end: sequences.groupBy(F.col("id").alias(end)).agg(F.min("sequence").alias(f"_{end}"))
-    both = edges.drop("seq_weight").join(text("src"), "src", "left").join(text("dst"), "dst", "left")
-    return both.withColumn("seq_weight", score(F.coalesce("_src", F.lit("")), F.coalesce("_dst", F.lit("")))).select("src", "dst", "weight", "seq_weight")
+def substitution_scores(lines: list[str]) -> dict[tuple[str, str], int]:
+    """Scores of pairs of letters from the lines of a matrix as text: ``#`` comments, a line of letters, and a line of numbers after each letter."""
+    rows = [x.split() for x in lines if x.strip() and not x.startswith("#")]
+    return {(row[0], other): int(v) for row in rows[1:] for other, v in zip(rows[0], row[1:], strict=True)}
+
+
+def local_scores(one: list[np.ndarray], two: list[np.ndarray], table: np.ndarray, gap_open: int, gap_extend: int) -> np.ndarray:
+    """Best local alignment score of each pair of sequences, given as rows of ``table``; a gap of n letters costs gap_open + n * gap_extend.
+
+    All pairs go on together: a step is a letter of every first sequence, and
+    array operations on pairs times letters of the second. Three states:
+    matched, in a gap of the second sequence (``down``), in one of the first. A
+    gap of the first begins at the best place before, which a running maximum
+    finds, as beginning one where one ends is never better than going on.
+    """
+    order = np.argsort([-len(x) for x in one], kind="stable")
+    a, b = np.full((len(one), max(map(len, one), default=0)), -1), np.full((len(one), max(map(len, two), default=0)), -1)
+    for i, k in enumerate(order):
+        a[i, : len(one[k])], b[i, : len(two[k])] = one[k], two[k]
+    low, ramp = -(1 << 40), gap_extend * np.arange(b.shape[1] + 1)
+    best, row, down = np.zeros(len(a), np.int64), np.zeros((len(a), b.shape[1] + 1), np.int64), np.full((len(a), b.shape[1] + 1), low)
+    for x in a.T:
+        m = int((x >= 0).sum())  # the longest stand first, so these go on
+        step = np.where(b[:m] >= 0, table[x[:m, None], b[:m]], low)
+        down[:m] = np.maximum(down[:m], row[:m] - gap_open) - gap_extend
+        fresh = np.maximum(0, down[:m])
+        fresh[:, 1:] = np.maximum(fresh[:, 1:], row[:m, :-1] + step)
+        along = np.maximum.accumulate(fresh - gap_open + ramp, axis=1) - ramp
+        row[:m] = fresh
+        row[:m, 1:] = np.maximum(fresh[:, 1:], along[:, :-1] - gap_extend)
+        best[:m] = np.maximum(best[:m], row[:m].max(axis=1))
+    out = np.empty(len(a), np.int64)
+    out[order] = best
+    return out
+
+
+def edge_similarity(edges: DataFrame, sequences: DataFrame, match: int = 2, mismatch: int = -1, gap_open: int = 0, gap_extend: int = 1, matrix: dict[tuple[str, str], int] | None = None) -> DataFrame:
+    """``edges`` with ``seq_weight``: best local alignment score of the endpoints' sequences ``(id, sequence)`` over what the one that scores less with itself scores so; 0 without sequences.
+
+    Letters score by ``matrix`` (see ``substitution_scores``), where others
+    than its own count as ``*`` if it has that, and else as ``mismatch`` with
+    anything; without a matrix by ``match`` and ``mismatch``. Equal pairs of
+    sequences are computed once, pairs of similar lengths together.
+    """
+    letters = sorted({x for pair in matrix for x in pair}) if matrix else []
+
+    def coded(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        known = letters or sorted(set().union(*texts))
+        at = {c: i for i, c in enumerate(known)}
+        table = np.full((len(known) + 1, len(known) + 1), mismatch, np.int64)
+        if matrix:
+            for (x, y), v in matrix.items():
+                table[at[x], at[y]] = v
+        else:
+            np.fill_diagonal(table, match)
+        other = at.get("*", len(known))
+        return [np.array([at.get(c, other) for c in x], np.int64) for x in texts], table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            codes, table = coded(a + b)
+            own = np.array([max(0, int(table[x, x].sum())) for x in codes])
+            least, scores, at = np.minimum(own[: len(a)], own[len(a) :]), np.zeros(len(a), np.int64), 0
+            while at < len(a):  # rows come by length
+                widest = max(len(x) for x in b[at : at + 256]) + 1
+                to = min(len(a), at + max(1, min(256, STACK_BYTES // (64 * widest))))
+                scores[at:to] = local_scores(codes[at:to], codes[len(a) + at : len(a) + to], table, gap_open, gap_extend)
+                at = to
+            share = np.divide(scores, least, out=np.zeros(len(a)), where=least > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "share"])
+
+    text = lambda end: sequences.groupBy(F.col("id").alias(end)).agg(F.min("sequence").alias("a" if end == "src" else "b"))
+    both = edges.drop("seq_weight", "a", "b").join(text("src"), "src", "left").join(text("dst"), "dst", "left")
+    distinct = both.select("a", "b").where("a <> '' AND b <> ''").distinct()
+    found = distinct.sortWithinPartitions(F.length("a"), F.length("b")).mapInArrow(run, "a string, b string, share double")
+    return both.join(found, ["a", "b"], "left").select("src", "dst", "weight", F.coalesce("share", F.lit(0.0)).alias("seq_weight"))
 
 
 def network_spectrum(network: Network, top: int = 8, tolerance: float = 1e-6, most_steps: int = 300, use_sequences: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

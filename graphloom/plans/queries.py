@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.durable import cut, shared_dir
 from graphloom.functions import distances as fn
 from graphloom.network import Network, both_ways
-from graphloom.operators import align, graph, matching, metrics, search, spectral, terms
+from graphloom.operators import align, aligner, graph, matching, metrics, search, spectral, terms
 from graphloom.operators import pairs as pairing
 from graphloom.operators.components import connected_components
 from graphloom.plans import fixtures as fx
@@ -215,6 +215,16 @@ def flow_cutoff(spark, sf):
     return graph.flow_cutoff(graph.rings(fx.left_network(spark, sf), 2).withColumn("flow", flow / 10.0))
 
 
+@query(
+    prelude("st") + ", e AS (SELECT s, t, c FROM st UNION ALL SELECT t, s, c FROM st), p(u, v, via, f, d) AS (SELECT s, t, s, c, 1 FROM e UNION ALL SELECT p.u, e.t, p.v, least(p.f, e.c), p.d + 1 FROM p JOIN e ON e.s = p.v WHERE e.t <> p.via AND p.d < 4),"
+    " b AS (SELECT u, d, avg(f) - 3 * stddev_pop(f) AS least FROM p GROUP BY u, d) SELECT u AS center, d::INTEGER AS level, v AS vertex, f AS flow FROM p JOIN b USING (u, d) WHERE f >= least"
+)
+def ring_flows(spark, sf):
+    tree = fx.supply_tree(spark, sf)
+    ring = graph.rings(Network.from_edges(tree.select(F.col("s").alias("src"), F.col("t").alias("dst"))), 4)
+    return graph.flow_cutoff(graph.ring_flows(ring, tree))
+
+
 @query()
 def hitting_time(spark, sf):
     net = fx.fragments(spark, sf)
@@ -436,6 +446,33 @@ def _quick_pairs(spark, sf) -> DataFrame:
     return pairing.blended(near.withColumn("d_seq", F.lit(0.0)), 1.0)
 
 
+def _aligned(spark, sf) -> DataFrame:
+    """The whole way, from files of signatures and scores to an alignment by names."""
+    path, text = _folder(spark), lambda net: net.edges.select(F.col("src").cast("string"), F.col("dst").cast("string"))
+    nets = [Network.from_edges(cut(text(net))) for net in (fx.left_network(spark, sf), fx.right_network(spark, sf))]
+    for net, name in zip(nets, ("left", "right"), strict=True):
+        tables.write_signatures(spectral.signatures(net, 2), name, f"{path}/signatures")
+    vectors = [cut(spectral.density_vectors(tables.read_signatures(spark, f"{path}/signatures", name))) for name in ("left", "right")]
+    tables.write_scores(fx.scores(spark, sf).select(F.col("left").cast("string"), F.col("right").cast("string"), "d"), f"{path}/scores")
+    return aligner.align_networks(*nets, *vectors, tables.read_scores(spark, f"{path}/scores"), beta=300.0, nearest=10)
+
+
+#: Pairs that the seeds, their neighbourhoods, search and filling up must come to, one to one and of known vertices.
+_COVER = prelude("gv", "hv") + ", n AS (SELECT least((SELECT count(*) FROM gv), (SELECT count(*) FROM hv)) AS n) SELECT n AS n_pairs, n AS n_left, n AS n_right, n AS n_known, TRUE AS conserves FROM n"
+
+
+@query(_COVER)
+def align_networks(spark, sf):
+    """The alignment's pairs, distinct vertices of both sides, pairs of known vertices, and whether it conserves edges."""
+    found = cut(_aligned(spark, sf))
+    left, right = fx.left_network(spark, sf), fx.right_network(spark, sf)
+    numbers = found.select(F.col("left").cast("long"), F.col("right").cast("long"))
+    known = metrics.resolve(metrics.keyed(numbers, "whole"), left.vertices, right.vertices)
+    kept = metrics.mapped_edges(known, left.simple().edges, right.simple().edges).agg((F.count("*") > 0).alias("conserves"))
+    counts = found.agg(F.count("*").alias("n_pairs"), F.countDistinct("left").alias("n_left"), F.countDistinct("right").alias("n_right"))
+    return counts.join(known.agg(F.count("*").alias("n_known"))).join(kept).select("n_pairs", "n_left", "n_right", "n_known", "conserves")
+
+
 @query()
 def align_seed_extend(spark, sf):
     return align.seed_and_extend(fx.left_network(spark, sf), fx.right_network(spark, sf), _quick_pairs(spark, sf))
