@@ -259,3 +259,129 @@ def test_licences(spark):
     assert [got[100 + i]["licence"] for i in range(len(notices))] == [next(k for k in ("ISC", "MPL-2.0", "Zlib") if k[:3] in x) for x in notices]
     assert len(licences.NAMES) >= 40 and [got[1000 + i]["licence"] for i in range(len(licences.NAMES))] == list(licences.NAMES)
     assert licences.scan(frame(spark, [], "licences string")).collect() == []
+
+
+BSD = """Copyright (c) 2020, A. N. Other
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+NAMES_ITEM = """
+3. Neither the name of the Example Company nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MIT = """The MIT License
+
+Copyright (c) 2020 A. N. Other
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+APACHE = """Copyright 2020 A. N. Other
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GNU = """This {what} is free software{sign} you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation{then} either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted{}.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented."""
+TEXTS = {
+    "BSD-2-Clause": BSD,
+    "BSD-3-Clause": BSD + NAMES_ITEM,
+    "MIT": MIT.partition("\n\n")[2],
+    "Apache-2.0": APACHE,
+    "GPL-3.0-or-later": GNU.format(what="program", sign=":", kind="", then=",", version=3),
+    "GPL-2.0-or-later": GNU.format(what="program", sign=";", kind="", then=";", version=2),
+    "AGPL-3.0-or-later": GNU.format(what="program", sign=":", kind="Affero ", then=",", version=3),
+    "LGPL-2.1-or-later": GNU.format(what="library", sign=";", kind="Lesser ", then=";", version=2.1),
+    "LGPL-3.0-or-later": GNU.format(what="library", sign=":", kind="Lesser ", then=",", version=3),
+    "ISC": ISC.format(", provided that the above\ncopyright notice and this permission notice appear in all copies"),
+    "0BSD": ISC.format(""),
+    "Zlib": ZLIB,
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+
+def in_comments(text: str) -> list[str]:
+    lines = text.split("\n")
+    block = "/*\n" + "\n".join(f" * {x}".rstrip() for x in lines) + "\n */\nint x;"
+    return [text, *("\n".join(f"{mark} {x}".rstrip() for x in lines) for mark in ("#", "//", ";;", "--")), block, text.replace("\n", "\r\n"), "   " + text.replace("\n", "\n   ")]
+
+
+def test_licence_texts_each_give_their_own(spark):
+    rows, want = [], []
+    for licence, text in TEXTS.items():
+        for form in in_comments(text):
+            rows.append((len(rows), form))
+            want.append([licence])
+    for marks in (["1)", "2)", "3)"], ["(1)", "(2)", "(3)"], ["a.", "b.", "c."], ["*", "*", "*"], ["-", "-", "-"]):
+        text = BSD + NAMES_ITEM
+        for n, mark in enumerate(marks):
+            text = text.replace(f"\n{n + 1}. ", f"\n{mark} ")
+        rows += [(len(rows), text), (len(rows) + 1, text.partition(f"\n{marks[2]} Neither")[0])]
+        want += [["BSD-3-Clause"], ["BSD-2-Clause"]]
+    both = BSD + NAMES_ITEM + "\n\n" + BSD
+    others = [
+        (both, ["BSD-3-Clause", "BSD-2-Clause"]), (MIT, ["MIT"]), ("Licensed under the MIT License, see LICENSE.", ["MIT"]), ("// SPDX-License-Identifier: MIT", ["MIT"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-or-later OR BSD-3-Clause) WITH Linux-syscall-note */", ["BSD-3-Clause", "GPL-2.0-or-later"]),
+        ("Dual licensed under MIT or Apache-2.0.", ["Apache-2.0", "MIT"]), ("Licensed under either of the Apache License, Version 2.0 or the MIT license.", ["Apache-2.0", "MIT"]),
+        ("SPDX-License-Identifier: NOBODY-KNOWS", []), ("Licensed under a scheme of our own or nothing.", []), ("x " * 50_000 + "\n\n" + MIT, ["MIT"]),
+    ]
+    rows += [(len(rows) + i, text) for i, (text, _) in enumerate(others)]
+    want += [x for _, x in others]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(frame(spark, rows, "spdx string, by_text string")).collect()}
+    assert [(got[i], rows[i][1][:300]) for i in range(len(rows)) if got[i] != want[i]] == []
+
+
+def test_licences_as_in_sql(spark):
+    import duckdb
+    import pandas as pd
+    from graphloom.llm.queries import ORACLES
+
+    rows = [(i, form) for i, form in enumerate(x for text in TEXTS.values() for x in (text, *in_comments(text)[1:6]))] + [(1000, None), (1001, "SPDX-License-Identifier: MIT AND Zlib\nDual licensed under ISC or the MIT license")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841  read by name below
+    want = sorted(duckdb.sql(ORACLES["op3_sentence_licences"]).fetchall())
+    found = licences.scan(frame(spark, rows, "lang string"))
+    from pyspark.sql import functions as F
+
+    got = found.select("doc_id", "n_sentences", F.array_join("sentences", ","), F.array_join("licences", ","), "licence").collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[0]) == want
