@@ -120,6 +120,20 @@ def components(spark, sf):
     return connected_components(fx.fragments(spark, sf).edges)
 
 
+_NET_REACH = _REACH.replace("fs", "gs")
+
+
+@query(prelude("gs") + _NET_REACH + "SELECT node, component FROM c")
+def net_components(spark, sf):
+    """Components of the whole left network, most of it one."""
+    return connected_components(fx.left_network(spark, sf).edges)
+
+
+@query(prelude("gs") + _NET_REACH + ", b AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT node AS name FROM c WHERE component IN (SELECT component FROM b)")
+def net_largest_component(spark, sf):
+    return graph.largest_component(fx.left_network(spark, sf)).vertices
+
+
 @query(prelude("fs") + _REACH + ", b AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT node AS name FROM c WHERE component IN (SELECT component FROM b)")
 def largest_component(spark, sf):
     return graph.largest_component(fx.fragments(spark, sf)).vertices
@@ -163,6 +177,21 @@ def spectra(spark, sf):
     return spectral.signatures(fx.left_network(spark, sf), 2)
 
 
+@query(
+    prelude("g", "gv", "rg") + _BALL + ", x AS (SELECT a.c, n.level, g.src AS i, g.dst AS j FROM m a JOIN g ON g.src = a.v JOIN m b ON b.c = a.c AND b.v = g.dst JOIN (SELECT unnest([1, 2]) AS level) n ON greatest(a.level, b.level) <= n.level),"
+    " y AS (SELECT * FROM x UNION ALL SELECT c, level, j, i FROM x), dg AS (SELECT c, level, i, count(*) AS k FROM y GROUP BY ALL),"
+    " t2 AS (SELECT y.c, y.level, sum(1.0 / (a.k * b.k)) AS s FROM y JOIN dg a ON (a.c, a.level, a.i) = (y.c, y.level, y.i) JOIN dg b ON (b.c, b.level, b.i) = (y.c, y.level, y.j) GROUP BY ALL),"
+    " t3 AS (SELECT p.c, p.level, sum(1.0 / (a.k * b.k * d.k)) AS s FROM y p JOIN y q ON (q.c, q.level, q.i) = (p.c, p.level, p.j) JOIN y r ON (r.c, r.level, r.i, r.j) = (q.c, q.level, q.j, p.i)"
+    " JOIN dg a ON (a.c, a.level, a.i) = (p.c, p.level, p.i) JOIN dg b ON (b.c, b.level, b.i) = (q.c, q.level, q.i) JOIN dg d ON (d.c, d.level, d.i) = (r.c, r.level, r.i) GROUP BY ALL)"
+    " SELECT center AS name, de.level::INTEGER AS level, n_vertices AS n, round(1e-7 + n_vertices + coalesce(t2.s, 0), 6) AS squares, round(1e-7 + n_vertices + 3 * coalesce(t2.s, 0) - coalesce(t3.s, 0), 6) AS cubes"
+    " FROM de LEFT JOIN t2 ON (t2.c, t2.level) = (de.center, de.level) LEFT JOIN t3 ON (t3.c, t3.level) = (de.center, de.level)"
+)
+def spectra_power_sums(spark, sf):
+    """Sums of the squares and cubes of a ball's eigenvalues (a little more, as many are halves of the last digit); the SQL counts closed walks of two and three steps in it."""
+    power = lambda n: F.round(F.aggregate("spectrum", F.lit(1e-7), lambda s, x: s + F.pow(x, F.lit(n))), 6)
+    return spectral.signatures(fx.left_network(spark, sf), 2).select("name", "level", F.size("spectrum").cast("long").alias("n"), power(2).alias("squares"), power(3).alias("cubes"))
+
+
 @query()
 def density_vectors(spark, sf):
     return spectral.vectors(fx.left_network(spark, sf), 2)
@@ -411,7 +440,16 @@ def _scored(spark, sf) -> DataFrame:
     return pairing.blended(fx.pairs(spark, sf), 0.5).select("left", "right", "d")
 
 
-@query()
+#: Pairs (l, r, d) of a table ``p`` numbered in order, taken one by one while both sides are free.
+_ONE_BY_ONE = (
+    ", o AS (SELECT l, r, d, row_number() OVER (ORDER BY d, l, r) AS i FROM p), t(i, ls, rs, won) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[], FALSE UNION ALL"
+    " SELECT o.i, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN ls ELSE list_append(ls, l) END, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN rs ELSE list_append(rs, r) END,"
+    " NOT (list_contains(ls, l) OR list_contains(rs, r)) FROM t JOIN o ON o.i = t.i + 1)"
+    " SELECT l AS \"left\", r AS \"right\", d FROM t JOIN o USING (i) WHERE won"
+)
+
+
+@query(prelude("pr") + ", p AS (SELECT l, r, 0.5 * d_struct + 0.5 * d_seq AS d FROM pr)" + _ONE_BY_ONE)
 def greedy_match(spark, sf):
     return matching.greedy(_scored(spark, sf))
 
@@ -435,7 +473,10 @@ def align_iterative_lap(spark, sf):
     return matching.iterative(_scored(spark, sf))
 
 
-@query()
+@query(
+    prelude("pr") + ", q AS (SELECT l, r, 0.5 * d_struct + 0.5 * d_seq AS d FROM pr), z AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY d, r) AS k FROM q), p AS (SELECT l, r, -(CASE WHEN k <= 3 THEN 2 ELSE 1 END) * (1 - d) AS d FROM z)"
+    + _ONE_BY_ONE
+)
 def visit_match(spark, sf):
     near = pairing.nearest(_scored(spark, sf), 3).select("left", "right", "d")
     return matching.by_visits(near.union(_scored(spark, sf)))
@@ -559,6 +600,21 @@ def alignment_statistics(spark, sf):
     return metrics.alignment_statistics(metrics.keyed(left.vertices.select(F.col("name").alias("left"), F.col("name").alias("right")), "fragments"), left.edges, right)
 
 
+@query(
+    _MAPPED + ", ms AS (SELECT k, s, t FROM m UNION SELECT k, t, s FROM m), re(k, x, y) AS (SELECT k, s, t FROM ms UNION SELECT re.k, re.x, ms.t FROM re JOIN ms ON ms.k = re.k AND ms.s = re.y), co AS (SELECT k, x, least(x, min(y)) AS c FROM re GROUP BY k, x),"
+    " z AS (SELECT k, c, count(*) AS n FROM co GROUP BY k, c QUALIFY row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, c) = 1), ec AS (SELECT co.k, count(*) AS n FROM (SELECT DISTINCT k, s, t FROM m) d JOIN co ON co.k = d.k AND co.x = d.s JOIN z ON z.k = co.k AND z.c = co.c GROUP BY co.k)"
+    " SELECT k AS alignment, q.n AS ec, 100.0 * q.n / ir.n AS ics, z.n AS lccs_vertices, ec.n AS lccs_edges FROM q JOIN ir USING (k) JOIN z USING (k) JOIN ec USING (k)"
+)
+def folder_statistics(spark, sf):
+    """Statistics of all alignments in a folder of files, by the folder that each is in, over both whole networks."""
+    path = _folder(spark)
+    for name, table in (("truth", fx.truth(spark, sf)), ("perturbed", fx.perturbed(spark, sf))):
+        tables.write_alignment(table, f"{path}/{name}")
+    rows = tables.read_alignments(spark, path, "*.csv").select(F.regexp_extract("alignment", "([^/]+)/[^/]*$", 1).alias("alignment"), F.col("left").cast("long"), F.col("right").cast("long"))
+    left, right = fx.left_network(spark, sf), fx.right_network(spark, sf)
+    return metrics.alignment_statistics(cut(metrics.resolve(rows, left.vertices, right.vertices)), left.edges, right.edges)
+
+
 @query(prelude("tr", "pt") + "SELECT (SELECT count(*) FROM tr) AS n_one, (SELECT count(*) FROM pt) AS n_other, count(*) AS n_shared, 100.0 * count(*) / least((SELECT count(*) FROM tr), (SELECT count(*) FROM pt)) AS percent FROM tr JOIN pt USING (l, r)")
 def alignment_overlap(spark, sf):
     return metrics.overlap(fx.truth(spark, sf), fx.perturbed(spark, sf))

@@ -10,7 +10,7 @@ import pytest
 from graphloom.functions import distances as fn
 from graphloom.functions import kernels
 from graphloom.network import Network
-from graphloom.operators import align, graph, matching, metrics, pairs, search, spectral
+from graphloom.operators import align, aligner, graph, matching, metrics, pairs, search, spectral
 from graphloom.operators.components import connected_components
 from graphloom.sources import networks, tables
 from hypothesis import given, settings
@@ -296,8 +296,9 @@ def test_bounded_nearest_equal_all_pairs(k):
     assert (got == want).all() and np.allclose(d[i, j], found, atol=1e-9)
 
 
-@pytest.mark.parametrize("seeds", [1, None])
-def test_alignment_covers_and_keeps_beta(spark, seeds):
+@pytest.mark.parametrize(("seeds", "few"), [(1, 0), (None, 0), (None, 10**9)])
+def test_alignment_covers_and_keeps_beta(spark, monkeypatch, seeds, few):
+    monkeypatch.setattr(align, "FEW", few)
     left, right = random_networks(spark, n=14, m=24)
     names = [(a, b) for a in range(14) for b in range(14)]
     table = spark.createDataFrame([(a, b, abs(a - b) / 14 + (a * 7 + b) % 5 / 50, 0.5 if (a + b) % 3 else 1.1) for a, b in names], "left long, right long, d double, d_seq double")
@@ -306,6 +307,48 @@ def test_alignment_covers_and_keeps_beta(spark, seeds):
     assert all((r["left"] + r["right"]) % 3 for r in found if r["score"] != 1.0)
 
 
+def test_extension_along_pairs_and_along_neighbours(spark):
+    """A frontier of several seeds, with few pairs of a left vertex or all of them."""
+    rng = random.Random(21)
+    left, right = random_networks(spark, n=14, m=30)
+    rows = [(a, b, rng.random(), rng.choice([0.5, 1.1])) for a in range(14) for b in range(14) if rng.random() < 0.7]
+    table = spark.createDataFrame(rows, "left long, right long, d double, d_seq double")
+    frontier = spark.createDataFrame([(0, 1, 0.1), (5, 3, 0.2), (9, 9, 0.3)], "left long, right long, score double")
+    near = [align._with_self(x) for x in (left, right)]
+    got = [sorted(map(tuple, align.extend(frontier, frontier, table, *near, 3, 1.0, few).collect())) for few in (False, True)]
+    assert got[0] == got[1] and got[0]
+    sides = [{}, {}]
+    for side, one in zip(sides, near, strict=True):
+        for r in one.collect():
+            side.setdefault(r["name"], set()).add(r["neighbour"])
+    best = {}
+    for a, b, s in frontier.collect():
+        kept = []
+        for x in sides[0].get(a, ()):
+            kept += sorted((r for r in rows if r[0] == x and r[1] in sides[1].get(b, ())), key=lambda r: (r[2], r[1]))[:3]
+        kept = [r for r in kept if r[0] not in (0, 5, 9) and r[1] not in (1, 3, 9)]
+        frame = pd.DataFrame(kept, columns=["left", "right", "d", "d_seq"])
+        for r in (frame if len(frame) <= 1 else matching.solve_frame(frame)).itertuples(index=False):
+            if r.d_seq <= 1.0:
+                best[r.left, r.right] = min(best.get((r.left, r.right), (9, 9)), (s, r.d))
+    want = brute_greedy([(a, b, o) for (a, b), o in best.items()])
+    assert got[0] == [(a, b, o[1]) for a, b, o in want]
+
+
+def test_whole_alignments_from_vectors_and_scores(spark):
+    left, right = random_networks(spark, n=14, m=24)
+    scores = spark.createDataFrame([(a, (a * 3) % 14, float(a)) for a in range(14)], "left long, right long, d double")
+    vectors = [spectral.vectors(x, 2) for x in (left, right)]
+    few = aligner.candidates(*vectors, scores, 2)
+    every = {(r["left"], r["right"]): r["d_struct"] for r in aligner.candidates(*vectors, None, None).collect()}
+    asked = {(a, (a * 3) % 14) for a in range(14)} & set(every)
+    got = {(r["left"], r["right"]): r["d_struct"] for r in few.collect()}
+    assert asked <= set(got) and all(math.isclose(d, every[p], abs_tol=1e-9) for p, d in got.items()) and few.count() == len(got)
+    for nearest in (None, 3):
+        found = aligner.align_networks(left, right, *vectors, scores, beta=10.0, iterations=2, nearest=nearest).collect()
+        assert len({r["left"] for r in found}) == len({r["right"] for r in found}) == len(found) == min(left.vertices.count(), right.vertices.count())
+
+
 def test_search_never_loses_edges_and_deltas_are_exact(spark):
     left, right = random_networks(spark)
     names = sorted(r["name"] for r in left.vertices.intersect(right.vertices).collect())
