@@ -25,8 +25,8 @@ _MARKS = r"(?m)^[ \t]*(?:(?:/{2,}|/[*]+|#+|;+|-{2,}|%+|<!--|[*]+/?)(?:[ \t]+|$))
 #: Ends of sentences, without and with line ends.
 BY_TEXT = r"[.!?:](?:\s|$)|\r?\n[ \t\r]*\n\s*"
 BY_LINE = BY_TEXT + r"|[\n\r]+"
-#: A colon that ends no sentence.
-_COLON = r"(?i)(free\s+software):"
+#: A colon and a full stop that end no sentence.
+_INSIDE = r"(?i)(?:(free\s+software):|(\bv)[.])(\s)"
 #: What a notice begins and ends with besides the licence's name, in normalised text; the same around each of several names.
 _BEGIN = "^(?:this (?:work|software|program|project|package|file|code|document|data) is )?(?:dual |dually |also )?(?:licensed|released|distributed|available|provided|published|made available) under (?:either )?(?:of )?(?:the )?(?:terms of )?(?:the )?"
 _END = "^(under .*?)(?: licen[cs]e)?(?: see .*)?$"
@@ -209,11 +209,11 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
 
 
-def licences_of(rules: list[tuple[str, list[str]]]) -> tuple[list[str], list[tuple[str, str]], dict[str, str]]:
-    """All licences in order; patterns of the rules of several sentences over ``,a,,b,``, each with its licence; licences of single sentences."""
-    several = [(",(.*?),".join(["", *wanted, ""]).replace(",(.*?),", ",", 1).rpartition(",(.*?),")[0] + ",", licence) for licence, wanted in rules if len(wanted) > 1]
-    single = {wanted[0]: licence for licence, wanted in reversed(rules) if len(wanted) == 1}
-    return list(dict.fromkeys([licence for licence, _ in rules] + SPDX)), several, single
+def numbered(rules: list[tuple[str, list[str]]]) -> tuple[list[str], list[tuple[str, int]], dict[str, int]]:
+    """The licence of each rule and then of each SPDX name; patterns of the rules of several sentences over ``,a,,b,``, each with its number; numbers of the rules of single sentences."""
+    several = [("(.*?)".join(f",{x}," for x in wanted), i) for i, (_, wanted) in enumerate(rules) if len(wanted) > 1]
+    single = {wanted[0]: i for i, (_, wanted) in reversed(list(enumerate(rules))) if len(wanted) == 1}
+    return [licence for licence, _ in rules] + SPDX, several, single
 
 
 def _identifiers(text: Column, breaks: str, sentences: dict[str, str]) -> Column:
@@ -244,9 +244,9 @@ def scan(documents: DataFrame, sentences: dict[str, str] = SENTENCES, rules: lis
     columns are ignored, an empty table gives no rows. Texts are scanned whole,
     however long.
     """
-    text = F.when(F.col("text").rlike(_HINT), F.regexp_replace(F.regexp_replace("text", _MARKS, ""), _COLON, "$1"))
+    text = F.when(F.col("text").rlike(_HINT), F.regexp_replace(F.regexp_replace("text", _MARKS, ""), _INSIDE, "$1$2$3"))
     none = F.array().cast("array<string>")
-    every, several, single = licences_of(rules)
+    every, several, single = numbered(rules)
     tagged = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(_SPDX), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9.+-]+"), F.lit(0))))
     allowed = F.array(*[F.lit(x) for x in SPDX])
     rows = documents.select(
@@ -259,14 +259,16 @@ def scan(documents: DataFrame, sentences: dict[str, str] = SENTENCES, rules: lis
 
     def hits(c: str) -> Column:
         marked = F.concat(F.lit(","), F.array_join(c, ",,"), F.lit(","))
-        for pattern, licence in several:  # what a rule has matched is gone for the next
+        for pattern, n in several:  # what a rule has matched is gone for the next
             between = "".join(f"${i + 1}" for i in range(pattern.count("(")))
-            marked = F.regexp_replace(marked, pattern, f",<{licence}>,{between}")
+            marked = F.regexp_replace(marked, pattern, f",<{n}>,{between}")
         left = F.split(F.regexp_replace(marked, "^,|,$", ""), ",+")
-        return F.transform(left, lambda x: F.when(x.startswith("<"), F.regexp_replace(x, "[<>]", "")).otherwise(by_one[x]))
+        return F.transform(left, lambda x: F.when(x.startswith("<"), F.regexp_replace(x, "[<>]", "").cast("int")).otherwise(by_one[x]))
 
     some = (F.size("by_line") > 0) | (F.size("by_text") > 0) | (F.size("spdx") > 0)
-    found = F.array_intersect(F.array(*[F.lit(x) for x in every]), F.concat(hits("by_line"), hits("by_text"), "spdx"))
+    tagged_rule = F.transform("spdx", lambda x: F.array_position(allowed, x).cast("int") - 1 + len(rules))
+    matched = F.sort_array(F.array_distinct(F.array_compact(F.concat(hits("by_line"), hits("by_text"), tagged_rule))))
+    found = F.array_distinct(F.transform(matched, lambda i: F.get(F.array(*[F.lit(x) for x in every]), i)))
     rows = rows.withColumn("licences", F.when(some, found).otherwise(none))
     best = F.concat(F.when(F.size("by_text") > F.size("by_line"), F.col("by_text")).otherwise(F.col("by_line")), F.transform("spdx", lambda x: F.concat(F.lit("spdx-"), x)))
     return rows.select("doc_id", F.size(best).alias("n_sentences"), best.alias("sentences"), "licences", F.get("licences", F.lit(0)).alias("licence"))

@@ -156,28 +156,29 @@ def _quote(x: str) -> str:
 
 def _op3() -> str:
     known = "MAP {" + ", ".join(f"{_quote(sentence)}: {_quote(name)}" for name, sentence in licences.SENTENCES.items()) + "}"
-    every, several, single = licences.licences_of(licences.RULES)
+    every, several, single = licences.numbered(licences.RULES)
     form = rf"regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{licences._OWN}', '{licences._ANY}'), '{licences._BEGIN}', 'under '), '{licences._END}', '\1')"
     names = rf"list_transform(regexp_split_to_array(substr(f, 7), ' or | and '), lambda x: {known}['under ' || regexp_replace(x, '{licences._NAME}', '\1')])"
-    own = f"list_transform(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(t, '{licences._MARKS}', '', 'g'), '{licences._COLON}', '\\1', 'g'), '@breaks@'), lambda s: {form}), lambda f: CASE WHEN {known}[f] IS NOT NULL OR NOT starts_with(f, 'under ') THEN [{known}[f]] ELSE {names} END)"
+    own = f"list_transform(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(t, '{licences._MARKS}', '', 'g'), '{licences._INSIDE}', '\\1\\2\\3', 'g'), '@breaks@'), lambda s: {form}), lambda f: CASE WHEN {known}[f] IS NOT NULL OR NOT starts_with(f, 'under ') THEN [{known}[f]] ELSE {names} END)"
     ids = lambda breaks: f"list_filter(flatten({own.replace('@breaks@', breaks)}), lambda x: x IS NOT NULL)"
 
     def hits(c: str) -> str:
         marked = f"',' || array_to_string({c}, ',,') || ','"
-        for pattern, licence in several:
-            marked = f"regexp_replace({marked}, '{pattern}', ',<{licence}>,{''.join(f'\\{i + 1}' for i in range(pattern.count('(')))}', 'g')"
+        for pattern, n in several:
+            marked = f"regexp_replace({marked}, '{pattern}', ',<{n}>,{''.join(f'\\{i + 1}' for i in range(pattern.count('(')))}', 'g')"
         left = f"string_split(regexp_replace(trim({marked}, ','), ',+', ',', 'g'), ',')"
-        by_one = "MAP {" + ", ".join(f"{_quote(x)}: {_quote(y)}" for x, y in single.items()) + "}"
-        return f"list_transform({left}, lambda x: CASE WHEN starts_with(x, '<') THEN trim(x, '<>') ELSE {by_one}[x] END)"
+        by_one = "MAP {" + ", ".join(f"{_quote(x)}: {n}" for x, n in single.items()) + "}"
+        return f"list_transform({left}, lambda x: CASE WHEN starts_with(x, '<') THEN CAST(trim(x, '<>') AS INTEGER) ELSE {by_one}[x] END)"
 
     allowed = "[" + ", ".join(_quote(x) for x in licences.SPDX) + "]"
     spdx = rf"list_filter(flatten(list_transform(regexp_extract_all(t, '{licences._SPDX}', 1), lambda x: regexp_extract_all(x, '[A-Za-z0-9.+-]+'))), lambda x: list_contains({allowed}, x))"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 i AS (SELECT doc_id, {ids(licences.BY_LINE)} AS a, {ids(licences.BY_TEXT)} AS b, {spdx} AS c FROM d),
-h AS (SELECT doc_id, list_concat(CASE WHEN len(b) > len(a) THEN b ELSE a END, list_transform(c, lambda x: 'spdx-' || x)) AS best, list_concat({hits("a")}, {hits("b")}, c) AS l FROM i),
-o AS (SELECT doc_id, best, list_filter([{", ".join(_quote(x) for x in every)}], lambda x: list_contains(l, x)) AS l FROM h)
-SELECT doc_id, CAST(len(best) AS BIGINT) AS n_sentences, array_to_string(best, ',') AS sentences, array_to_string(l, ',') AS licences, l[1] AS licence FROM o
+h AS (SELECT doc_id, list_concat(CASE WHEN len(b) > len(a) THEN b ELSE a END, list_transform(c, lambda x: 'spdx-' || x)) AS best, list_concat({hits("a")}, {hits("b")}, list_transform(c, lambda x: list_position({allowed}, x) - 1 + {len(licences.RULES)})) AS l FROM i),
+o AS (SELECT doc_id, best, list_transform(list_sort(list_distinct(list_filter(l, lambda x: x IS NOT NULL))), lambda n: [{", ".join(_quote(x) for x in every)}][n + 1]) AS m FROM h),
+p AS (SELECT doc_id, best, list_filter(m, lambda x, i: list_position(m, x) = i) AS l FROM o)
+SELECT doc_id, CAST(len(best) AS BIGINT) AS n_sentences, array_to_string(best, ',') AS sentences, array_to_string(l, ',') AS licences, l[1] AS licence FROM p
 """
 
 
