@@ -174,6 +174,11 @@ def repeated_passages(documents: DataFrame, min_words: int = 50) -> DataFrame:
     """
     docs = _one_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL"))
     rows = cut(docs.mapInArrow(_chunk_rows(min_words), "doc_id long, word int, n int, digest long, whole long"))
+    # most anchors are in one document only, and their chunks go before anything else is grouped or joined
+    met = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("digest"))
+    shared = cut(rows.join(met, "digest", "left_semi"))
+    discard(rows, met)
+    rows = shared
     place = F.min(F.struct("doc_id", "word")).alias("first")
     wholes = rows.groupBy("digest", "whole").agg(place, F.max("doc_id").alias("last"))
     unlike = wholes.groupBy("digest").agg(F.count("*").alias("k"), F.min("first.doc_id").alias("low"), F.max("last").alias("high")).where("k > 1 AND low < high").select("digest", F.lit(True).alias("unlike"))
