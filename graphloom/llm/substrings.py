@@ -193,7 +193,7 @@ def repeated_passages(documents: DataFrame, min_words: int = 50) -> DataFrame:
     anchors = cut(same.union(part).groupBy("doc_id", "src").agg(F.collect_list(F.struct("word", "src_word", "n")).alias("anchors")))
     discard(rows, found, windows)
     ids = anchors.select("doc_id").union(anchors.select("src")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = cut(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))  # so that what dealt out all texts is gone before these few are joined
     # a text that thousands of others take from, or that takes from thousands, meets them in many tasks
     mine = meet(anchors, texts, "doc_id", "src", crowded(anchors, "doc_id"))
     both = meet(mine, texts.select(F.col("doc_id").alias("src"), F.col("text").alias("source")), "src", "doc_id", crowded(anchors, "src"))
