@@ -228,6 +228,63 @@ FROM j
 """
 
 
+def _crc32(x: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit: each byte is followed by eight shifts."""
+    steps = f"flatten(list_transform(string_split({x}, ''), lambda b: [ord(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END) END), 4294967295::BIGINT)"
+
+
+_AFTER, _SAYS = "CASE WHEN {0} = 2 THEN 3 ELSE 2 END", "CASE WHEN {0} = 2 THEN 'assistant:' ELSE 'user:' END"
+
+#: States 0 to 3: nothing yet, after s, after u, after a. A step puts up to two turns in, then keeps, changes or deletes the next.
+_OP11 = rf"""
+WITH RECURSIVE n AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM n WHERE fate <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[ 	-]+$', '') AS body FROM d),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+r(conv_id, i, s, cost, audit, made) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM ids
+  UNION ALL
+  SELECT conv_id, i, s, cost, audit, made FROM (
+    SELECT conv_id, i, s, cost, audit, made, row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) AS best FROM (
+      SELECT conv_id, i, CASE e WHEN 'D' THEN s WHEN 'K' THEN CASE WHEN initial = 's' THEN 1 ELSE {_AFTER.format("s")} END ELSE {_AFTER.format("s")} END AS s,
+             cost + CASE e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost, audit || e AS audit,
+             CASE e WHEN 'D' THEN made WHEN 'K' THEN list_append(made, role || ':' || text) ELSE list_append(made, {_SAYS.format("s")} || text) END AS made
+      FROM (SELECT r.conv_id, f.i, f.role, f.text, f.fault, f.initial, r.cost + 5 * k AS cost, r.audit || repeat('I', k) AS audit,
+                   CASE k WHEN 0 THEN r.s WHEN 1 THEN {_AFTER.format("r.s")} ELSE {_AFTER.format(f"({_AFTER.format('r.s')})")} END AS s,
+                   list_concat(r.made, [{_SAYS.format("r.s")}, {_SAYS.format(f"({_AFTER.format('r.s')})")}][1:k]) AS made
+            FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1, (SELECT unnest([0, 1, 2]) AS k)), (SELECT unnest(['D', 'K', 'R']) AS e)
+      WHERE e = 'D' OR fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR initial = 's' AND s = 0 OR initial = 'u' AND s <> 2 OR initial = 'a' AND s = 2)))
+  WHERE best = 1),
+z AS (SELECT conv_id, max(i) AS i FROM r GROUP BY conv_id),
+w AS (SELECT r.conv_id, cost + CASE s WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END AS cost, audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+             list_concat(made, CASE s WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END) AS made FROM r JOIN z ON z.conv_id IS NOT DISTINCT FROM r.conv_id AND z.i = r.i),
+b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (before IS NOT NULL AND before || '-' || initial NOT IN ('s-u', 'u-a', 'a-u')) AS illegal FROM f GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       cost::BIGINT AS cost, audit, sha256(array_to_string(made, chr(10))) AS repaired_sha256 FROM b LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+_OP12 = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, c - c % 5 AS base, {_crc32("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+s AS (SELECT i.c, 0 AS k, t.p, t.r, t.x FROM i JOIN t ON t.c = i.base AND t.p < i.h UNION ALL SELECT i.c, 1, t.p, t.r, t.x FROM i JOIN t ON t.c = i.c AND t.p >= i.h),
+q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k, p) AS d, md5(length(r) || ':' || r || x) AS v, strlen(x) AS n FROM s),
+w AS (SELECT c, d, n, md5(string_agg(v, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM q),
+m AS (SELECT c, 0 AS d, 0 AS n, '' AS key, NULL AS parent FROM i UNION ALL SELECT c, d, n, key, coalesce(lag(key) OVER (PARTITION BY c ORDER BY d), '') FROM w),
+l AS (SELECT c, max(d) AS len FROM m GROUP BY c),
+o AS (SELECT key, d AS depth, min(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, min(n) AS bytes, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len), '')) AS ends_sha256 FROM m JOIN l USING (c) GROUP BY key, d),
+k AS (SELECT parent AS key, count(*) AS n_children FROM o WHERE depth > 0 GROUP BY parent),
+u AS (SELECT DISTINCT a.key AS top, b.key AS key FROM m a JOIN m b ON a.c = b.c AND a.d <= b.d),
+z AS (SELECT top AS key, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (n_children IS NULL) AS leaves FROM u JOIN o USING (key) LEFT JOIN k USING (key) GROUP BY top)
+SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n_convs::BIGINT AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children, z.leaves::BIGINT AS n_leaves, z.saved::BIGINT AS saved_tokens, o.ends_sha256
+FROM o JOIN z USING (key) LEFT JOIN k USING (key) LEFT JOIN o p ON p.key = o.parent
+"""
+
+
 ORACLES = {
     "op1_block_matrix_neighbours": _OP1,
     "op3_sentence_licences": _op3(),
@@ -235,4 +292,6 @@ ORACLES = {
     "op6_link_graph_urls": _op6(),
     "op7_quality_ledger": _OP7,
     "op10_minhash_neardup": _OP10,
+    "op11_grammar_repair": _OP11,
+    "op12_prefix_trie": _OP12,
 }
