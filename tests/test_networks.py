@@ -449,3 +449,12 @@ def test_sources(spark, tmp_path):
     (tmp_path / "al").mkdir()
     (tmp_path / "al" / "one.aln").write_text("a b\nc\td\n")
     assert tables.read_alignments(spark, str(tmp_path / "al")).select("left", "right").count() == 2
+
+
+def test_flows_at_the_bound_stay(spark):
+    # 0.1 thrice: the rounded mean is over each of them; nine equal ones and a lower one: right at mean - 3 deviations
+    rows = [(1, 1, v, 0.1) for v in range(3)] + [(2, 1, v, 0.7) for v in range(9)] + [(2, 1, 9, 0.4), (3, 1, 1, None), (3, 1, 2, float("nan"))]
+    rows += [(4, 1, v, 5.0) for v in range(30)] + [(4, 1, 30, 1.0)]
+    flows = spark.createDataFrame(rows, "center long, level int, vertex long, flow double").coalesce(1)
+    kept = {tuple(r) for r in graph.flow_cutoff(flows).select("center", "vertex").collect()}
+    assert kept == {(c, v) for c, n in ((1, 3), (2, 10), (4, 30)) for v in range(n)}
