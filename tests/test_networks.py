@@ -458,3 +458,41 @@ def test_flows_at_the_bound_stay(spark):
     flows = spark.createDataFrame(rows, "center long, level int, vertex long, flow double").coalesce(1)
     kept = {tuple(r) for r in graph.flow_cutoff(flows).select("center", "vertex").collect()}
     assert kept == {(c, v) for c, n in ((1, 3), (2, 10), (4, 30)) for v in range(n)}
+
+
+def test_stats_of_differences_need_no_pairs(spark):
+    rows = spark.createDataFrame([(1, 2.0), (1, 5.5), (1, None), (2, 7.0), (None, 90.0), (None, 1.0)], "g int, x double")
+    both = rows.join(rows.withColumnsRenamed({"x": "y"}), "g").select(F.abs(F.col("x") - F.col("y")).alias("d"))
+    want = both.agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most")).first()
+    found = pairs.difference_stats(rows, ["g"], "x")
+    assert found.first() == want == (10, 0.0, 3.5)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("names", ["long", "string"])
+def test_thinned_pairs_have_the_same_nearest(spark, names):
+    rng = random.Random(3)
+    rows = [(rng.randrange(9), r, rng.choice([None, float("nan"), 0.5, 1.0, 2.0, rng.random()])) for r in range(400)]
+    table = spark.createDataFrame(rows, "left long, right long, d double").select(F.col("left").cast(names), F.col("right").cast(names), "d").repartition(3)
+    for by in (None, -F.col("d")):
+        one, two = (sorted(map(str, pairs.nearest(table, 4, by, thin=thin).collect())) for thin in (False, True))
+        assert one == two and len(one) == 36
+
+
+def test_smallest_distinct_of_many_equal_values(spark):
+    table = spark.range(20000, numPartitions=3).select(F.col("id").alias("left"), (F.col("id") % 50 / 10).alias("d"))
+    assert [r[0] for r in pairs.smallest_distinct(table, 7).collect()] == [i / 10 for i in range(7)]
+    assert [r[0] for r in pairs.smallest_distinct(table, 60).collect()] == [i / 10 for i in range(50)]
+    assert pairs.smallest_distinct(table.limit(0), 7).count() == 0
+
+
+def test_pair_queries_shuffle_parts_not_pairs(spark, tmp_path):
+    from graphloom.plans.queries import QUERIES
+
+    rows = [(i, f"b{i % 2}", i % 3, 900.0 + i * 7 % 400) for i in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("seq_scores_beta", "pair_blend", "blast_normalise", "rank_blend"):
+        found = QUERIES[name](spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(p_brand" in plan and "hashpartitioning(left" not in plan and "hashpartitioning(right" not in plan
+        assert found.count() > 0
