@@ -496,3 +496,22 @@ def test_pair_queries_shuffle_parts_not_pairs(spark, tmp_path):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(p_brand" in plan and "hashpartitioning(left" not in plan and "hashpartitioning(right" not in plan
         assert found.count() > 0
+
+
+def test_greedy_by_lists_takes_what_greedy_takes(spark):
+    rng = random.Random(5)
+    rows = [(g, g * 100 + rng.randrange(30), g * 100 + rng.randrange(25), rng.choice([0.1, 0.2, rng.random()])) for g in range(3) for _ in range(400)]
+    rows += [(9, 900 + i, 900 + j, 1 - 0.01 * (i + j)) for i in range(20) for j in (i, i + 1)]  # a chain of better and better pairs
+    rows += [(8, 800, 800, 0.5)] * 9 + [(8, 800, 801, None)]
+    table = spark.createDataFrame(rows, "g int, left long, right long, d double").repartition(4)
+    want, free = [], set()
+    for _, a, b, d in sorted((r for r in rows if r[3] is not None), key=lambda r: (r[3], r[1], r[2])):
+        if not free & {("l", a), ("r", b)}:
+            free |= {("l", a), ("r", b)}
+            want.append((a, b, d))
+    for k in (1, 2, 16):
+        assert sorted(map(tuple, matching.greedy_by_lists(table, ["g"], k).collect())) == sorted(want)
+    parts = matching._either_best(2, 50)(iter([]))
+    assert not list(parts)
+    names = table.withColumns({c: F.col(c).cast("string") for c in ("left", "right")})
+    assert len(matching.greedy_by_lists(names, ["g"], 2).collect()) == len(want)
