@@ -515,3 +515,13 @@ def test_greedy_by_lists_takes_what_greedy_takes(spark):
     assert not list(parts)
     names = table.withColumns({c: F.col(c).cast("string") for c in ("left", "right")})
     assert len(matching.greedy_by_lists(names, ["g"], 2).collect()) == len(want)
+
+
+def test_second_visits_are_counted_without_grouping(spark):
+    rng = random.Random(8)
+    rows = [(g, g * 100 + i, g * 100 + j, rng.choice([0.3, 0.6, rng.random()])) for g in range(2) for i in range(12) for j in range(10) if rng.random() < 0.7]
+    table = spark.createDataFrame(rows, "g int, left long, right long, d double")
+    near = pairs.nearest(table, 3).select("left", "right", "d")
+    want = matching.by_visits(near.union(table.select("left", "right", "d")))
+    found = matching.by_second_visits(table, near, ["g"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
