@@ -525,3 +525,24 @@ def test_second_visits_are_counted_without_grouping(spark):
     want = matching.by_visits(near.union(table.select("left", "right", "d")))
     found = matching.by_second_visits(table, near, ["g"])
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_nearest_among_relabelled_copies(spark):
+    """Copies of a network have its spectra but for rounding, so ties are decided by names and vectors stay as many."""
+    rng = random.Random(12)
+    edges = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)})
+    copies = []
+    for i in range(5):
+        order = rng.sample(range(40), 40)
+        copies += [(100 * i + order[a], 100 * i + order[b]) for a, b in edges]
+    one, many = (spectral.vectors(net(spark, x), 2) for x in (edges, copies))
+    assert many.select("levels").distinct().count() == one.select("levels").distinct().count()
+    rows = {r["name"]: np.array(r["levels"]) for r in many.collect()}
+    names = sorted(rows)
+    d = kernels.js_all(*[np.stack([rows[x] for x in names])] * 2)
+    got = {}
+    for r in pairs.structural_distances(many, many, k=4, block=9).orderBy("d_struct", "right").collect():
+        got.setdefault(r["left"], []).append((r["right"], r["d_struct"]))
+    for i, x in enumerate(names):
+        want = sorted((round(v, 7), y) for v, y in zip(d[i].tolist(), names, strict=True))[:4]
+        assert [y for y, _ in got[x]] == [y for _, y in want] and np.allclose([v for _, v in got[x]], [v for v, _ in want], atol=1e-6)
