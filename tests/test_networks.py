@@ -546,3 +546,31 @@ def test_nearest_among_relabelled_copies(spark):
     for i, x in enumerate(names):
         want = sorted((round(v, 7), y) for v, y in zip(d[i].tolist(), names, strict=True))[:4]
         assert [y for y, _ in got[x]] == [y for _, y in want] and np.allclose([v for _, v in got[x]], [v for v, _ in want], atol=1e-6)
+
+
+def grouped_pairs(spark, seed):
+    rng = random.Random(seed)
+    value = {(g, a, b): rng.choice([None, rng.random(), rng.random()]) for g in range(3) for a in range(40) for b in range(36)}
+    table = spark.createDataFrame([(g, g * 100 + a, g * 100 + b, d) for (g, a, b), d in value.items()], "g int, left long, right long, d double")
+    make = lambda left, right: table.join(left.withColumnRenamed("name", "left"), "left").join(right.withColumnRenamed("name", "right"), "right")
+    return table, make, *(table.select(F.col(c).alias("name")).distinct() for c in ("left", "right"))
+
+
+def test_nearest_of_groups_are_bounded(spark):
+    table, make, left, right = grouped_pairs(spark, 11)
+    want = sorted(map(str, pairs.nearest(table, 4).select("left", "right", "d").collect()))
+    for share in (1, 3, 32):
+        assert sorted(map(str, pairs.nearest_within(make, left, right, 4, ["g"], share).select("left", "right", "d").collect())) == want
+
+
+def test_thin_groups_are_matched_by_their_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(a, b, rng.random()) for a in range(600) for b in rng.sample(range(600), 5)]
+    frame = pd.DataFrame(rows, columns=["left", "right", "d"])
+    monkeypatch.setattr(matching, "assign", lambda cost: pytest.fail("a matrix of 360,000 places for 3,000 pairs"))
+    found = matching._solve(["left", "right", "d"], matching.EXACT)(frame)
+    assert len(found) > 550 and found["left"].is_unique and found["right"].is_unique
+    monkeypatch.undo()
+    table, _, _, _ = grouped_pairs(spark, 13)
+    one, two = (sorted(map(tuple, matching.optimal(table, within=within).select("left", "right", "d").collect())) for within in (["g"], ()))
+    assert one == two and len(one) == 108
