@@ -574,3 +574,20 @@ def test_thin_groups_are_matched_by_their_pairs(spark, monkeypatch):
     table, _, _, _ = grouped_pairs(spark, 13)
     one, two = (sorted(map(tuple, matching.optimal(table, within=within).select("left", "right", "d").collect())) for within in (["g"], ()))
     assert one == two and len(one) == 108
+
+
+def test_rounds_of_groups_make_pairs_of_free_vertices_only(spark):
+    table, make, left, right = grouped_pairs(spark, 14)
+    table = table.where("d IS NOT NULL")
+    made = []
+
+    def counted(a, b):
+        made.append((a.count(), b.count()))
+        return make(a, b).where("d IS NOT NULL")
+
+    want = sorted(map(tuple, matching.iterative(table.select("left", "right", "d"), 3).collect()))
+    names = [x.withColumn("g", F.floor(F.col("name") / 100).cast("int")) for x in (left, right)]
+    for most in (10**6, 300):  # at once by tasks; after rounds of joins
+        made.clear()
+        assert sorted(map(tuple, matching.iterative_within(counted, *names, ["g"], 3, most).collect())) == want
+        assert made[0][0] == 120 and (most > 300 or made[-1][0] < 60)
