@@ -591,3 +591,15 @@ def test_rounds_of_groups_make_pairs_of_free_vertices_only(spark):
         made.clear()
         assert sorted(map(tuple, matching.iterative_within(counted, *names, ["g"], 3, most).collect())) == want
         assert made[0][0] == 120 and (most > 300 or made[-1][0] < 60)
+
+
+def test_distances_of_edges_are_made_once_by_arrays(spark):
+    rng = np.random.default_rng(15)
+    stacks = rng.dirichlet(np.ones(6), (9, 2))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(stacks[:8])], "name long, levels array<array<double>>")
+    edges = spark.createDataFrame([(0, 1), (1, 0), (5, 2), (2, 7), (3, 3), (8, 1)], "src long, dst long")  # 8 has no vector
+    found = pairs.edge_distances(edges, vectors)
+    want = vectors.crossJoin(vectors.withColumnsRenamed({"name": "b", "levels": "q"})).select("name", "b", fn.structural_distance(F.col("levels"), F.col("q")).alias("e"))
+    want = {(r[0], r[1]): r[2] for r in want.collect()}
+    rows = {(r["a"], r["b"]): r["e"] for r in found.collect()}
+    assert sorted(rows) == [(0, 1), (2, 5), (2, 7), (3, 3)] and all(math.isclose(rows[x], want[x], abs_tol=1e-12) for x in rows)
