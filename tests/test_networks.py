@@ -234,6 +234,14 @@ def test_greedy_on_chains(spark, monkeypatch, most):
     assert most == 50 or len(steps) < 10
 
 
+def test_greedy_of_equal_vertices_looks_for_no_components(spark, monkeypatch):
+    """Left vertices that want the same right ones: a pair of each such group a round, as in copies of a network."""
+    rows = [(10 * g + a, 10 * g + b, float(b // 3)) for g in range(5) for a in range(9) for b in range(8)]
+    monkeypatch.setattr(matching, "_components", None)
+    got = matching.greedy(spark.createDataFrame(rows, "left long, right long, d double")).collect()
+    assert sorted(map(tuple, got)) == brute_greedy(rows)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(1, 6), st.integers(0, 10**6))
 def test_assignment(n, seed):
