@@ -315,6 +315,24 @@ def test_alignment_covers_and_keeps_beta(spark, monkeypatch, seeds, few):
     assert all((r["left"] + r["right"]) % 3 for r in found if r["score"] != 1.0)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_last_rounds_of_seeds_in_one_task(spark, monkeypatch, kind):
+    """All rounds by joins, by one task, and the last ones by one task, on pairs with ties, aligned sides and a sequence limit."""
+    rng = random.Random(8)
+    left, right = random_networks(spark, n=40, m=70)
+    left, right = (Network.from_edges(x.edges.withColumns({c: F.col(c).cast(kind) for c in ("src", "dst")})) for x in (left, right))
+    rows = [(a, b, rng.randrange(12) / 12, rng.choice([0.5, 0.5, 1.1])) for a in range(40) for b in range(40) if rng.random() < 0.3]
+    table = spark.createDataFrame(rows, "left long, right long, d double, d_seq double").withColumns({c: F.col(c).cast(kind) for c in ("left", "right")})
+    steps, got = [], []
+    monkeypatch.setattr(align, "extend", lambda *a, f=align.extend: steps.append(1) or f(*a))
+    for most in (0, 200, align.MOST):
+        steps.clear()
+        found = align.seed_and_extend(left, right, table, k=3, beta=1.0, most=most)
+        got.append((sorted(map(tuple, found.collect())), len(steps)))
+    (by_joins, all_), (mixed, some), (by_task, none) = got
+    assert by_joins == mixed == by_task and all_ > some > none == 0
+
+
 def test_extension_along_pairs_and_along_neighbours(spark):
     """A frontier of several seeds, with few pairs of a left vertex or all of them."""
     rng = random.Random(21)
