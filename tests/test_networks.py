@@ -629,3 +629,28 @@ def test_distances_of_edges_are_made_once_by_arrays(spark):
     want = {(r[0], r[1]): r[2] for r in want.collect()}
     rows = {(r["a"], r["b"]): r["e"] for r in found.collect()}
     assert sorted(rows) == [(0, 1), (2, 5), (2, 7), (3, 3)] and all(math.isclose(rows[x], want[x], abs_tol=1e-12) for x in rows)
+
+
+@pytest.mark.parametrize(("n", "m", "held"), [(40, 40, True), (40, 40, False), (30, 47, True), (1, 1, True), (1, 3, False), (60, 60, False)])
+def test_all_pairs_are_assigned_row_by_row(monkeypatch, n, m, held):
+    rng = np.random.default_rng(n + m)
+    monkeypatch.setattr(matching, "COST_BYTES", 8 * n * m if held else 8 * m)
+    for cost in (rng.random((n, m)), np.round(rng.random((n, m)), 1), np.where(rng.random((n, m)) < 0.9, matching.PAD, rng.random((n, m)))):
+        at = matching.assign_all(n, m, lambda a, b, cost=cost: cost[a:b])
+        assert len(set(at.tolist())) == n and math.isclose(cost[np.arange(n), at].sum(), cost[np.arange(n), matching.assign(cost)].sum(), rel_tol=1e-9)
+
+
+def test_assignment_of_parts_is_among_all_pairs(spark, tmp_path):
+    """Vertices whose five nearest are all taken get another; parts without a group have no pair."""
+    from graphloom.plans import fixtures as fx
+    from graphloom.plans.queries import QUERIES
+
+    rng = random.Random(3)
+    rows = [(i * 3, f"b{i % 2}", 1, 900.0 + rng.randrange(300)) for i in range(80)] + [(301, "b0", 1, None), (302, "b1", None, 901.0), (303, None, 1, 901.0), (304, "b9", 1, 950.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    every = pairs.blended(fx.pairs(spark, str(tmp_path)), 0.5).select("left", "right", "d").collect()
+    d = {(r["left"], r["right"]): r["d"] for r in every}
+    found = {(r["left"], r["right"]): r["d"] for r in QUERIES["lap_match"](spark, str(tmp_path)).collect()}
+    assert all(found[x] == d[x] for x in found) and len({a for a, _ in found}) == len({b for _, b in found}) == len(found) == 81
+    want = matching.solve_frame(pd.DataFrame([(*k, v) for k, v in d.items()], columns=["left", "right", "d"]))
+    assert math.isclose(sum(found.values()), want["d"].sum(), rel_tol=1e-9)
