@@ -654,3 +654,32 @@ def test_assignment_of_parts_is_among_all_pairs(spark, tmp_path):
     assert all(found[x] == d[x] for x in found) and len({a for a, _ in found}) == len({b for _, b in found}) == len(found) == 81
     want = matching.solve_frame(pd.DataFrame([(*k, v) for k, v in d.items()], columns=["left", "right", "d"]))
     assert math.isclose(sum(found.values()), want["d"].sum(), rel_tol=1e-9)
+
+
+def test_profiles_are_the_vectors_of_signatures(spark):
+    left, _ = random_networks(spark, 21, 40, 45)
+    found = spectral.profiles(left, 2)
+    want = {r["name"]: np.array(r["levels"]) for r in spectral.density_vectors(spectral.signatures(left, 2)).collect()}
+    got = {r["name"]: np.array(r["levels"]) for r in spectral.vectors(left, 2).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[x], want[x], atol=1e-9) for x in want)
+    assert found.distinct.count() == found.distinct.select("levels").distinct().count() == len({x.tobytes() for x in got.values()}) < len(got)
+
+
+def test_greedy_takes_from_all_pairs_of_vectors(spark):
+    """Vertices whose nearest are all taken get what is left; equal vectors and equal distances go by name."""
+    left, right = random_networks(spark, 22, 36, 40)
+    a, b = (spectral.profiles(x, 2) for x in (left, right))
+    names = [{r["name"]: np.array(r["levels"]) for r in p.names.join(p.distinct.select(F.struct("a", "b").alias("id"), "levels"), "id").collect()} for p in (a, b)]
+    (ls, one), (rs, two) = ((sorted(x), np.stack([x[k] for k in sorted(x)])) for x in names)
+    i, j = (x.ravel() for x in np.indices((len(ls), len(rs))))
+    d = kernels.js_pairs(one, two, i, j)
+    want, free = [], set()
+    for x, l, r in sorted(zip(d.tolist(), (ls[k] for k in i), (rs[k] for k in j), strict=True)):  # noqa: E741
+        if not free & {("l", l), ("r", r)}:
+            free |= {("l", l), ("r", r)}
+            want.append((l, r, x))
+    assert len(want) == min(len(ls), len(rs))
+    for k, most in ((2, 40), (16, 10**6)):
+        assert sorted(map(tuple, matching.greedy_of_profiles(a, b, k, most).collect())) == sorted(want)
+    near = matching.greedy(pairs.structural_distances(a, b, k=2).select("left", "right", F.col("d_struct").alias("d")))
+    assert near.count() < len(want)  # what lists of two alone leave out
