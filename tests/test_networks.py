@@ -683,3 +683,16 @@ def test_greedy_takes_from_all_pairs_of_vectors(spark):
         assert sorted(map(tuple, matching.greedy_of_profiles(a, b, k, most).collect())) == sorted(want)
     near = matching.greedy(pairs.structural_distances(a, b, k=2).select("left", "right", F.col("d_struct").alias("d")))
     assert near.count() < len(want)  # what lists of two alone leave out
+
+
+def test_distances_of_asked_pairs_are_made_once_by_arrays(spark):
+    left, right = random_networks(spark, 23, 30, 40)
+    vectors = [spectral.vectors(x, 2) for x in (left, right)]
+    scores = spark.createDataFrame([(i, j, 0.5) for i in range(0, 30, 2) for j in range(30)] * 2 + [(1, 999, 0.5)], "left long, right long, d double")
+    every = {(r["left"], r["right"]): r["d_struct"] for r in pairs.structural_distances(*vectors).collect()}
+    found = aligner.candidates(*vectors, scores, 2)
+    plan = found._jdf.queryExecution().toString()
+    assert "zip_with" not in plan and "aggregate(" not in plan.split("== Optimized")[0].lower().replace("aggregate [", "")
+    rows = {(r["left"], r["right"]): r["d_struct"] for r in found.collect()}
+    assert found.count() == len(rows) and all(math.isclose(rows[x], every[x], abs_tol=1e-9) for x in rows)
+    assert {x for x in every if x[0] % 2 == 0} <= rows.keys() and len({a for a, _ in rows}) == len({a for a, _ in every})
