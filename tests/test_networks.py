@@ -696,3 +696,22 @@ def test_distances_of_asked_pairs_are_made_once_by_arrays(spark):
     rows = {(r["left"], r["right"]): r["d_struct"] for r in found.collect()}
     assert found.count() == len(rows) and all(math.isclose(rows[x], every[x], abs_tol=1e-9) for x in rows)
     assert {x for x in every if x[0] % 2 == 0} <= rows.keys() and len({a for a, _ in rows}) == len({a for a, _ in every})
+
+
+def test_search_finds_moves_once_for_all_iterations(spark, monkeypatch):
+    left, right = random_networks(spark, 24, 30, 60)
+    names = left.vertices.select(F.col("name").alias("left"), (29 - F.col("name")).alias("right"), F.lit(0.0).alias("score"))
+    scores = spark.createDataFrame([(i, j, ((i * 7 + j * 3) % 10) / 10) for i in range(30) for j in range(30)], "left long, right long, d double")
+    steps, applied = [search.steps_of(x.edges) for x in (left, right)], []
+    now, count = search.align.fill(left, right, names), 0
+    for i in range(4):  # an iteration at a time, each until it allows no move
+        while True:
+            found = search.moves(now, left.edges, right.edges, scores, 0.5, search.constrained(F.col("left"), i, search.budget(i, 4)))
+            kept = search.cut(search.independent(search.cut(search.best_moves(found)), steps[0]))
+            if kept.isEmpty():
+                break
+            now, count = search.cut(search.apply_moves(now, kept, scores, 0.5)), count + 1
+    made = search._moves
+    monkeypatch.setattr(search, "_moves", lambda *a: applied.append(1) or made(*a))
+    got = search.improve(left, right, names, scores, 0.5, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, now.collect())) and len(applied) == count + 1
