@@ -715,3 +715,20 @@ def test_search_finds_moves_once_for_all_iterations(spark, monkeypatch):
     monkeypatch.setattr(search, "_moves", lambda *a: applied.append(1) or made(*a))
     got = search.improve(left, right, names, scores, 0.5, 4)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, now.collect())) and len(applied) == count + 1
+
+
+def test_nearest_of_parts_need_no_rows_for_pairs(spark, tmp_path):
+    from graphloom.plans import fixtures as fx
+    from graphloom.plans.queries import QUERIES
+
+    rows = [(i * 1009 % 4001, f"b{i % 3}", i % 2, 900.0 + i * 7 % 40) for i in range(70)] + [(9001, "b0", 0, None), (9002, "b1", None, 901.0), (9003, "b9", 1, 950.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    every = pairs.blended(fx.pairs(spark, str(tmp_path)), 0.5).select("left", "right", "d")
+    parts = fx.dealt_parts(spark, str(tmp_path))
+    for k, most in ((1, 1 << 22), (5, 30), (99, 1)):
+        found = pairs.nearest_among(parts, parts, fx.GROUP, fx.blended_costs, k, "long", most)
+        want = pairs.nearest(every, k).select("left", "right", "d", "rank")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = QUERIES["knn_topk"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    assert QUERIES["knn_topk"](spark, str(tmp_path)).select("left").count() > 0 and QUERIES["lap_match"](spark, str(tmp_path)).count() == 71
